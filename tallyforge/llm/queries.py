@@ -36,3 +36,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {}
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_in", "lines_out")
+
+
+QUERIES["op8_line_dedup"] = op8_line_dedup
