@@ -45,3 +45,28 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_line_dedup"] = op8_line_dedup
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import render
+
+    return render(table(spark, sf_dir, "conversations"))
+
+
+QUERIES["op10_packing"] = op10_packing
+QUERIES["op4_chat_format"] = op4_chat_format
+
+
+def _oracles() -> None:
+    from . import chat_format
+
+    ORACLE_SQL["op4_chat_format"] = chat_format.ORACLE
+
+
+_oracles()
