@@ -70,3 +70,13 @@ def _oracles() -> None:
 
 
 _oracles()
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES["op9_toxicity"] = op9_toxicity
