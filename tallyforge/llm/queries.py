@@ -80,3 +80,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_toxicity"] = op9_toxicity
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import clean_vectors, search
+
+    vectors = clean_vectors(table(spark, sf_dir, "embeddings"))
+    return search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op5_nearest_neighbours"] = op5_nearest_neighbours
+QUERIES["op7_html_extraction"] = op7_html_extraction
