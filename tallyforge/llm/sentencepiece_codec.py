@@ -377,7 +377,7 @@ def _encode_giants(large: DataFrame, proto: bytes, chunk: int) -> DataFrame:
             m = [_pack(chunk_matrix(enc, r["left"], r["body"], r["right"], r["cin"], r["cout"])) for r in rows]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), pa.array(m, pa.string())], names=["key", "k", "m"])
 
-    def states(key, t: pa.Table) -> pa.Table:
+    def states(key, t):
         rows = sorted(t.to_pylist(), key=lambda r: r["k"])
         got = resolve([_unpack(r["m"]) for r in rows])
         ends = [(a, b) for a, b in zip(got, got[1:], strict=False)]
