@@ -37,31 +37,32 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.explode(F.split("text", "\n", -1)).alias("line")).select("did", F.trim("line").alias("line"))
 
 
-def _keys(text: Column, group: Column, edits: int, delta: Column | None = None) -> Column:
-    """Array of (key, idx, delta, start, size) that a text posts (idx 1) and probes.
+def _keyed(rows: DataFrame, text: str, group: Column, edits: int, delta: Column | None = None) -> DataFrame:
+    """rows times (key, idx, delta, start, size) that a text posts (idx 1) and probes.
 
-    delta: how much longer the text is than those it is to meet; None: all of 0..edits.
+    delta: how much longer the text is than those it is to meet; None: all of 0..edits. Compiled
+    expressions only: the array is exploded with nulls, which go by the filter that follows.
     """
     m = edits + 1
+    rows = rows.withColumn("_n", F.length(text))
     out = []
     for d in range(edits + 1):
-        n = F.length(text) - d
-        q, extra = F.floor(n / m), n % m
+        n = F.col("_n") - d
+        q, extra = F.expr(f"cast((_n - {d}) div {m} as int)"), n % m
         fits = n >= m
         if delta is not None:
             fits = fits & (delta == d)
         for i in range(1, m + 1):
             # the last `extra` segments are one longer
-            longer = F.greatest(F.lit(0), F.lit(i - 1) - (F.lit(m) - extra))
-            at = (q * (i - 1) + longer + 1).cast("int")
-            size = (q + F.when(F.lit(i) > F.lit(m) - extra, 1).otherwise(0)).cast("int")
+            at = q * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1 - m) + extra) + 1
+            size = q + (F.lit(i - 1 - m) + extra >= 0).cast("int")
             for shift in range(max(-(i - 1), d - (m - i)), min(i - 1, d + (m - i)) + 1):
                 start = at + shift
-                ok = fits & (start >= 1) & (start + size - 1 <= F.length(text))
-                key = F.xxhash64(group, F.lit(i), n.cast("int"), F.substring(text, start, size))
+                ok = fits & (start >= 1) & (start + size - 1 <= F.col("_n"))
+                key = F.xxhash64(group, F.lit(i), n, F.substring(F.col(text), start, size))
                 own = 1 if d == 0 and shift == 0 else 0
                 out.append(F.when(ok, F.struct(key.alias("key"), F.lit(own).alias("idx"), F.lit(d).alias("delta"), start.alias("start"), size.alias("size"))))
-    return F.array_compact(F.array(*out))
+    return rows.withColumn("k", F.explode(F.array(*out))).drop("_n").where("k is not null")
 
 
 def _without(text: Column, start: Column, size: Column) -> Column:
@@ -77,7 +78,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 def candidate_pairs(lines: DataFrame, edits: int, hot: int) -> DataFrame:
     """Pairs (u, v) of line hashes that may be within the edits; lines has (h, line), repeats allowed."""
-    posted = lines.select("h", "line", F.explode(_keys(F.col("line"), F.lit(0), edits)).alias("k"))
+    posted = _keyed(lines.select("h", "line"), "line", F.lit(0), edits)
     live = materialize(
         posted.groupBy("k.key").agg(F.min("h").alias("a"), F.max("h").alias("z"), F.max("k.idx").alias("any_idx"))
         .where("a < z and any_idx = 1").select("key"), "line-keys",
@@ -101,7 +102,7 @@ def candidate_pairs(lines: DataFrame, edits: int, hot: int) -> DataFrame:
         base = F.length("rest") - F.col("delta")
         # at most `edits` characters differ: so few texts can share the key that pairs are bounded by the alphabet
         found = found.union(_pairs(part.where(base <= edits)))
-        deeper = part.where(base > edits).select("h", "rest", F.explode(_keys(F.col("rest"), F.col("key"), edits, F.col("delta"))).alias("k"), F.col("idx").alias("was"))
+        deeper = _keyed(part.where(base > edits).select("h", "rest", "key", "delta", F.col("idx").alias("was")), "rest", F.col("key"), edits, F.col("delta"))
         deeper = deeper.select("h", F.col("k.key"), F.least("was", "k.idx").alias("idx"), F.col("k.delta").alias("delta"), _without(F.col("rest"), F.col("k.start"), F.col("k.size")).alias("rest"))
         rows = materialize(deeper.distinct(), "line-posts")
 
