@@ -1,0 +1 @@
+"""Spark-native analytics for safe reuse of validated query transformations."""
