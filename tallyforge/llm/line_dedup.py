@@ -78,12 +78,13 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 def candidate_pairs(lines: DataFrame, edits: int, hot: int) -> DataFrame:
     """Pairs (u, v) of line hashes that may be within the edits; lines has (h, line), repeats allowed."""
-    posted = _keyed(lines.select("h", "line"), "line", F.lit(0), edits)
+    # keys are cut once and kept (hashes and places only); texts are fetched later for the few that match
+    posted = materialize(_keyed(lines.select("h", "line"), "line", F.lit(0), edits).select("h", "k.*"), "line-posted")
     live = materialize(
-        posted.groupBy("k.key").agg(F.min("h").alias("a"), F.max("h").alias("z"), F.max("k.idx").alias("any_idx"))
+        posted.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z"), F.max("idx").alias("any_idx"))
         .where("a < z and any_idx = 1").select("key"), "line-keys",
     )
-    flat = posted.select("h", "line", "k.*").join(live, "key", "left_semi")
+    flat = posted.join(live, "key", "left_semi")
     rows = materialize(flat.groupBy("key", "h", "idx", "delta").agg(F.min("start").alias("start"), F.min("size").alias("size")), "line-posts")
     found = None
     texts = None
