@@ -23,13 +23,16 @@ repeat are encoded each; other columns pass through; an empty table gives an emp
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,6 +143,99 @@ class Encoder:
         return f(self, left, body, right, ins, outs_clean)
 
 
+#: What a clean cut leaves whole: spaces and what follows them up to the next space.
+_SEGMENT = re.compile(" +[^ ]*")
+MOST_CACHED = 400_000
+
+
+class _Index(dict):
+    """Numbers new keys in order and remembers them."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
+class SegmentEncoder:
+    """Encodes many texts by their segments between clean cuts; each distinct segment meets the library once."""
+
+    def __init__(self, enc: Encoder):
+        self.enc = enc
+        self.clean = enc.pieces.clean_spaces and enc.pieces.kind == _BPE
+        self._reset()
+
+    def _reset(self) -> None:
+        self.index, self.flat, self.start = _Index(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def encode(self, texts: list[str]) -> pa.Array:
+        if not self.clean:
+            return pa.array(self.enc.sp.encode(texts, num_threads=1), pa.list_(pa.int32()))
+        if len(self.index) > MOST_CACHED or len(self.flat) > 8 * MOST_CACHED:
+            self._reset()
+        found = [_SEGMENT.findall(" " + t) if t else () for t in texts]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(found)), np.int64, int(count.sum()))
+        if self.index.new:
+            ids = self.enc.raw.encode(self.index.new, num_threads=1)
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(size.sum()))))
+            self.start = np.concatenate((self.start, self.start[-1] + size.cumsum()))
+            self.index.new.clear()
+        return _gather(self.flat, self.start, at, count)
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, at: np.ndarray, count: np.ndarray) -> pa.Array:
+    """Lists of the concatenated entries `at` of a ragged table, `count` entries a list."""
+    size = start[at + 1] - start[at]
+    ends = np.concatenate(([0], size.cumsum()))
+    values = flat[np.repeat(start[at] - ends[:-1], size) + np.arange(ends[-1])]
+    offsets = ends[np.concatenate(([0], count.cumsum()))]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+
+
+class Decoder:
+    """Decodes by a table of each piece's bytes; texts whose bytes aren't UTF-8 are left to the library."""
+
+    def __init__(self, proto: bytes):
+        import sentencepiece as spm
+
+        self.sp = sp = spm.SentencePieceProcessor(model_proto=proto)
+        table, self.led = [], []
+        for i in range(sp.get_piece_size()):
+            piece = sp.id_to_piece(i)
+            self.led.append(piece[:1] == SPACE)
+            table.append(b"" if sp.is_control(i) else bytes((int(piece[3:-1], 16),)) if sp.is_byte(i) else b" \xe2\x81\x87 " if sp.is_unknown(i) else piece.replace(SPACE, " ").encode())
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.start = np.concatenate(([0], np.cumsum([len(b) for b in table])))
+
+    def decode(self, ids: pa.Array) -> list[str | None]:
+        count = np.diff(ids.offsets.to_numpy())
+        at = ids.flatten().to_numpy().astype(np.int64)
+        raw = _gather(self.flat, self.start, at, count)
+        data, off = raw.values.to_numpy().tobytes(), raw.offsets.to_numpy().tolist()
+        valid = ids.is_valid().to_pylist()
+        first = np.concatenate(([0], count.cumsum()))
+        out: list[str | None] = []
+        for i, ok in enumerate(valid):
+            if not ok:
+                out.append(None)
+                continue
+            b, own = data[off[i] : off[i + 1]], at[first[i] : first[i + 1]]
+            try:
+                if len(own) and self.sp.is_control(int(own[0])):
+                    out.append(self.sp.decode(own.tolist()))
+                else:
+                    # without the prefix that encoding adds
+                    out.append((b[1:] if len(own) and self.led[own[0]] else b).decode())
+            except UnicodeDecodeError:
+                out.append(self.sp.decode(own.tolist()))
+        return out
+
+
 def straddling(pieces: Pieces, left: str, right: str) -> list[State]:
     """All pieces (and single characters) that end at a cut or reach over it."""
     out = []
@@ -345,10 +441,10 @@ def encode(docs: DataFrame, model_path: str = MODEL, giant: int = GIANT, chunk:
     out_schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(proto)
+        enc = SegmentEncoder(Encoder(proto))
         for b in chunks(batches, 256):
-            ids = enc.sp.encode([t or "" for t in b.column("text").to_pylist()], num_threads=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, "ids"])
+            ids = enc.encode([t or "" for t in b.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, "ids"])
 
     length = F.coalesce(F.length("text"), F.lit(0))
     small = docs.where(length <= giant).mapInArrow(direct, out_schema)
@@ -390,13 +486,13 @@ def _encode_giants(large: DataFrame, proto: bytes, chunk: int) -> DataFrame:
             ids = [chunk_ids(enc, r["body"], r["right"], (r["a0"], r["a1"]), (r["z0"], r["z1"])) for r in b.select(["body", "right", "a0", "a1", "z0", "z1"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), pa.array(ids, pa.list_(pa.int32()))], names=["key", "k", "ids"])
 
-    keyed = large.withColumn("key", F.xxhash64("text"))
-    texts = keyed.groupBy("key").agg(F.min("text").alias("text"))
+    keyed = large.withColumn("_pieces_key", F.xxhash64("text"))
+    texts = keyed.groupBy(F.col("_pieces_key").alias("key")).agg(F.min("text").alias("text"))
     parts = materialize(texts.mapInArrow(split, "key long, k int, left string, body string, right string, cin boolean, cout boolean").repartition("key", "k"), "pieces-chunks")
     at = materialize(parts.mapInArrow(matrices, "key long, k int, m string").groupBy("key").applyInArrow(states, "key long, k int, a0 long, a1 long, z0 long, z1 long"), "pieces-states")
     done = parts.join(at, ["key", "k"]).select("key", "k", "body", "right", "a0", "a1", "z0", "z1").mapInArrow(backtrace, "key long, k int, ids array<int>")
     joined = done.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return keyed.join(joined, "key").drop("key")
+    return keyed.join(joined.withColumnRenamed("key", "_pieces_key"), "_pieces_key").drop("_pieces_key")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -406,12 +502,8 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     src = encoded.select(*[F.col(f"`{f.name}`") for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece as spm
-
-        sp = spm.SentencePieceProcessor(model_proto=proto)
+        decoder = Decoder(proto)
         for b in chunks(batches, 256):
-            ids = b.column("ids").to_pylist()
-            text = sp.decode([i or [] for i in ids], num_threads=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if i is None else t for i, t in zip(ids, text, strict=True)], pa.string())], names=[*b.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decoder.decode(b.column("ids")), pa.string())], names=[*b.schema.names, "decoded"])
 
     return src.mapInArrow(run, T.StructType([*fields, T.StructField("decoded", T.StringType())]))
