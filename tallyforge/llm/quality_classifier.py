@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, labelled_sample
+from .common import held_out, labelled_sample, with_text
 from .textstats import FEATURES, chunks, stats_of, training_matrix
 
 SAMPLE_ROWS = 12000
@@ -163,7 +163,7 @@ def classify(docs: DataFrame, model: Gam) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "score", "predicted"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(FOLD, HELD).alias("held_out"), "text")
-    return src.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return with_text(src).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def filter_docs(docs: DataFrame, model: Gam, keep_at: float = 0.5) -> DataFrame:
@@ -173,4 +173,4 @@ def filter_docs(docs: DataFrame, model: Gam, keep_at: float = 0.5) -> DataFrame:
         for b in chunks(batches):
             yield b.filter(pa.array(model.score(stats_of(b.column("text").to_pylist())[1]) >= keep_at))
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return with_text(docs).mapInArrow(run, T.StructType(docs.schema.fields))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample
+from .common import labelled_sample, with_text
 from .textstats import BASE, FEATURES, chunks, stats_of, training_matrix
 
 SAMPLE_ROWS = 8000
@@ -137,7 +137,7 @@ def apply_rules(docs: DataFrame, forest: Forest, keep_at: float = KEEP_AT) -> Da
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *BASE, "base_failed", "rule_score", "kept"])
 
     schema = "doc_id long, " + ", ".join(f"{x} long" for x in BASE) + ", base_failed boolean, rule_score double, kept boolean"
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return with_text(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
 
 
 def filter_docs(docs: DataFrame, forest: Forest, keep_at: float = KEEP_AT) -> DataFrame:
@@ -148,4 +148,4 @@ def filter_docs(docs: DataFrame, forest: Forest, keep_at: float = KEEP_AT) -> Da
             base, x = stats_of(b.column("text").to_pylist())
             yield b.filter(pa.array(~base_failed(base) & (forest.score(x) >= keep_at)))
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return with_text(docs).mapInArrow(run, T.StructType(docs.schema.fields))

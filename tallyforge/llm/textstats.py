@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import with_text
+
 #: Fixed by the contract: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -103,7 +105,7 @@ def training_matrix(sample) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *(pa.array(c) for c in x.T)], names=["doc_id", "y", *names])
 
     rows = (
-        sample.selectExpr("cast(doc_id as long) doc_id", "text", "cast(y as double) y")
+        with_text(sample).selectExpr("cast(doc_id as long) doc_id", "text", "cast(y as double) y")
         .mapInArrow(run, "doc_id long, y double, " + ", ".join(f"{x} double" for x in names))
         .toPandas()
         .sort_values(["doc_id", "y", *names])

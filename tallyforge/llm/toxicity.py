@@ -4,8 +4,8 @@ One raw-content dictionary holds what ordinary documents say, the other the same
 typical of toxic ones: terms whose byte 4- to 6-grams occur in clearly more toxic than ordinary
 documents, the commonest last. A text is cut into windows of about `WINDOW` bytes at spaces; a window's saving
 is how much shorter it compresses with the toxic dictionary. A logistic model of a document's strongest
-savings, the number of windows by saving and the number of windows is calibrated on labelled documents that took no part in
-the dictionaries.
+savings, the number of windows by saving and the number of windows is calibrated out of fold: each third
+of the labelled documents on dictionaries of the other two.
 
 Labels come from at most `SAMPLE_TOXIC` + `SAMPLE_ORDINARY` labelled documents of at most `FIT_CHARS` characters
 outside the held-out fold (those of least id hash); near copies among them count once. The bound keeps
@@ -28,10 +28,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample
+from .common import held_out, labelled_sample, with_text
 from .textstats import chunks
 
-SAMPLE_TOXIC, SAMPLE_ORDINARY, FIT_CHARS = 3000, 6000, 20000
+SAMPLE_TOXIC, SAMPLE_ORDINARY, FIT_CHARS = 3000, 6000, 10000
 FOLD, HELD = 5, 0
 WINDOW = 48
 N_FEATURES = 9
@@ -162,28 +162,34 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, l2: float = 1.0) ->
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
-    """Fit on labelled texts; every third one calibrates, the others make the dictionaries."""
+    """Fit on labelled texts: calibrated on savings by dictionaries of the other two thirds, then dictionaries of all."""
     lowered = [" ".join(t.lower().split()).encode() for t in texts]
     part = [zlib.crc32(b) % 3 for b in lowered]
-    bad = _unlike([b for b, y, p in zip(lowered, toxic, part, strict=True) if y and p])
-    good = _unlike([b for b, y, p in zip(lowered, toxic, part, strict=True) if not y and p])
-    if not bad or not good:
-        return Model()
-    model = Model(*_dictionaries(bad, good))
-    savings = Savings(model)
-    held = [(t, y) for t, y, p in zip(texts, toxic, part, strict=True) if not p]
-    if len({y for _, y in held}) < 2:
-        held = list(zip(texts, toxic, strict=True))
-    x, y = np.array([savings.of(t) for t, _ in held]), np.array([y for _, y in held], float)
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
-    model.weights = _logistic((x - model.mean) / model.scale, y)
+    x, y = [], []
+    for held in (*range(3), None):
+        bad = _unlike([b for b, t, p in zip(lowered, toxic, part, strict=True) if t and p != held])
+        good = _unlike([b for b, t, p in zip(lowered, toxic, part, strict=True) if not t and p != held])
+        if not bad or not good:
+            if held is None:
+                return Model()
+            continue
+        model = Model(*_dictionaries(bad, good))
+        savings = Savings(model)
+        own = [(t, v) for t, v, p in zip(texts, toxic, part, strict=True) if p == held]
+        x += [savings.of(t) for t, _ in own]
+        y += [v for _, v in own]
+    if len(set(y)) < 2:
+        x, y = [savings.of(t) for t in texts], list(toxic)
+    m, v = np.array(x), np.array(y, float)
+    model.mean, model.scale = m.mean(0), m.std(0) + 1e-9
+    model.weights = _logistic((m - model.mean) / model.scale, v)
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, ordinary_rows: int = SAMPLE_ORDINARY) -> Model:
     short = docs.where(F.length("text") <= FIT_CHARS)
     both = [labelled_sample(short, labels, "toxic", ~held_out(FOLD, HELD) & (F.col("toxic") == v), n) for v, n in ((1, toxic_rows), (0, ordinary_rows))]
-    rows = sorted((r["doc_id"], r["text"], int(r["y"])) for r in both[0].union(both[1]).toLocalIterator())
+    rows = sorted((r["doc_id"], r["text"], int(r["y"])) for r in both[0].union(both[1]).collect())
     return fit([t for _, t, _ in rows], [y for *_, y in rows])
 
 
@@ -199,4 +205,4 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "score", "predicted"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(FOLD, HELD).alias("held_out"), "text")
-    return src.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return with_text(src).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
