@@ -35,11 +35,9 @@ def fold(c: Column, exact: bool = False) -> Column:
 def words(c: Column, exact: bool = False) -> Column:
     """Distinct folded words. Words are cut before folding, as folding can add characters that aren't of a word.
 
-    The exact fold works on the words joined by a space, which is no word character."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(WORD), F.lit(0))
-    if exact:
-        return F.array_distinct(F.filter(F.split(casefold_exact(F.array_join(found, " ")), " "), lambda w: w != ""))
-    return F.array_distinct(F.transform(found, lambda w: fold(w)))
+    They are folded together, joined by a space, which is no word character."""
+    found = F.array_join(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(WORD), F.lit(0)), " ")
+    return F.when(found == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(fold(found, exact), " ")))
 
 
 def jaccard(a: Column, b: Column) -> Column:
