@@ -10,7 +10,7 @@ keyed by length, and probes, for each length from n - max_edits to n, the substr
 allow. Keys that only one distinct line has are found by a pre-aggregated pass over hashes and dropped
 before any row meets another. A key that more than `hot` lines post isn't paired off: what remains of
 its lines without the shared segment is partitioned again in the same way, until a group is small or its
-lines differ in max_edits characters at most. Surviving pairs are verified by banded edit distance.
+lines differ in max_edits characters at most. Surviving pairs are verified by\nbanded bit-parallel edit distance.
 
 Defined cases: null text stays null, an empty text stays empty; a document whose lines are all repeats
 keeps its row with an empty text; rows that share a doc_id count as one document for ownership; rows
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, scratch
 
 MAX_EDITS = 1
 MIN_CHARS = 8
@@ -113,25 +113,85 @@ def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(x) with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def banded_distance(a: Column, b: Column, edits: int) -> Column:
+    """Edit distance of two arrays of characters, or more than edits if it is more.
+
+    Bit-parallel over a diagonal band of 2 * edits + 1 rows: column j of the matrix is two words of vertical
+    differences (+1 and -1) for rows j - edits to j + edits, and a step takes some logical operations
+    and one addition. The value followed runs down the band's lowest diagonal and then along the last row.
+    Lengths must differ by edits at most.
+    """
+    w = 2 * edits + 1
+    ones = F.lit((1 << w) - 1).cast("long")
+    m = F.size(a)
+    flip = lambda x: x.bitwiseXOR(ones)
+    bit = lambda x, i: F.call_function("shiftrightunsigned", x, i).bitwiseAND(F.lit(1).cast("long")).cast("int")
+
+    def step(acc: Column, j: Column) -> Column:
+        c = F.get(b, j - 1)
+        match = F.lit(0).cast("long")
+        for i in range(w):
+            match = match + F.when(F.get(a, j - edits + i - 1) == c, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+
+        def with_diagonal(both: Column) -> Column:
+            d0, vp, vn = both["d0"], acc["vp"], acc["vn"]
+            hp, hn = vn.bitwiseOR(flip(d0.bitwiseOR(vp))), d0.bitwiseAND(vp)
+            down = F.shiftrightunsigned(d0, 1)
+            row = m - j + edits  # where the last row stands in the band
+            at = lambda x: bit(x, F.greatest(row, F.lit(0)))
+            score = acc["score"] + F.when(row >= w - 1, 1 - bit(d0, F.lit(w - 1))).otherwise(at(hp) - at(hn))
+            return F.struct(hn.bitwiseOR(flip(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), score.alias("score"))
+
+        diagonal = lambda p: p.bitwiseAND(acc["vp"]) + acc["vp"]
+        d0 = lambda p: diagonal(p).bitwiseXOR(acc["vp"]).bitwiseOR(p).bitwiseOR(acc["vn"]).bitwiseAND(ones)
+        return _let(_let(match, lambda p: F.struct(d0(p).alias("d0"))), with_diagonal)
+
+    start = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.least(F.lit(edits), m).alias("score"))
+    return F.when(F.size(b) == 0, m).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(b)), start, step, lambda acc: acc["score"]))
+
+
+def _cores(pairs: DataFrame) -> DataFrame:
+    """pairs with the character arrays s and t without their common start and common end."""
+    alike = lambda a, b: F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
+    first = pairs.withColumn("_p", alike("s", "t"))
+    cut = lambda c: F.when(F.col("_p") == 0, F.array().cast("array<string>")).otherwise(F.reverse(F.slice(c, F.col("_p").cast("int"), F.greatest(F.size(c), F.lit(1)))))
+    rest = materialize(first.withColumns({"s": cut("s"), "t": cut("t")}), "line-tails").withColumn("_q", alike("s", "t"))
+    end = lambda c: F.when(F.col("_q") == 0, F.array().cast("array<string>")).otherwise(F.reverse(F.slice(c, F.col("_q").cast("int"), F.greatest(F.size(c), F.lit(1)))))
+    return rest.withColumns({"s": end("s"), "t": end("t")}).drop("_p", "_q")
+
+
+def _characters(c: str) -> Column:
+    return F.split(c, "")
+
+
 def line_links(lines: DataFrame, edits: int = MAX_EDITS, hot: int = 64) -> DataFrame:
     """Verified links (u, v) of distinct lines at most `edits` edits apart."""
     pairs = materialize(candidate_pairs(lines, edits, hot).distinct(), "line-pairs")
     ids = materialize(pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct(), "line-ids")
     texts = materialize(_texts(lines, ids), "line-texts")
     a, b = texts.select(F.col("h").alias("u"), F.col("line").alias("s")), texts.select(F.col("h").alias("v"), F.col("line").alias("t"))
-    far = F.levenshtein("s", "t", edits)  # banded: -1 beyond the threshold
-    return pairs.join(a, "u").join(b, "v").where(far >= 0).select("u", "v")
+    met = pairs.join(a, "u").join(b, "v").select("u", "v", _characters("s").alias("s"), _characters("t").alias("t"))
+    near = F.abs(F.size("s") - F.size("t")) <= edits
+    # written between the steps: a filter pushed through them would copy each step into the next many times
+    cores = materialize(_cores(materialize(met, "line-met").where(near)), "line-cores")
+    return materialize(cores.select("u", "v", banded_distance(F.col("s"), F.col("t"), edits).alias("d")), "line-distances").where(F.col("d") <= edits).select("u", "v")
 
 
 def line_classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, hot: int = 64) -> DataFrame:
     """(h, class, owner): for each line that isn't alone in its class, the least did that has the class."""
     lines = _lines(docs).withColumn("h", F.xxhash64("line"))
-    owners = materialize(lines.where(F.length("line") >= min_chars).groupBy("h").agg(F.min("did").alias("least"), F.max("did").alias("most")), "line-owners")
     near = lines.where(F.length("line") >= max(near_chars, min_chars)).select("h", "line")
-    comp = connected_components(line_links(near, edits, hot)).withColumnRenamed("node", "h")
-    joined = owners.join(comp, "h", "left").where("least < most or root is not null").select("h", "least", F.coalesce("root", "h").alias("class"))
-    root_owner = joined.groupBy("class").agg(F.min("least").alias("owner"))
-    return materialize(joined.join(root_owner, "class").select("h", "class", "owner"), "line-classes")
+    with scratch(docs.sparkSession):
+        owners = materialize(lines.where(F.length("line") >= min_chars).groupBy("h").agg(F.min("did").alias("least"), F.max("did").alias("most")), "line-owners")
+        comp = connected_components(line_links(near, edits, hot)).withColumnRenamed("node", "h")
+        joined = owners.join(comp, "h", "left").where("least < most or root is not null").select("h", "least", F.coalesce("root", "h").alias("class"))
+        root_owner = joined.groupBy("class").agg(F.min("least").alias("owner"))
+        return materialize(joined.join(root_owner, "class").select("h", "class", "owner"), "line-classes", keep=True)
 
 
 def line_dedup(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, hot: int = 64) -> DataFrame:
@@ -160,3 +220,37 @@ def line_dedup(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHA
     n_out = F.when(F.col("_keep").isNull(), n_in).otherwise(F.size(F.filter("_keep", lambda x: x)).cast("long"))
     cols = [kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in names]
     return joined.select(*cols, F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_in).alias("lines_in"), F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_out).alias("lines_out"))
+
+
+#: The rows of line_dedup with one edit, for DuckDB: halves share a key, then lines must agree but for one character.
+ORACLE = """
+WITH RECURSIVE doc AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents
+), ln AS (
+  SELECT doc_id, i AS pos, parts[i] AS raw, trim(parts[i], ' ') AS s FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM doc)
+), near AS (
+  SELECT DISTINCT s, length(s) AS n FROM ln WHERE length(s) >= 32
+), probe AS (
+  SELECT s, n - d AS k, unnest([left(s, (n - d) // 2) || chr(1), chr(1) || right(s, (n - d) - (n - d) // 2)]) AS key, d FROM near, (VALUES (0), (1)) v(d)
+), pair AS (
+  SELECT DISTINCT a.s AS a, b.s AS b FROM probe a JOIN probe b ON a.k = b.k AND a.key = b.key AND a.d = 0 AND a.s <> b.s
+), cut AS (
+  SELECT a, b, coalesce(list_filter(range(1, length(a) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))[1], length(a) + 1) AS p FROM pair
+), link AS (
+  SELECT a, b FROM cut WHERE substr(b, p + 1) = CASE WHEN length(a) = length(b) THEN substr(a, p + 1) ELSE substr(a, p) END
+), both_ways AS (
+  SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach(a, b) AS (
+  SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a
+), class_of AS (
+  SELECT a AS s, least(a, min(b)) AS class FROM reach GROUP BY a
+), classed AS (
+  SELECT ln.*, length(ln.s) >= 8 AS may, coalesce(class, ln.s) AS class FROM ln LEFT JOIN class_of USING (s)
+), owner AS (
+  SELECT class, min(doc_id) AS owner FROM classed WHERE may GROUP BY class
+), kept AS (
+  SELECT doc_id, pos, raw, NOT may OR (doc_id = owner AND row_number() OVER (PARTITION BY doc_id, class, may ORDER BY pos) = 1) AS keep FROM classed LEFT JOIN owner USING (class)
+)
+SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (keep), '') AS text, count(*) AS lines_in, count(*) FILTER (keep) AS lines_out FROM kept GROUP BY doc_id
+UNION ALL SELECT doc_id, text, 0, 0 FROM documents WHERE text IS NULL
+"""

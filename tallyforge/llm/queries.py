@@ -64,9 +64,10 @@ QUERIES["op4_chat_format"] = op4_chat_format
 
 
 def _oracles() -> None:
-    from . import chat_format
+    from . import chat_format, line_dedup
 
     ORACLE_SQL["op4_chat_format"] = chat_format.ORACLE
+    ORACLE_SQL["op8_line_dedup"] = line_dedup.ORACLE
 
 
 _oracles()
@@ -102,11 +103,11 @@ QUERIES["op7_html_extraction"] = op7_html_extraction
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from .sentencepiece_codec import decode, encode
+    from .sentencepiece_codec import encode
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
-    return decode(encode(docs)).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
+    return encode(docs, decoded=True).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
 
 
 QUERIES["op2_sentencepiece"] = op2_sentencepiece

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, scratch, with_text
 
 RADIUS = 2
 SEED = 42
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    return with_text(src).mapInArrow(run, "doc_id long, fp long")
 
 
 def close_pairs(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS, block: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -202,12 +202,13 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     component_id is the least doc_id among all documents reachable; group_id names the group itself,
     also where no member has an id.
     """
-    prints = materialize(fingerprints(docs), "simhash-fp")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = connected_components(links(distinct.select("fp")))
-    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(member.join(least, "root").select("fp", F.col("root").alias("group_id"), "component_id"), "simhash-groups")
+    prints = materialize(fingerprints(docs), "simhash-fp", keep=True)
+    with scratch(docs.sparkSession):
+        distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+        roots = connected_components(links(distinct.select("fp")))
+        member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        least = member.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = materialize(member.join(least, "root").select("fp", F.col("root").alias("group_id"), "component_id"), "simhash-groups", keep=True)
     return prints.join(named, "fp").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_id"
     )
