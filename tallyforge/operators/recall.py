@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import WORD, words
 
 Scorer = Callable[[Column, Column], Column]
 
@@ -17,9 +17,8 @@ def recall_top_m(requests: DataFrame, experiences: DataFrame, m: int = 5, exact_
 
     Words of both sides meet in an inverted index (an equi-join on the word), so only pairs that share one
     are formed; their intersection is counted with a combine before the shuffle. Targets with fewer than m such
-    experiences are filled up with the smallest ids, as a score of zero ranks too: at most m of them can matter,
-    plus the experiences without words, which match targets without words fully. Those few rows are
-    the only ones paired with every target that needs them.
+    experiences are filled up with the smallest ids, as a score of zero ranks too; experiences without words
+    match targets without words fully. Those few rows are the only ones paired with every target.
     """
     if m < 1:
         raise ValueError("m must be at least 1")
@@ -29,15 +28,16 @@ def recall_top_m(requests: DataFrame, experiences: DataFrame, m: int = 5, exact_
     ew = e.select("experience_id", F.size("v").alias("ne"), F.explode("v").alias("word"))
     shared = tw.join(ew, "word").groupBy("target_query_id", "experience_id").agg(F.count("*").alias("i"), F.min("nt").alias("nt"), F.min("ne").alias("ne"))
     scored = shared.select("target_query_id", "experience_id", (F.col("i") / (F.col("nt") + F.col("ne") - F.col("i")).cast("double")).alias("recall_score"))
-    # fill: the 2m least ids cover m that don't overlap, as fewer than m overlap where a fill is needed
+    # fill: where fewer than m overlap, m that don't are among the 2m least ids. Every target gets these few rows, as
+    # finding the targets that need them would take the join a second time.
     first = e.orderBy("experience_id").limit(2 * m).select(F.collect_list("experience_id").alias("fill"))
     blank = e.where(F.size("v") == 0).orderBy("experience_id").limit(m).select(F.collect_list("experience_id").alias("blank"))
     few = F.broadcast(first.join(blank))  # one row of at most 3m ids
-    own = scored.groupBy("target_query_id").agg(F.count("*").alias("n"))
-    need = t.select("target_query_id", (F.size("w") == 0).alias("empty")).join(own, "target_query_id", "left").where(F.coalesce("n", F.lit(0)) < m).join(few)
-    zero = need.select("target_query_id", F.explode("fill").alias("experience_id"), F.lit(0.0).alias("recall_score"))
-    full = need.where("empty").select("target_query_id", F.explode("blank").alias("experience_id"), F.lit(1.0).alias("recall_score"))
-    best = scored.union(zero).union(full).groupBy("target_query_id", "experience_id").agg(F.max("recall_score").alias("recall_score"))
+    # whether there is a word at all is told by the first one, so texts aren't cut a second time for it
+    empty = ~F.coalesce(F.col("target_query").rlike(WORD), F.lit(False))
+    extra = F.concat(F.transform("fill", lambda x: F.struct(x.alias("id"), F.lit(0.0).alias("s"))), F.when(empty, F.transform("blank", lambda x: F.struct(x.alias("id"), F.lit(1.0).alias("s")))).otherwise(F.array().cast("array<struct<id:string,s:double>>")))
+    fill = requests.join(few).select("target_query_id", F.explode(extra).alias("x")).select("target_query_id", F.col("x.id").alias("experience_id"), F.col("x.s").alias("recall_score"))
+    best = scored.union(fill).groupBy("target_query_id", "experience_id").agg(F.max("recall_score").alias("recall_score"))
     rank = F.row_number().over(Window.partitionBy("target_query_id").orderBy(F.desc("recall_score"), "experience_id"))
     return best.withColumn("recall_rank", rank).where(F.col("recall_rank") <= m)
 
