@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, with_text
 from .textstats import chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -433,25 +433,27 @@ def _unpack(text: str) -> Matrix:
     return {((a, b), (c, d)): s for a, b, c, d, s in json.loads(text)}
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """docs with ids array<int>: the pieces of the whole text."""
+def encode(docs: DataFrame, model_path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
+    """docs with ids array<int>: the pieces of the whole text. decoded: with their text too, in the same pass."""
     proto = _read(model_path)
-    fields = [f for f in docs.schema.fields if f.name != "ids"]
-    docs = docs.select(*[F.col(f"`{f.name}`") for f in fields])
-    out_schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    fields = [f for f in docs.schema.fields if f.name not in ("ids", "decoded")[: 1 + decoded]]
+    docs = with_text(docs).select(*[F.col(f"`{f.name}`") for f in fields])
+    out_schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded])
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = SegmentEncoder(Encoder(proto))
-        for b in chunks(batches, 256):
+        enc, dec = SegmentEncoder(Encoder(proto)), Decoder(proto) if decoded else None
+        for b in chunks(batches, 128):
             ids = enc.encode([t or "" for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, "ids"])
+            back = [pa.array(dec.decode(ids), pa.string())] if dec else []
+            yield pa.RecordBatch.from_arrays([*b.columns, ids, *back], names=[*b.schema.names, "ids", *["decoded"] * decoded])
 
     length = F.coalesce(F.length("text"), F.lit(0))
     small = docs.where(length <= giant).mapInArrow(direct, out_schema)
     large = docs.where(length > giant)
     if large.isEmpty():
         return small
-    return small.unionByName(_encode_giants(large, proto, chunk))
+    giants = _encode_giants(large, proto, chunk)
+    return small.unionByName(decode(giants, model_path) if decoded else giants)
 
 
 def _encode_giants(large: DataFrame, proto: bytes, chunk: int) -> DataFrame:
@@ -503,7 +505,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(proto)
-        for b in chunks(batches, 256):
+        for b in chunks(batches, 128):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decoder.decode(b.column("ids")), pa.string())], names=[*b.schema.names, "decoded"])
 
-    return src.mapInArrow(run, T.StructType([*fields, T.StructField("decoded", T.StringType())]))
+    return with_text(src).mapInArrow(run, T.StructType([*fields, T.StructField("decoded", T.StringType())]))
