@@ -16,8 +16,13 @@ SPACE = r"(?U)[\s\x1c-\x1f]+"
 WORD = r"[\p{L}\p{N}_]+"
 
 
+# The characters that str.strip removes.
+STRIPPED = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """str.strip: looks at the ends only, whatever the length of the text."""
+    return F.btrim(c, F.lit(STRIPPED))
 
 
 @F.pandas_udf(T.StringType())

@@ -58,6 +58,10 @@ def test_strip(spark, text):
     assert one(spark, tx.py_strip(F.lit(text))) == text.strip()
 
 
+def test_stripped_characters():
+    assert {c for c in map(chr, range(0x110000)) if c.isspace()} == set(tx.STRIPPED)
+
+
 def test_jaccard_edges(spark):
     assert one(spark, tx.token_jaccard(F.lit(""), F.lit("..."))) == 1.0
     assert one(spark, tx.token_jaccard(F.lit(""), F.lit("a"))) == 0.0
