@@ -30,8 +30,8 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each without the lines that an earlier one holds; n_chars follows the text."""
-    kept = lines.line_dedup(docs).drop("lines_in", "lines_out")
+    """All documents, each without the lines that an earlier one holds within two edits; n_chars follows the text."""
+    kept = lines.line_dedup(docs, edits=lines.WIDE_EDITS).drop("lines_in", "lines_out")
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

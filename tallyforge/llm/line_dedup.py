@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, scratch
 
 MAX_EDITS = 1
+WIDE_EDITS = 2
 MIN_CHARS = 8
 NEAR_CHARS = 32
 _NO_ID = (1 << 63) - 1
@@ -85,7 +86,8 @@ def candidate_pairs(lines: DataFrame, edits: int, hot: int) -> DataFrame:
         .where("a < z and any_idx = 1").select("key"), "line-keys",
     )
     flat = posted.join(live, "key", "left_semi")
-    rows = materialize(flat.groupBy("key", "h", "idx", "delta").agg(F.min("start").alias("start"), F.min("size").alias("size")), "line-posts")
+    # a text may hold the segment at several places: beyond one edit, what remains without it differs by place
+    rows = materialize(flat.select("key", "h", "idx", "delta", "start", "size").distinct(), "line-posts")
     found = None
     texts = None
     while True:
