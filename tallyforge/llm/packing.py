@@ -2,8 +2,9 @@
 
 Document length is the number of words (runs of anything but ASCII white space), or any integer column.
 The global histogram of lengths has exact cells below 512 and cells of 1/256 relative width above, so at
-most a few thousand cells reach the driver whatever the corpus. Dynamic programming over the cells
-chooses the `buckets` upper bounds that minimise total padding, exactly for that histogram.
+most a few thousand cells reach the driver whatever the corpus. A cell's limit is its longest document. Dynamic
+programming over the cells chooses the `buckets` upper bounds that minimise total padding among these
+limits: of all bounds up to 512 words, of those that split no cell above.
 
 In a bucket of padded length L a batch holds max(1, budget // L) documents. Rows of a bucket are dealt by
 a hash of the document over shards of about `shard_rows`, so no task gets a whole bucket; each shard fills
@@ -43,11 +44,11 @@ def cell_of(length: Column) -> Column:
 
 
 def histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell limits, documents, tokens) in order of the limits; bounded by the number of cells."""
+    """(longest length, documents, tokens) of each cell in order; bounded by the number of cells."""
     rows = (
-        lengths.groupBy(cell_of(F.col("n_tokens")).alias("cell")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).toPandas().sort_values("cell")
+        lengths.groupBy(cell_of(F.col("n_tokens")).alias("cell")).agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n"), F.sum("n_tokens").alias("t")).toPandas().sort_values("cell")
     )
-    return rows["cell"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rows["t"].to_numpy(np.int64)
+    return rows["longest"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rows["t"].to_numpy(np.int64)
 
 
 def best_bounds(cells: np.ndarray, count: np.ndarray, buckets: int) -> list[int]:

@@ -116,3 +116,10 @@ def test_packing_edges(spark):
     check_packing(got, 6, 100)
     assert sorted(r.n_tokens for r in got) == [0, 0, 2, 2, 2, 300]
     assert pk.pack(df.limit(0)).count() == 0
+
+
+def test_long_documents_are_padded_to_the_longest_of_their_bucket(spark):
+    lengths = [3, 700, 701, 5003, 5003, 20001]
+    df = spark.range(len(lengths)).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.get(F.array(*map(F.lit, lengths)), F.col("id").cast("int")).alias("n"))
+    got = pk.pack(df, buckets=4, length=F.col("n")).collect()
+    assert sorted((r.n_tokens, r.padded_to) for r in got) == [(3, 3), (700, 701), (701, 701), (5003, 5003), (5003, 5003), (20001, 20001)]
