@@ -57,16 +57,17 @@ def fingerprint(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed long; hashed: with text_hash, the XXH64 of the text, too."""
+    more = ["text_hash"] if hashed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t) for t in b.column("t").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)), *[b.column(c) for c in more]], names=["doc_id", "fp", *more])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
-    return with_text(src).mapInArrow(run, "doc_id long, fp long")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"), *[F.xxhash64("text").alias(c) for c in more])
+    return with_text(src).mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *more]))
 
 
 def close_pairs(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS, block: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -196,13 +197,13 @@ def links(distinct: DataFrame, hot: int = 4096) -> DataFrame:
     return out.union(_edges_of(sized.where(F.col("n") > hot).select(F.explode(F.array(*again)).alias("key"), "fp")))
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, fp (long), fingerprint (16 hex digits), component_id, group_id.
+def simhash_components(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, fp (long), fingerprint (16 hex digits), component_id, group_id; hashed: and text_hash.
 
     component_id is the least doc_id among all documents reachable; group_id names the group itself,
     also where no member has an id.
     """
-    prints = materialize(fingerprints(docs), "simhash-fp", keep=True)
+    prints = materialize(fingerprints(docs, hashed), "simhash-fp", keep=True)
     with scratch(docs.sparkSession):
         distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
         roots = connected_components(links(distinct.select("fp")))
@@ -210,19 +211,20 @@ def simhash_components(docs: DataFrame) -> DataFrame:
         least = member.groupBy("root").agg(F.min("least").alias("component_id"))
         named = materialize(member.join(least, "root").select("fp", F.col("root").alias("group_id"), "component_id"), "simhash-groups", keep=True)
     return prints.join(named, "fp").select(
-        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_id"
+        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_id", *(["text_hash"] if hashed else [])
     )
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """docs with one document of each group: the one of least doc_id.
 
-    Of several rows with that doc_id, the one of least text stays. Rows without doc_id are never removed.
+    Of several rows of the group with that doc_id, the one of least text stays; rows that share a doc_id in
+    different groups are documents of their own. Rows without doc_id are never removed.
     """
-    groups = simhash_components(docs.select("doc_id", "text"))
-    lead = groups.groupBy("group_id").agg(F.min("doc_id").alias("lead_id")).where("lead_id is not null").select("lead_id").distinct()
+    groups = simhash_components(docs.select("doc_id", "text"), hashed=True).where("doc_id = component_id")
+    lead = groups.select(F.col("doc_id").alias("_lead"), F.col("text_hash").alias("_hash"), F.col("group_id").alias("_group")).distinct()
     own = docs.where(F.col("doc_id").isNotNull())
-    kept = own.join(lead, own["doc_id"] == lead["lead_id"], "left_semi")
+    kept = own.join(lead, (own["doc_id"] == lead["_lead"]) & (F.xxhash64(own["text"]) == lead["_hash"]))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    single = kept.groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    single = kept.groupBy("_group").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
     return single.unionByName(docs.where(F.col("doc_id").isNull()))

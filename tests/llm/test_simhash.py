@@ -98,6 +98,14 @@ def test_nulls_copies_ties_and_clashing_columns(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([2, None, None, 5], key=str)
 
 
+def test_rows_of_one_id_in_different_groups_each_stay(spark):
+    near, far, lone = "one two three four five", "w x y z and more words", "nothing like the others here at all"
+    rows = [(1, near), (1, far), (1, near.upper()), (2, near), (2, lone), (3, far), (3, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text or "") for r in sh.near_dedup(df).collect()))
+    assert got == [(1, near.upper()), (1, far), (2, lone), (3, "")]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert sh.simhash_components(df).count() == 0 and sh.near_dedup(df).count() == 0
