@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,9 +14,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of this machine's only where the setting is absent (tests)."""
+    """The folder named in spark.checkpoint.dir; one of this machine's only where the setting is absent and all runs here (tests).
+
+    On a cluster executors would each write to their own disk and results would lack rows, so that's an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[(\d+|\*)(,\s*\d+)?\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tallyforge-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -42,12 +48,16 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
 
     Within scratch(), the table goes with it unless it is to be kept for a result that is still to be read.
+    All others go when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if (paths := _scratch.get()) is not None and not keep:
         paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
+    if path not in (paths or ()):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,19 +4,26 @@ A line counts once in the corpus: of all lines in a class, the one in the docume
 the first) stays, the others are removed. Classes are the components of "equal after trimming" and "at
 most `max_edits` edits apart" (the latter for lines of at least `near_chars` characters).
 
-The edit join partitions a line of n characters into max_edits + 1 even segments; a line within the
-radius has one of them unchanged at a start that differs by a bounded shift. Every line posts its segments,
-keyed by length, and probes, for each length from n - max_edits to n, the substrings that the shift bounds
-allow. Keys that only one distinct line has are found by a pre-aggregated pass over hashes and dropped
-before any row meets another. A key that more than `hot` lines post isn't paired off: what remains of
-its lines without the shared segment is partitioned again in the same way, until a group is small or its
-lines differ in max_edits characters at most. Surviving pairs are verified by\nbanded bit-parallel edit distance.
+The edit join partitions a line into max_edits + 1 even segments; a line within the radius has one of them
+unchanged at a start that differs by a bounded shift. Lengths come in bands (`BANDS`). All lines of a band cut
+segments of the same sizes, those of the left half counted from the start and those of the right half from
+the end, and what a line is longer than its band's least length is left between them. So lines of one band
+share the keys of outer segments whatever their lengths, and only inner segments are probed at shifts: if
+segment i is the first before and in which at most i - 1 edits fall, i - 1 lie before it, none in it and at most
+max_edits + 1 - i behind it. Every line posts the segments of its band, keyed by band, and probes the substrings
+that the shift bounds allow, also for the bands of lines up to max_edits characters shorter.
+
+Keys that only one distinct line has are found by a pre-aggregated pass over hashes and dropped before any row
+meets another. Lines first meet the commonest line of each key; then those meet that aren't yet of one
+component. A key that more than `hot` lines post isn't paired off: what remains of its lines without the
+shared segment is partitioned again in the same way, until a group is small or what remains has no
+segments. Surviving pairs are verified by banded bit-parallel edit distance.
 
 Defined cases: null text stays null, an empty text stays empty; a document whose lines are all repeats
 keeps its row with an empty text; rows that share a doc_id count as one document for ownership; rows
 without doc_id own a line only if no document with an id has it, and then each keeps it; blank lines and
 lines under `min_chars` stay; other columns pass through; an empty table gives an empty result. Line
-identity is a 64-bit hash of the trimmed line.
+identity is two 64-bit hashes of the trimmed line.
 """
 
 from __future__ import annotations
@@ -30,6 +37,8 @@ MAX_EDITS = 1
 WIDE_EDITS = 2
 MIN_CHARS = 8
 NEAR_CHARS = 32
+#: (length, width): lines of that length or more come in bands of as many lengths; widths divide the lengths where they begin.
+BANDS = ((4, 1), (16, 4), (64, 16))
 _NO_ID = (1 << 63) - 1
 
 
@@ -38,83 +47,116 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.explode(F.split("text", "\n", -1)).alias("line")).select("did", F.trim("line").alias("line"))
 
 
-def _keyed(rows: DataFrame, text: str, group: Column, edits: int, delta: Column | None = None) -> DataFrame:
-    """rows times (key, idx, delta, start, size) that a text posts (idx 1) and probes.
+def _identity(line: str) -> dict[str, Column]:
+    """Two independent hashes of a line."""
+    return {"h": F.xxhash64(line), "g": F.xxhash64(F.lit(1), line)}
 
-    delta: how much longer the text is than those it is to meet; None: all of 0..edits. Compiled
-    expressions only: the array is exploded with nulls, which go by the filter that follows.
+
+def _band(n: Column) -> Column:
+    """Least length of the band that holds length n."""
+    out = n
+    for least, width in BANDS:
+        out = F.when(n >= least, n.bitwiseAND(F.lit(-width))).otherwise(out)
+    return out
+
+
+def _keyed(rows: DataFrame, text: str, group: Column, edits: int) -> DataFrame:
+    """rows times (_key, idx, start, size) that a text posts (idx 1) and probes.
+
+    Bands and places are exploded one after the other: each step is a short expression over columns of the step
+    before, as methods too long for the compiler would be interpreted.
     """
     m = edits + 1
-    rows = rows.withColumn("_n", F.length(text))
-    out = []
-    for d in range(edits + 1):
-        n = F.col("_n") - d
-        q, extra = F.expr(f"cast((_n - {d}) div {m} as int)"), n % m
-        fits = n >= m
-        if delta is not None:
-            fits = fits & (delta == d)
-        for i in range(1, m + 1):
-            # the last `extra` segments are one longer
-            at = q * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1 - m) + extra) + 1
-            size = q + (F.lit(i - 1 - m) + extra >= 0).cast("int")
-            for shift in range(max(-(i - 1), d - (m - i)), min(i - 1, d + (m - i)) + 1):
-                start = at + shift
-                ok = fits & (start >= 1) & (start + size - 1 <= F.col("_n"))
-                key = F.xxhash64(group, F.lit(i), n, F.substring(F.col(text), start, size))
-                own = 1 if d == 0 and shift == 0 else 0
-                out.append(F.when(ok, F.struct(key.alias("key"), F.lit(own).alias("idx"), F.lit(d).alias("delta"), start.alias("start"), size.alias("size"))))
-    return rows.withColumn("k", F.explode(F.array(*out))).drop("_n").where("k is not null")
+    n, b, q, x = (F.col(c) for c in ("_n", "_b", "_q", "_x"))
+    # the text's own band, and those of shorter lines where they are others
+    bands = F.array_distinct(F.array(*[_band(F.greatest(n - d, F.lit(0))) for d in range(m)]))
+    rows = rows.withColumn("_n", F.length(text)).select("*", F.posexplode(bands).alias("_d", "_b"))
+    rows = rows.withColumns({"_q": F.expr(f"cast(_b div {m} as int)"), "_x": b % m})
+    places = []
+    for i in range(1, m + 1):
+        # the last _x segments are one longer; those of the right half are counted from the end
+        at = q * (i - 1) + F.greatest(F.lit(0), x - (m + 1 - i)) + 1
+        at = at + n - b if 2 * i > m + 1 else at
+        size = q + (x >= m + 1 - i).cast("int")
+        reach = min(i - 1, m - i)
+        places += [F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"), (at + s).alias("start"), size.alias("size")) for s in range(-reach, reach + 1)]
+    rows = rows.withColumn("_p", F.explode(F.array(*places))).select("*", "_p.*").drop("_p")
+    # a band of fewer characters than segments has one key without any
+    fits = F.when(b < m, (F.col("i") == 1) & (F.col("s") == 0)).otherwise((F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= n))
+    rows = rows.where(fits).withColumn("size", F.when(b < m, 0).otherwise(F.col("size")))
+    key = F.xxhash64(group, "i", b, F.substring(F.col(text), F.col("start"), F.col("size")))
+    return rows.withColumns({"_key": key, "idx": ((F.col("_d") == 0) & (F.col("s") == 0)).cast("int")}).drop("_n", "_d", "_b", "_q", "_x", "i", "s")
 
 
 def _without(text: Column, start: Column, size: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), start - 1), F.substring(text, start + size, F.length(text)))
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """(u, v): posted lines with those that share the key; equal-length pairs once."""
-    a = rows.where("idx = 1").select("key", F.col("h").alias("u"))
-    b = rows.select("key", F.col("h").alias("v"), "idx")
-    return a.join(b, "key").where("u <> v and (idx = 0 or u < v)").select("u", "v")
+def _parities(line: str) -> Column:
+    """For each of 64 classes of characters, whether the line has an odd number of them. An edit changes two at most."""
+    return F.aggregate(_characters(line), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c))))
+
 
+def live_lines(lines: DataFrame, edits: int) -> DataFrame:
+    """(h, g, line, n, posts, len, odd): distinct lines that share a key with another one; lines has (h, g, line), repeats allowed.
 
-def candidate_pairs(lines: DataFrame, edits: int, hot: int) -> DataFrame:
-    """Pairs (u, v) of line hashes that may be within the edits; lines has (h, line), repeats allowed."""
-    # keys are cut once and kept (hashes and places only); texts are fetched later for the few that match
-    posted = materialize(_keyed(lines.select("h", "line"), "line", F.lit(0), edits).select("h", "k.*"), "line-posted")
+    posts holds (key, idx, start, size) of the shared keys, n is the number of occurrences times keys; len and odd (parities)
+    tell most pairs apart without their texts.
+    """
+    keyed = _keyed(lines, "line", F.lit(0), edits).withColumnRenamed("_key", "key")
     live = materialize(
-        posted.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z"), F.max("idx").alias("any_idx"))
+        keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z"), F.max("idx").alias("any_idx"))
         .where("a < z and any_idx = 1").select("key"), "line-keys",
     )
-    flat = posted.join(live, "key", "left_semi")
-    # a text may hold the segment at several places: beyond one edit, what remains without it differs by place
-    rows = materialize(flat.select("key", "h", "idx", "delta", "start", "size").distinct(), "line-posts")
+    # cutting the keys again costs less than writing them; few of them are shared
+    met = keyed.join(live, "key", "left_semi")
+    found = met.groupBy("h", "g", "line").agg(F.count("*").alias("n"), F.collect_set(F.struct("key", "idx", "start", "size")).alias("posts"))
+    return materialize(found.withColumns({"len": F.length("line"), "odd": _parities("line")}), "line-live")
+
+
+def _alike(edits: int) -> Column:
+    """Whether lines of (len, odd) and (_l, _o) may be within the edits."""
+    return (F.abs(F.col("len") - F.col("_l")) <= edits) & (F.bit_count(F.col("odd").bitwiseXOR(F.col("_o"))) <= 2 * edits)
+
+
+def _pairs(rows: DataFrame, edits: int) -> DataFrame:
+    """(u, v) of different roots that may be within the edits: posted lines with those that share the key; pairs of posted lines once."""
+    a = rows.where("idx = 1").select("key", F.col("h").alias("u"), F.col("root").alias("_r"), F.col("len").alias("_l"), F.col("odd").alias("_o"))
+    b = rows.select("key", F.col("h").alias("v"), "idx", "root", "len", "odd")
+    return a.join(b, "key").where(F.expr("_r <> root and (idx = 0 or u < v)") & _alike(edits)).select("u", "v")
+
+
+def candidate_pairs(live: DataFrame, roots: DataFrame | None, edits: int, hot: int) -> DataFrame:
+    """Pairs (u, v) of line hashes that may be within the edits and whose roots differ.
+
+    roots: (h, root) of lines that are known to be of one class; all others are their own root.
+    """
+    flat = live.select("h", "len", "odd", F.explode("posts").alias("p")).select("h", "len", "odd", "p.*")
+    flat = flat.withColumn("root", F.col("h")) if roots is None else flat.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    rows = materialize(flat, "line-posts")
     found = None
-    texts = None
+    texts = live.select("h", "line")
     while True:
-        sizes = rows.groupBy("key").agg(F.sum("idx").alias("n"))
-        big = materialize(sizes.where(F.col("n") > hot).select("key"), "line-hot")
-        small = _pairs(rows.join(big, "key", "left_anti"))
+        sizes = materialize(
+            rows.groupBy("key").agg(F.sum("idx").alias("n"), F.max("size").alias("cut"), F.min("root").alias("a"), F.max("root").alias("z")).where("a < z and n > 0").select("key", "n", "cut"), "line-sizes",
+        )
+        # what is left without a segment is `edits` characters long at most (`cut` 0): so few texts share the rest that the alphabet bounds the pairs
+        final = (F.col("n") <= hot) | (F.col("cut") == 0)
+        small = _pairs(rows.join(sizes.where(final), "key", "left_semi"), edits)
         found = small if found is None else found.union(small)
+        big = sizes.where(~final)
         if big.isEmpty():
             return found
-        part = rows.join(big, "key")
-        if texts is None:
-            texts = materialize(_texts(lines, part.select("h").distinct()), "line-hot-texts")
+        part = rows.join(big, "key", "left_semi")
+        if texts is not None:
             part = part.join(texts, "h").withColumn("rest", _without(F.col("line"), F.col("start"), F.col("size"))).drop("line")
-        part = materialize(part, "line-rest")
-        base = F.length("rest") - F.col("delta")
-        # at most `edits` characters differ: so few texts can share the key that pairs are bounded by the alphabet
-        found = found.union(_pairs(part.where(base <= edits)))
-        deeper = _keyed(part.where(base > edits).select("h", "rest", "key", "delta", F.col("idx").alias("was")), "rest", F.col("key"), edits, F.col("delta"))
-        deeper = deeper.select("h", F.col("k.key"), F.least("was", "k.idx").alias("idx"), F.col("k.delta").alias("delta"), _without(F.col("rest"), F.col("k.start"), F.col("k.size")).alias("rest"))
+            texts = None
+        part = materialize(part.select("h", "root", "len", "odd", "rest", "key", F.col("idx").alias("was")), "line-rest")
+        deeper = _keyed(part, "rest", F.col("key"), edits)
+        deeper = deeper.select("h", "root", "len", "odd", F.col("_key").alias("key"), F.least("was", "idx").alias("idx"), "start", "size", _without(F.col("rest"), F.col("start"), F.col("size")).alias("rest"))
         rows = materialize(deeper.distinct(), "line-posts")
 
 
-def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, line) of the wanted hashes."""
-    return lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-
-
 def _let(value: Column, body) -> Column:
     """body(x) with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -171,29 +213,53 @@ def _characters(c: str) -> Column:
     return F.split(c, "")
 
 
-def line_links(lines: DataFrame, edits: int = MAX_EDITS, hot: int = 64) -> DataFrame:
-    """Verified links (u, v) of distinct lines at most `edits` edits apart."""
-    pairs = materialize(candidate_pairs(lines, edits, hot).distinct(), "line-pairs")
-    ids = materialize(pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct(), "line-ids")
-    texts = materialize(_texts(lines, ids), "line-texts")
+def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Those of the pairs (u, v) that are at most `edits` edits apart; texts has (h, line)."""
     a, b = texts.select(F.col("h").alias("u"), F.col("line").alias("s")), texts.select(F.col("h").alias("v"), F.col("line").alias("t"))
-    met = pairs.join(a, "u").join(b, "v").select("u", "v", _characters("s").alias("s"), _characters("t").alias("t"))
-    near = F.abs(F.size("s") - F.size("t")) <= edits
+    met = pairs.distinct().join(a, "u").join(b, "v").where(F.abs(F.length("s") - F.length("t")) <= edits).select("u", "v", _characters("s").alias("s"), _characters("t").alias("t"))
     # written between the steps: a filter pushed through them would copy each step into the next many times
-    cores = materialize(_cores(materialize(met, "line-met").where(near)), "line-cores")
+    cores = materialize(_cores(materialize(met, "line-met")), "line-cores")
     return materialize(cores.select("u", "v", banded_distance(F.col("s"), F.col("t"), edits).alias("d")), "line-distances").where(F.col("d") <= edits).select("u", "v")
 
 
+def line_links(lines: DataFrame, edits: int = MAX_EDITS, hot: int = 64) -> DataFrame:
+    """All verified links (u, v) of distinct lines (h, line) at most `edits` edits apart."""
+    live = live_lines(lines.select("line").withColumns(_identity("line")), edits)
+    return _verified(candidate_pairs(live, None, edits, hot), live.select("h", "line"), edits)
+
+
+def line_components(live: DataFrame, edits: int, hot: int) -> DataFrame:
+    """(h, root) of lines with a link, root being some member of the component; live as of live_lines.
+
+    First every line of a key meets the commonest line of that key only: this settles large groups of variants of
+    one line in as many pairs as they have lines. Then pairs are formed, but only of lines that aren't yet of one
+    component, so every link between components is found.
+    """
+    texts = live.select("h", "line")
+    posts = live.select("h", "n", "len", "odd", F.explode("posts.key").alias("key"))
+    top = posts.groupBy("key").agg(F.max(F.struct("n", "h", "len", "odd")).alias("top")).select("key", F.col("top.h").alias("u"), F.col("top.len").alias("_l"), F.col("top.odd").alias("_o"))
+    stars = _verified(posts.join(top, "key").where((F.col("h") != F.col("u")) & _alike(edits)).select("u", F.col("h").alias("v")), texts, edits)
+    roots = materialize(connected_components(stars).withColumnRenamed("node", "h"), "line-roots")
+    links = _verified(candidate_pairs(live, roots, edits, hot), texts, edits)
+    of = lambda c: roots.select(F.col("h").alias(c), F.col("root").alias(f"r{c}"))
+    between = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+    joined = materialize(connected_components(between), "line-joined")
+    onto = joined.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    known = roots.join(onto, "root", "left").select("h", F.coalesce("next", "root").alias("root"))
+    return known.union(joined.select(F.col("node").alias("h"), "root").join(roots, "h", "left_anti"))
+
+
 def line_classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, hot: int = 64) -> DataFrame:
-    """(h, class, owner): for each line that isn't alone in its class, the least did that has the class."""
-    lines = _lines(docs).withColumn("h", F.xxhash64("line"))
-    near = lines.where(F.length("line") >= max(near_chars, min_chars)).select("h", "line")
+    """(h, g, class, also, owner): for each line that isn't alone in its class, the least did that has the class (class, also)."""
+    lines = _lines(docs).withColumns(_identity("line"))
+    near = lines.where(F.length("line") >= max(near_chars, min_chars)).select("h", "g", "line")
     with scratch(docs.sparkSession):
-        owners = materialize(lines.where(F.length("line") >= min_chars).groupBy("h").agg(F.min("did").alias("least"), F.max("did").alias("most")), "line-owners")
-        comp = connected_components(line_links(near, edits, hot)).withColumnRenamed("node", "h")
-        joined = owners.join(comp, "h", "left").where("least < most or root is not null").select("h", "least", F.coalesce("root", "h").alias("class"))
-        root_owner = joined.groupBy("class").agg(F.min("least").alias("owner"))
-        return materialize(joined.join(root_owner, "class").select("h", "class", "owner"), "line-classes", keep=True)
+        owners = materialize(lines.where(F.length("line") >= min_chars).groupBy("h", "g").agg(F.min("did").alias("least"), F.max("did").alias("most")), "line-owners")
+        live = live_lines(near, edits)
+        comp = line_components(live, edits, hot).join(live.select("h", "g"), "h")
+        joined = owners.join(comp, ["h", "g"], "left").where("least < most or root is not null").select("h", "g", "least", F.coalesce("root", "h").alias("class"), F.when(F.col("root").isNull(), F.col("g")).otherwise(0).alias("also"))
+        root_owner = joined.groupBy("class", "also").agg(F.min("least").alias("owner"))
+        return materialize(joined.join(root_owner, ["class", "also"]).select("h", "g", "class", "also", "owner"), "line-classes", keep=True)
 
 
 def line_dedup(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, hot: int = 64) -> DataFrame:
@@ -205,9 +271,10 @@ def line_dedup(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHA
     ).select("did", "th", "pos", F.trim("line").alias("line"))
     eligible = F.length("line") >= min_chars
     # lines that never count as repeats get a key of their own, so that blank lines don't meet in one task
-    at = at.select("did", "th", "pos", eligible.alias("may"), F.when(eligible, F.xxhash64("line")).otherwise(F.xxhash64("th", "pos")).alias("h"))
-    seen = at.join(classes, "h", "left").select("did", "th", "pos", F.coalesce("class", "h").alias("class"), "may", F.coalesce(F.col("owner") == F.coalesce("did", F.lit(_NO_ID)), F.lit(True)).alias("own"))
-    nth = F.row_number().over(Window.partitionBy("did", "th", "class").orderBy("pos"))
+    own_key = {"h": F.xxhash64("th", "pos"), "g": F.lit(0)}
+    at = at.select("did", "th", "pos", eligible.alias("may"), *[F.when(eligible, c).otherwise(own_key[k]).alias(k) for k, c in _identity("line").items()])
+    seen = at.join(classes, ["h", "g"], "left").select("did", "th", "pos", F.coalesce("class", "h").alias("class"), F.coalesce("also", "g").alias("also"), "may", F.coalesce(F.col("owner") == F.coalesce("did", F.lit(_NO_ID)), F.lit(True)).alias("own"))
+    nth = F.row_number().over(Window.partitionBy("did", "th", "class", "also").orderBy("pos"))
     # rows that repeat both id and text are one here: each position is counted once
     flags = (
         seen.repartition("did", "th").dropDuplicates(["did", "th", "pos"]).withColumn("keep", ~F.col("may") | (F.col("own") & (nth == 1)))
