@@ -39,6 +39,8 @@ MIN_CHARS = 8
 NEAR_CHARS = 32
 #: (length, width): lines of that length or more come in bands of as many lengths; widths divide the lengths where they begin.
 BANDS = ((4, 1), (16, 4), (64, 16))
+#: Most shared keys (8 bytes each) that are sent to every executor; more of them meet the lines in a shuffle.
+SENT = 1 << 20
 _NO_ID = (1 << 63) - 1
 
 
@@ -97,7 +99,7 @@ def _parities(line: str) -> Column:
     return F.aggregate(_characters(line), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c))))
 
 
-def live_lines(lines: DataFrame, edits: int) -> DataFrame:
+def live_lines(lines: DataFrame, edits: int, sent: int = SENT) -> DataFrame:
     """(h, g, line, n, posts, len, odd): distinct lines that share a key with another one; lines has (h, g, line), repeats allowed.
 
     posts holds (key, idx, start, size) of the shared keys, n is the number of occurrences times keys; len and odd (parities)
@@ -109,7 +111,13 @@ def live_lines(lines: DataFrame, edits: int) -> DataFrame:
         .where("a < z and any_idx = 1").select("key"), "line-keys",
     )
     # cutting the keys again costs less than writing them; few of them are shared
-    met = keyed.join(live, "key", "left_semi")
+    if live.count() <= sent:
+        met = keyed.join(F.broadcast(live), "key", "left_semi")
+    else:
+        # texts travel once for each line that a task holds, not once for each key
+        posts = keyed.drop("line", "g").join(live, "key", "left_semi")
+        texts = lines.select("h", "g", "line").dropDuplicates(["h"])
+        met = posts.join(texts, "h")
     found = met.groupBy("h", "g", "line").agg(F.count("*").alias("n"), F.collect_set(F.struct("key", "idx", "start", "size")).alias("posts"))
     return materialize(found.withColumns({"len": F.length("line"), "odd": _parities("line")}), "line-live")
 

@@ -39,6 +39,12 @@ def test_links_are_all_pairs_within_the_edits(spark, edits, hot):
     assert got == {(a, b) for a, b in itertools.combinations(lines, 2) if distance(a, b) <= edits}
 
 
+def test_live_lines_with_keys_sent_and_shuffled(spark):
+    df = spark.createDataFrame([(x,) for x in variants(2) * 2], "line string").withColumns(ld._identity("line"))
+    sent, dealt = (sorted((r.line, r.n, sorted(map(tuple, r.posts))) for r in ld.live_lines(df, 2, n).collect()) for n in (ld.SENT, 0))
+    assert sent == dealt and len(sent) > 20
+
+
 def brute(docs, edits=1, min_chars=8, near_chars=32):
     """docs: (id, text), ids unique. Kept texts by id."""
     at = {}
