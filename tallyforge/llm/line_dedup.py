@@ -95,8 +95,14 @@ def _without(text: Column, start: Column, size: Column) -> Column:
 
 
 def _parities(line: str) -> Column:
-    """For each of 64 classes of characters, whether the line has an odd number of them. An edit changes two at most."""
-    return F.aggregate(_characters(line), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c))))
+    """For each of 64 classes of characters and of pairs of neighbours, whether the line has an odd number of them.
+
+    An edit changes two classes of characters and four classes of pairs at most.
+    """
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x)
+    step = lambda a, c: F.struct(c.alias("last"), a["one"].bitwiseXOR(bit(F.ascii(c))).alias("one"), a["two"].bitwiseXOR(bit(F.hash(a["last"], c))).alias("two"))
+    zero = F.lit(0).cast("long")
+    return F.aggregate(_characters(line), F.struct(F.lit("").alias("last"), zero.alias("one"), zero.alias("two")), step, lambda a: F.struct(a["one"].alias("one"), a["two"].alias("two")))
 
 
 def live_lines(lines: DataFrame, edits: int, sent: int = SENT) -> DataFrame:
@@ -124,7 +130,8 @@ def live_lines(lines: DataFrame, edits: int, sent: int = SENT) -> DataFrame:
 
 def _alike(edits: int) -> Column:
     """Whether lines of (len, odd) and (_l, _o) may be within the edits."""
-    return (F.abs(F.col("len") - F.col("_l")) <= edits) & (F.bit_count(F.col("odd").bitwiseXOR(F.col("_o"))) <= 2 * edits)
+    differ = lambda f: F.bit_count(F.col(f"odd.{f}").bitwiseXOR(F.col(f"_o.{f}")))
+    return (F.abs(F.col("len") - F.col("_l")) <= edits) & (differ("one") <= 2 * edits) & (differ("two") <= 4 * edits)
 
 
 def _pairs(rows: DataFrame, edits: int) -> DataFrame:
