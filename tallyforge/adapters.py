@@ -57,7 +57,8 @@ RELATIONS = {
           CASE WHEN item_id % 5 = 0 THEN 's' || cast(item_id % 3 AS string) ELSE '' END AS contra, CASE WHEN item_id % 8 = 7 THEN 'other' ELSE 'wiki' END AS corpus_id
         FROM {benchmark}""",
     "memory_observations": """
-        SELECT 'b' || cast(o_orderkey % 40 AS string) AS experience_id, (o_custkey % 9) / 8e0 AS direct_score, ((o_custkey + o_orderkey % 5 + o_orderkey % 40 % 3) % 9) / 8e0 AS reuse_score, 0.5e0 AS good_threshold FROM {orders}""",
+        SELECT 'b' || cast(o_orderkey % n AS string) AS experience_id, (o_custkey % 9) / 8e0 AS direct_score, ((o_custkey + o_orderkey % 5 + o_orderkey % n % 3) % 9) / 8e0 AS reuse_score, 0.5e0 AS good_threshold
+        FROM {orders} CROSS JOIN (SELECT max(item_id) + 1 AS n FROM {benchmark})""",
     "turns": """
         SELECT cast(conv_id AS string) AS episode_id, cast(turn AS int) AS turn_index, 'u' || cast(CASE WHEN conv_id % 23 = 0 THEN 0 ELSE turn END AS string) AS turn_id,
           CASE WHEN turn = 0 AND conv_id % 11 <> 0 THEN 'base' WHEN conv_id % 13 = 0 AND turn = 2 THEN 'base' WHEN turn % 2 = 1 THEN 'reuse_repair' ELSE 'fresh_repair' END AS action,

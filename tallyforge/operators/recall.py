@@ -9,29 +9,68 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WORD, words
 
-Scorer = Callable[[Column, Column], Column]
+#: (requests, experiences, m) -> (target_query_id, experience_id, recall_score, recall_rank), as recall_top_m.
+Recall = Callable[[DataFrame, DataFrame, int], DataFrame]
+
+
+#: Experiences counted side by side in one row: two 32-bit counters in each of COUNTERS longs.
+COUNTERS = 16
+_BUCKETS = 4096
+
+
+def _numbered(e: DataFrame) -> DataFrame:
+    """e with a dense number: of buckets by hash of the id, each knows how many ids the earlier ones hold."""
+    bucketed = e.withColumn("_b", F.pmod(F.xxhash64("experience_id"), F.lit(_BUCKETS)))
+    before = F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))  # _BUCKETS rows at most
+    offsets = bucketed.groupBy("_b").agg(F.count("*").alias("_c")).select("_b", F.coalesce(before, F.lit(0)).alias("_o"))
+    nth = F.row_number().over(Window.partitionBy("_b").orderBy("experience_id"))
+    return bucketed.withColumn("_n", nth).join(F.broadcast(offsets), "_b").withColumn("number", F.col("_o") + F.col("_n") - 1).drop("_b", "_o", "_n")
+
+
+def shared_words(requests: DataFrame, experiences: DataFrame, exact_casefold: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(met, names): target_query_id, nt, block and counters c0.. for each word that a target shares with a block; members of blocks.
+
+    A block is 2 * COUNTERS experiences by number. Their postings of a word are one row of longs with a one in each
+    counter of a member that has the word, so a word that all have meets a target once for a block and not once
+    for an experience, and sums of rows are the sizes of all intersections.
+    """
+    # exploding one array makes it a column, which is then read twice; otherwise words would be cut twice
+    t = requests.select("target_query_id", F.explode(F.array(words(F.col("target_query"), exact_casefold))).alias("w"))
+    e = _numbered(experiences.select("experience_id", F.explode(F.array(words(F.col("source_query"), exact_casefold))).alias("v")))
+    size = 2 * COUNTERS
+    e = e.select("experience_id", "v", F.floor(F.col("number") / size).alias("block"), (F.col("number") % size).cast("int").alias("lane"))
+    names = e.groupBy("block").agg(F.collect_list(F.struct("lane", "experience_id", F.size("v").alias("ne"))).alias("members"))
+    one = F.when(F.col("lane") % 2 == 0, F.lit(1).cast("long")).otherwise(F.lit(1 << 32))
+    postings = e.select("block", "lane", F.explode("v").alias("word")).groupBy("word", "block").agg(*[F.sum(F.when(F.expr("lane div 2") == i, one).otherwise(F.lit(0).cast("long"))).alias(f"c{i}") for i in range(COUNTERS)])
+    return t.select("target_query_id", F.size("w").alias("nt"), F.explode("w").alias("word")).join(postings, "word").drop("word"), names
 
 
 def recall_top_m(requests: DataFrame, experiences: DataFrame, m: int = 5, exact_casefold: bool = False) -> DataFrame:
     """(target_query_id, experience_id, recall_score, recall_rank), ranks 1..m.
 
-    Words of both sides meet in an inverted index (an equi-join on the word), so only pairs that share one
-    are formed; their intersection is counted with a combine before the shuffle. Targets with fewer than m such
-    experiences are filled up with the smallest ids, as a score of zero ranks too; experiences without words
-    match targets without words fully. Those few rows are the only ones paired with every target.
+    Words of both sides meet in an inverted index (an equi-join on the word) whose postings count a block of
+    experiences at once; counters are summed with a combine before the shuffle, and each block gives its best m. Targets with fewer
+    than m experiences that share a word are filled up with the smallest ids, as a score of zero ranks too;
+    experiences without words match targets without words fully. Those few rows are the only ones paired with every target.
     """
     if m < 1:
         raise ValueError("m must be at least 1")
-    t = requests.select("target_query_id", words(F.col("target_query"), exact_casefold).alias("w"))
-    e = experiences.select("experience_id", words(F.col("source_query"), exact_casefold).alias("v"))
-    tw = t.select("target_query_id", F.size("w").alias("nt"), F.explode("w").alias("word"))
-    ew = e.select("experience_id", F.size("v").alias("ne"), F.explode("v").alias("word"))
-    shared = tw.join(ew, "word").groupBy("target_query_id", "experience_id").agg(F.count("*").alias("i"), F.min("nt").alias("nt"), F.min("ne").alias("ne"))
-    scored = shared.select("target_query_id", "experience_id", (F.col("i") / (F.col("nt") + F.col("ne") - F.col("i")).cast("double")).alias("recall_score"))
+    met, names = shared_words(requests, experiences, exact_casefold)
+    summed = met.groupBy("target_query_id", "block").agg(F.min("nt").alias("nt"), F.array(*[F.sum(f"c{i}") for i in range(COUNTERS)]).alias("counts"))
+    low = F.lit((1 << 32) - 1)
+
+    def member(x: Column) -> Column:
+        pair = F.get("counts", F.shiftright(x["lane"], 1))
+        i = F.when(x["lane"] % 2 == 0, pair.bitwiseAND(low)).otherwise(F.shiftright(pair, 32))
+        return F.struct((-i / (F.col("nt") + x["ne"] - i).cast("double")).alias("s"), x["experience_id"].alias("id"))
+
+    best = F.slice(F.array_sort(F.filter(F.transform("members", member), lambda x: x["s"] < 0)), 1, m)
+    scored = summed.join(names, "block").select("target_query_id", F.explode(best).alias("x")).select("target_query_id", F.col("x.id").alias("experience_id"), (-F.col("x.s")).alias("recall_score"))
+    e = experiences.select("experience_id", F.when(F.coalesce(F.col("source_query").rlike(WORD), F.lit(False)), 1).otherwise(0).alias("some"))
     # fill: where fewer than m overlap, m that don't are among the 2m least ids. Every target gets these few rows, as
     # finding the targets that need them would take the join a second time.
     first = e.orderBy("experience_id").limit(2 * m).select(F.collect_list("experience_id").alias("fill"))
-    blank = e.where(F.size("v") == 0).orderBy("experience_id").limit(m).select(F.collect_list("experience_id").alias("blank"))
+    blank = e.where("some = 0").orderBy("experience_id").limit(m).select(F.collect_list("experience_id").alias("blank"))
     few = F.broadcast(first.join(blank))  # one row of at most 3m ids
     # whether there is a word at all is told by the first one, so texts aren't cut a second time for it
     empty = ~F.coalesce(F.col("target_query").rlike(WORD), F.lit(False))

@@ -164,7 +164,7 @@ def words(c: str) -> str:
 
 
 _JACCARD = "CASE WHEN len(w) = 0 AND len(v) = 0 THEN 1e0 ELSE len(list_intersect(w, v)) / (len(w) + len(v) - len(list_intersect(w, v)))::double END"
-SQL["token_jaccard"] = f"{_with('requests', 'memory')}, j AS (SELECT target_query_id, {words('target_query')} AS w, {words('source_query')} AS v FROM requests_ r JOIN memory_ m ON m.item_id = cast(substr(r.target_query_id, 2) AS bigint) % 40) SELECT target_query_id, round({_JACCARD}, 9) AS score FROM j"
+SQL["token_jaccard"] = f"{_with('requests', 'memory')}, j AS (SELECT target_query_id, {words('target_query')} AS w, {words('source_query')} AS v FROM requests_ r JOIN memory_ m ON m.item_id = cast(substr(r.target_query_id, 2) AS bigint) % (SELECT max(item_id) + 1 FROM memory_)) SELECT target_query_id, round({_JACCARD}, 9) AS score FROM j"
 
 
 def _recall(pool: str) -> str:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
@@ -12,10 +13,16 @@ from ..operators.applicability import coverage
 from ..operators.environment import compatibility
 from ..operators.gate import decide, gate_traces
 from ..operators.portfolio import partition
-from ..operators.recall import recall_top_m
+from ..operators.recall import Recall, recall_top_m
+from ..operators.reliability import risk_upper_bound
 from ..policies import EnvironmentPolicy, GatePolicy, PlanApplication, PortfolioPolicy, QueryBudget
 from ..schemas import ENVIRONMENT_FIELDS
 
+#: (required, observed, contraindicated signatures) -> applicability columns, as coverage.
+Scorer = Callable[[Column, Column, Column], dict[str, Column]]
+#: Recalled pairs -> the same with `prepared`, a struct or null, as apply_plans.
+Applier = Callable[[DataFrame], DataFrame]
+
 
 @dataclass
 class Decisions:
@@ -46,16 +53,18 @@ def apply_plans(recalled: DataFrame, plans: DataFrame, application: PlanApplicat
 
 
 def decide_batch(
-    records: DataFrame, requests: DataFrame, plans: DataFrame, environment: dict[str, str], *, gate: GatePolicy = GatePolicy(), budget: QueryBudget = QueryBudget(),
+    records: DataFrame, requests: DataFrame, plans: DataFrame | None, environment: dict[str, str], *, gate: GatePolicy = GatePolicy(), budget: QueryBudget = QueryBudget(),
     environment_policy: EnvironmentPolicy = EnvironmentPolicy(), application: PlanApplication = PlanApplication(), max_candidates: int = 5, activities: DataFrame | None = None,
     current_step: int | None = None, portfolio_policy: PortfolioPolicy | None = None, exact_casefold: bool = False,
+    recall: Recall | None = None, scorer: Scorer | None = None, applier: Applier | None = None,
 ) -> Decisions:
     """records: experience_id, state, source_query_id, source_query, environment struct, provenance, applicability_signature,
     contraindication_signature, applier_id, applier_version, reliability columns (observations, benefit_count,
     mean_gain, breakage_upper_bound, benefit_rate). requests: target_query_id, target_query, signatures.
 
     Order matters and is kept: active, hot, same environment, then recall of the nearest among those.
-    The current environment is a literal, so records are compared once, not for each target.
+    The current environment is a literal, so records are compared once, not for each target. recall, scorer and
+    applier replace word overlap, signature coverage and precomputed plans (`plans` is None then).
     """
     portfolio = None
     pool = records.where("state = 'active'")
@@ -68,13 +77,16 @@ def decide_batch(
     matched = pool.withColumns(compatibility(F.col("environment"), current, environment_policy))
     eligible = matched.where("environment_compatible")
     asked = requests.withColumn("target_query", py_strip(F.col("target_query")))
-    recalled = recall_top_m(asked, eligible, max_candidates, exact_casefold)
-    candidates = apply_plans(recalled.join(eligible, "experience_id").join(asked, "target_query_id"), plans, application)
-    candidates = candidates.withColumns(coverage(F.col("applicability_signature"), F.col("signatures"), F.col("contraindication_signature"))).withColumns(
+    recalled = recall(asked, eligible, max_candidates) if recall else recall_top_m(asked, eligible, max_candidates, exact_casefold)
+    pairs = recalled.join(eligible, "experience_id").join(asked, "target_query_id")
+    candidates = applier(pairs) if applier else apply_plans(pairs, plans, application)
+    bounds = {"wilson_95_conditional_breakage_upper_bound": "breakage_upper_bound", "wilson_95_harm_upper_bound": "harm_upper_bound"}
+    candidates = candidates.withColumns({k: F.col(c) for k, c in bounds.items() if c in candidates.columns})
+    risk, measure = risk_upper_bound(candidates)
+    candidates = candidates.withColumns((scorer or coverage)(F.col("applicability_signature"), F.col("signatures"), F.col("contraindication_signature"))).withColumns(
         {
             "reliability_observations": F.col("observations"), "reliability_benefits": F.col("benefit_count"), "reliability_mean_gain": F.col("mean_gain"),
-            "risk_upper_bound": F.coalesce("breakage_upper_bound", F.lit(1.0)),
-            "risk_measure": F.when(F.col("breakage_upper_bound").isNull(), "missing_risk_upper_bound").otherwise("wilson_95_conditional_breakage_upper_bound"),
+            "risk_upper_bound": risk, "risk_measure": measure,
         }
     )
     traces = gate_traces(candidates, gate, budget, exact_casefold)

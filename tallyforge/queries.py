@@ -151,9 +151,10 @@ def env_tiered(spark, d):
 
 @query
 def token_jaccard(spark, d):
-    """Every document against its own first 'neighbour' in the benchmark (item id modulo)."""
+    """Every document against one item of the benchmark, all items in turn (id modulo their number)."""
     b = relation(spark, d, "memory").select("item_id", "source_query")
-    t = relation(spark, d, "requests").withColumn("item_id", F.substring("target_query_id", 2, 20).cast("long") % 40)
+    n = F.broadcast(b.agg(F.greatest(F.max("item_id") + 1, F.lit(1)).alias("n")))
+    t = relation(spark, d, "requests").join(n).withColumn("item_id", F.substring("target_query_id", 2, 20).cast("long") % F.col("n"))
     return rounded(t.join(b, "item_id").select("target_query_id", tx.token_jaccard(F.col("target_query"), F.col("source_query")).alias("score")))
 
 
@@ -182,27 +183,32 @@ def _requests(spark, d):
     return relation(spark, d, "requests").withColumn("signatures", F.array_distinct(parts("signatures")))
 
 
-def _plans(spark, d, memory):
+def _recalled(spark, d, memory):
+    return recall.recall_top_m(_requests(spark, d), memory.where("state = 'active' and corpus_id = 'wiki'"), 5)
+
+
+def _plans(spark, d, recalled):
     """Plans for three of four recalled pairs; some blank, some unchanged, some long."""
-    pool = memory.where("state = 'active' and corpus_id = 'wiki'")
     k = F.substring("target_query_id", 2, 20).cast("long") + F.substring("experience_id", 2, 20).cast("long")
-    rows = recall.recall_top_m(_requests(spark, d), pool, 5).withColumn("k", k).where("k % 4 <> 0").join(_requests(spark, d).select("target_query_id", "target_query"), "target_query_id")
+    rows = recalled.withColumn("k", k).where("k % 4 <> 0").join(_requests(spark, d).select("target_query_id", "target_query"), "target_query_id")
     text = F.when(F.col("k") % 7 == 0, F.col("target_query")).when(F.col("k") % 5 == 0, "  ").when(F.col("k") % 11 == 0, F.rpad(F.lit("x"), 500, "x")).otherwise(F.concat(F.lit(" plan "), F.col("k").cast("string")))
     return rows.select("target_query_id", "experience_id", text.alias("transformed_query"))
 
 
 def _decide(spark, d):
+    """Decisions whose plans are derived from the recalled pairs, which are therefore found once and given to both."""
     m = _memory(spark, d)
-    return decide_batch(m, _requests(spark, d), _plans(spark, d, m), CURRENT, gate=GATE, budget=BUDGET, environment_policy=EnvironmentPolicy(), application=PlanApplication(), max_candidates=5)
+    r = _recalled(spark, d, m)
+    return decide_batch(m, _requests(spark, d), _plans(spark, d, r), CURRENT, gate=GATE, budget=BUDGET, environment_policy=EnvironmentPolicy(), application=PlanApplication(), max_candidates=5, recall=lambda *_: r)
 
 
 @query
 def plan_reasons(spark, d):
     """Reasons against plans alone, over all recalled pairs."""
     m, r = _memory(spark, d), _requests(spark, d)
-    pool = m.where("state = 'active' and corpus_id = 'wiki'")
-    pairs = recall.recall_top_m(r, pool, 5).join(pool, "experience_id").join(r.select("target_query_id", "target_query"), "target_query_id")
-    p = apply_plans(pairs, _plans(spark, d, m))
+    recalled = _recalled(spark, d, m)
+    pairs = recalled.join(m, "experience_id").join(r.select("target_query_id", "target_query"), "target_query_id")
+    p = apply_plans(pairs, _plans(spark, d, recalled))
     why = gate.plan_reasons(F.col("prepared"), F.col("experience_id"), F.col("target_query_id"), F.col("target_query"), F.col("applier_id"), F.col("applier_version"), BUDGET)
     return p.select("target_query_id", "experience_id", joined(why).alias("reasons"))
 

@@ -184,3 +184,26 @@ def test_sweep_strict_and_permissive(spark):
         selective.sweep(c, p.limit(0), u)
     rules = {r[0] for r in selective.violations(c.union(c.limit(1)), u.where("target_query_id <> 't2'")).collect()}
     assert rules == {"duplicate_pair", "duplicate_rank", "target_outside_universe"}
+
+
+def test_recall_joins_blocks_not_pairs(spark):
+    """A word that every experience has meets a target once for each block; all scores equal those of plain sets."""
+    import random
+
+    from tallyforge.operators.recall import COUNTERS, recall_top_m, shared_words
+
+    rnd = random.Random(3)
+    text = lambda: " ".join(["the", *rnd.choices([f"w{i}" for i in range(40)], k=rnd.randint(0, 6))])
+    memory = {f"e{i:03}": text() for i in range(150)}
+    asked = {f"t{i}": text() for i in range(12)} | {"none": "!!", "new": "unheard"}
+    e, t = spark.createDataFrame([*memory.items()], "experience_id string, source_query string"), spark.createDataFrame([*asked.items()], "target_query_id string, target_query string")
+    met, names = shared_words(t, e)
+    blocks = -(-len(memory) // (2 * COUNTERS))
+    assert names.count() == blocks and met.count() <= blocks * sum(len(set(x.split())) for x in asked.values()) < 12 * len(memory)
+    got = {}
+    for r in recall_top_m(t, e, 4).orderBy("recall_rank").collect():
+        got.setdefault(r.target_query_id, []).append((-round(r.recall_score, 12), r.experience_id))
+    score = lambda a, b: round(len(a & b) / len(a | b), 12)
+    for k, q in asked.items():
+        w = set(q.replace("!", "").split())
+        assert got[k] == sorted((-score(w, set(v.split())), i) for i, v in memory.items())[:4]
