@@ -33,8 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, scratch
 
-MAX_EDITS = 1
-WIDE_EDITS = 2
+MAX_EDITS = 2
 MIN_CHARS = 8
 NEAR_CHARS = 32
 #: (length, width): lines of that length or more come in bands of as many lengths; widths divide the lengths where they begin.
@@ -306,7 +305,7 @@ def line_dedup(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHA
     return joined.select(*cols, F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_in).alias("lines_in"), F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_out).alias("lines_out"))
 
 
-#: The rows of line_dedup with one edit, for DuckDB: halves share a key, then lines must agree but for one character.
+#: The rows of line_dedup with two edits, for DuckDB: thirds share a key; where two lines begin and end to differ there is an edit each, and between them they agree.
 ORACLE = """
 WITH RECURSIVE doc AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents
@@ -314,14 +313,23 @@ WITH RECURSIVE doc AS (
   SELECT doc_id, i AS pos, parts[i] AS raw, trim(parts[i], ' ') AS s FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM doc)
 ), near AS (
   SELECT DISTINCT s, length(s) AS n FROM ln WHERE length(s) >= 32
+), place AS (
+  SELECT s, n, n - d AS k, (n - d) // 3 AS q, d, i, t FROM near, (VALUES (0), (1), (2)) v(d), (VALUES (1, 0), (2, -2), (2, -1), (2, 0), (2, 1), (2, 2), (3, 0)) w(i, t)
 ), probe AS (
-  SELECT s, n - d AS k, unnest([left(s, (n - d) // 2) || chr(1), chr(1) || right(s, (n - d) - (n - d) // 2)]) AS key, d FROM near, (VALUES (0), (1)) v(d)
+  SELECT s, k, d = 0 AND t = 0 AS own, i, CASE i WHEN 1 THEN left(s, q) WHEN 2 THEN substr(s, q + t + 1, q) ELSE right(s, k - 2 * q) END AS key FROM place
 ), pair AS (
-  SELECT DISTINCT a.s AS a, b.s AS b FROM probe a JOIN probe b ON a.k = b.k AND a.key = b.key AND a.d = 0 AND a.s <> b.s
-), cut AS (
+  SELECT DISTINCT a.s AS a, b.s AS b FROM probe a JOIN probe b ON a.k = b.k AND a.i = b.i AND a.key = b.key AND a.own AND a.s <> b.s
+), start AS (
   SELECT a, b, coalesce(list_filter(range(1, length(a) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))[1], length(a) + 1) AS p FROM pair
+), tail AS (
+  SELECT a, b, substr(a, p) AS x, substr(b, p) AS y FROM start
+), cut AS (
+  SELECT a, b, x, y, coalesce(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: substr(x, length(x) + 1 - i, 1) <> substr(y, length(y) + 1 - i, 1))[1], least(length(x), length(y)) + 1) - 1 AS e FROM tail
+), core AS (
+  SELECT a, b, left(x, length(x) - e) AS x, left(y, length(y) - e) AS y FROM cut
 ), link AS (
-  SELECT a, b FROM cut WHERE substr(b, p + 1) = CASE WHEN length(a) = length(b) THEN substr(a, p + 1) ELSE substr(a, p) END
+  SELECT DISTINCT a, b FROM core, (VALUES (1, 1), (1, 0), (0, 1)) f(fx, fy), (VALUES (1, 1), (1, 0), (0, 1)) l(lx, ly)
+  WHERE (length(x) <= 2 AND length(y) <= 2) OR (length(x) >= fx + lx AND length(y) >= fy + ly AND substr(x, 1 + fx, length(x) - fx - lx) = substr(y, 1 + fy, length(y) - fy - ly))
 ), both_ways AS (
   SELECT a, b FROM link UNION SELECT b, a FROM link
 ), reach(a, b) AS (

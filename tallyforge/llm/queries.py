@@ -44,15 +44,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_in", "lines_out")
 
 
-def op8_line_dedup_two_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8_line_dedup with the wider radius; the SQL of op8_line_dedup links lines one edit apart only."""
-    from .line_dedup import WIDE_EDITS, line_dedup
-
-    return line_dedup(table(spark, sf_dir, "documents"), edits=WIDE_EDITS).select("doc_id", "text", "lines_in", "lines_out")
-
-
 QUERIES["op8_line_dedup"] = op8_line_dedup
-QUERIES["op8_line_dedup_two_edits"] = op8_line_dedup_two_edits
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, scratch, with_text
@@ -222,9 +222,12 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     different groups are documents of their own. Rows without doc_id are never removed.
     """
     groups = simhash_components(docs.select("doc_id", "text"), hashed=True).where("doc_id = component_id")
-    lead = groups.select(F.col("doc_id").alias("_lead"), F.col("text_hash").alias("_hash"), F.col("group_id").alias("_group")).distinct()
+    by_text = groups.groupBy("group_id", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    of_group = Window.partitionBy("group_id")
+    lead = by_text.select(F.col("doc_id").alias("_lead"), F.col("text_hash").alias("_hash"), F.col("group_id").alias("_group"), F.sum("n").over(of_group).alias("_rows"))
     own = docs.where(F.col("doc_id").isNotNull())
     kept = own.join(lead, (own["doc_id"] == lead["_lead"]) & (F.xxhash64(own["text"]) == lead["_hash"]))
+    # only groups whose least doc_id has several rows need a choice: other rows stay where the join puts them
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    single = kept.groupBy("_group").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    return single.unionByName(docs.where(F.col("doc_id").isNull()))
+    chosen = kept.where("_rows > 1").groupBy("_group").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    return kept.where("_rows = 1").select(*[own[f"`{c}`"] for c in docs.columns]).unionByName(chosen).unionByName(docs.where(F.col("doc_id").isNull()))

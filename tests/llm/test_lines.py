@@ -45,7 +45,7 @@ def test_live_lines_with_keys_sent_and_shuffled(spark):
     assert sent == dealt and len(sent) > 20
 
 
-def brute(docs, edits=1, min_chars=8, near_chars=32):
+def brute(docs, edits=2, min_chars=8, near_chars=32):
     """docs: (id, text), ids unique. Kept texts by id."""
     at = {}
     for i, text in docs:
@@ -118,14 +118,14 @@ def test_native(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
-def test_wide_query_and_stage_link_lines_two_edits_apart(spark, tmp_path):
+def test_query_and_stage_link_lines_two_edits_apart(spark, tmp_path):
     import corpus_pipeline
     from tallyforge.llm.queries import QUERIES
 
     docs = [*DOCS, (8, LONG.replace("quite", "quote").replace("text", "test")), (9, LONG[2:]), (10, LONG.replace("quite", "quXYZ"))]
     df = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(f"{tmp_path}/documents.parquet")
-    want = brute(docs, edits=2)
-    assert want[8] == "" == want[9] and want[10] and brute(docs)[8]
-    assert {r.doc_id: r.text for r in QUERIES["op8_line_dedup_two_edits"](spark, str(tmp_path)).collect()} == want
+    want = brute(docs)
+    assert want[8] == "" == want[9] and want[10] and brute(docs, edits=1)[8]
+    assert {r.doc_id: r.text for r in QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()} == want
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, df, "").collect()} == want
