@@ -3,7 +3,7 @@
 Every vector is represented by its `PREFIX` nearest of `PIVOTS` pivots, in order, and posted in those pivots'
 inverted files with its places. A query adds, over its own pivots' files, the share of Spearman's
 footrule that each posting saves; vectors are ranked by the footrule of the induced prefixes, and the best
-`RERANK` of each block are measured exactly. Pivots are the vectors of least hash, a bounded, documented
+share `RERANK` of each block are measured exactly (at least `FLOOR` times k). Pivots are the vectors of least hash, a bounded, documented
 sample; every row is indexed. A block is at most `BLOCK` rows of one task, indexed where it is read, so the
 table is never shuffled; queries come in chunks of `QUERIES` through a broadcast, one pass for each chunk.
 Equal vectors of a block are indexed once and all take part in ties. Shares, not counts, are reranked, so
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 PIVOTS, PREFIX, RERANK = 128, 32, 0.25
 BLOCK, QUERIES = 65536, 16384
-LEAST_RERANK = 512
+#: Of small blocks at least so many times k are reranked.
+FLOOR = 4
 _SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -83,7 +84,7 @@ class PermutationIndex:
     def search(self, query_id: int, q: np.ndarray, perm: np.ndarray, k: int, rerank: float) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the k nearest found, nearest first."""
         n = len(self.unique)
-        room = min(n, max(LEAST_RERANK, int(np.ceil(rerank * n))))
+        room = min(n, max(FLOOR * k, int(np.ceil(rerank * n))))
         cand = np.argpartition(-self.saved(perm), room - 1)[:room] if room < n else np.arange(n)
         d2 = ((self.unique[cand] - q) ** 2).sum(1)
         keep = np.argpartition(d2, k)[: k + 1] if len(cand) > k + 1 else np.arange(len(cand))

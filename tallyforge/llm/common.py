@@ -125,16 +125,16 @@ def held_out(modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, limit: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, limit: int, value: int | None = None) -> DataFrame:
     """(doc_id, text, y): at most `limit` labelled documents, those of least hash of doc_id.
 
     The bound is a documented parameter of each trained operator, so a fit needs the same memory at
-    every size of the corpus. A document with several labels takes the least one; rows without id,
-    text or label aren't used.
+    every size of the corpus. A document with several labels takes the least one, a doc_id with several rows the
+    least text; value keeps documents of that label only; rows without id, text or label aren't used.
     """
     ids = (
         labels.where(keep).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id").agg(F.min(label).alias("y"))
+        .groupBy("doc_id").agg(F.min(label).alias("y")).where(F.lit(True) if value is None else F.col("y") == value)
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")

@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 BUCKETS = 16
 TOKEN_BUDGET = 16384
 SHARD_ROWS = 20000
@@ -83,7 +85,8 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, sh
 
     (bucket, shard, batch) names a batch; slot counts from 0 in it.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (n_words(F.col("text")) if length is None else length.cast("long")).alias("n_tokens"), F.xxhash64("doc_id", "text").alias("deal"))
+    lengths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (n_words(F.col("text")) if length is None else length.cast("long")).alias("n_tokens"), F.xxhash64("doc_id", "text").alias("deal"))
+    src = materialize(lengths, "packing-lengths")  # texts are read once
     cells, count, _ = histogram(src)
     bounds = best_bounds(cells, count, buckets)
     held = np.zeros(len(bounds), np.int64)

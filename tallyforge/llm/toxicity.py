@@ -7,9 +7,9 @@ is how much shorter it compresses with the toxic dictionary. A logistic model of
 savings, the number of windows by saving and the number of windows is calibrated out of fold: each third
 of the labelled documents on dictionaries of the other two.
 
-Labels come from at most `SAMPLE_TOXIC` + `SAMPLE_ORDINARY` labelled documents of at most `FIT_CHARS` characters
-outside the held-out fold (those of least id hash); near copies among them count once. The bound keeps
-the fit's memory on the driver the same for any corpus. Scoring reads whole texts.
+Labels come from at most `SAMPLE_TOXIC` + `SAMPLE_ORDINARY` labelled documents outside the held-out
+fold (those of least id hash), whole; near copies among them count once. The bound on documents keeps
+the fit the same for any corpus. Scoring reads whole texts.
 
 Defined cases: null and empty texts have no window and get the calibrated score for no saving; a null doc_id isn't held
 out; repeated rows are scored each; without labels of both classes the score is 0 for all; other columns
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import held_out, labelled_sample, with_text
 from .textstats import chunks
 
-SAMPLE_TOXIC, SAMPLE_ORDINARY, FIT_CHARS = 3000, 6000, 10000
+SAMPLE_TOXIC, SAMPLE_ORDINARY = 3000, 6000
 FOLD, HELD = 5, 0
 WINDOW = 48
 N_FEATURES = 9
@@ -112,15 +112,23 @@ def _unlike(docs: list[bytes]) -> list[bytes]:
 
 def _gram_counts(docs: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct byte grams and the number of documents that have them."""
-    found = []
-    for b in docs:
-        a = np.frombuffer(b" " + b + b" ", np.uint8).astype(np.uint64)
-        if len(a) >= size:
-            k = np.zeros(len(a) - size + 1, np.uint64)
-            for i in range(size):
-                k = (k << np.uint64(8)) | a[i : len(a) - size + 1 + i]
-            found.append(np.unique(k))
-    return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found, held = [], 0
+    for b in [*docs, None]:
+        if b is not None:
+            a = np.frombuffer(b" " + b + b" ", np.uint8).astype(np.uint64)
+            if len(a) >= size:
+                k = np.zeros(len(a) - size + 1, np.uint64)
+                for i in range(size):
+                    k = (k << np.uint64(8)) | a[i : len(a) - size + 1 + i]
+                found.append(np.unique(k))
+                held += len(found[-1])
+        if found and (b is None or held > 2_000_000):
+            # folded in as they come, so that memory is that of distinct grams
+            keys, inverse = np.unique(np.concatenate([keys, *found]), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([counts, np.ones(held, np.int64)]), len(keys)).astype(np.int64)
+            found, held = [], 0
+    return keys, counts
 
 
 def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
@@ -187,8 +195,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, ordinary_rows: int = SAMPLE_ORDINARY) -> Model:
-    short = docs.where(F.length("text") <= FIT_CHARS)
-    both = [labelled_sample(short, labels, "toxic", ~held_out(FOLD, HELD) & (F.col("toxic") == v), n) for v, n in ((1, toxic_rows), (0, ordinary_rows))]
+    both = [labelled_sample(docs, labels, "toxic", ~held_out(FOLD, HELD), n, v) for v, n in ((1, toxic_rows), (0, ordinary_rows))]
     rows = sorted((r["doc_id"], r["text"], int(r["y"])) for r in both[0].union(both[1]).collect())
     return fit([t for _, t, _ in rows], [y for *_, y in rows])
 
