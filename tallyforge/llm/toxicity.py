@@ -1,8 +1,8 @@
 """Toxicity by compression distance: two zstandard dictionaries and calibrated window savings.
 
 One raw-content dictionary holds what ordinary documents say, the other the same followed by what is
-typical of toxic ones: terms whose byte 4- to 6-grams occur in clearly more toxic than ordinary
-documents, the commonest last. A text is cut into windows of about `WINDOW` bytes at spaces; a window's saving
+typical of toxic ones: terms whose byte 4- to 6-grams occur in a clearly greater share of toxic documents than of
+pieces of ordinary ones, the commonest last. A text is cut into windows of about `WINDOW` bytes at spaces; a window's saving
 is how much shorter it compresses with the toxic dictionary. A logistic model of a document's strongest
 savings, the number of windows by saving and the number of windows is calibrated out of fold: each third
 of the labelled documents on dictionaries of the other two.
@@ -37,6 +37,8 @@ WINDOW = 48
 N_FEATURES = 9
 GRAMS = (4, 5, 6)
 MIN_DOCS, MIN_RATIO = 6, 10.0
+#: Ordinary documents are counted in pieces of about so many bytes, or long ones would make every gram seem common.
+PIECE = 1500
 ORDINARY_TERMS, TOXIC_TERMS = 6000, 3000
 #: Leads every window and both dictionaries, so that each frame has a match and pays its fixed cost.
 LEAD = bytes(range(1, 9))
@@ -58,17 +60,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def windows(text: bytes, size: int = WINDOW):
-    """Pieces of at least `size` bytes that end before a space, each led by one."""
+def _cut(text: bytes, size: int):
+    """Pieces of `size` bytes or up to twice as many, that end before a space if one comes in time."""
     at, n = 0, len(text)
     while at < n:
         to = at + size
         cut = text.find(b" ", to) if to < n else n
         cut = n if cut < 0 else min(cut, to + size)
-        yield LEAD + b" " + text[at:cut].strip(b" ") + b" "
+        yield text[at:cut]
         at = cut
 
 
+def windows(text: bytes, size: int = WINDOW):
+    """Pieces of the text, each led and followed by a space."""
+    for piece in _cut(text, size):
+        yield LEAD + b" " + piece.strip(b" ") + b" "
+
+
 def _compressor(dictionary: bytes):
     """Optimal parsing with matches of four bytes or more, without frame extras, so that only the content counts."""
     p = zstandard.ZstdCompressionParameters.from_level(
@@ -110,6 +118,10 @@ def _unlike(docs: list[bytes]) -> list[bytes]:
     return out
 
 
+def _pieces(docs: list[bytes], size: int = PIECE) -> list[bytes]:
+    return [w for b in docs for w in _cut(b, size)]
+
+
 def _gram_counts(docs: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct byte grams and the number of documents that have them."""
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -181,7 +193,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
             if held is None:
                 return Model()
             continue
-        model = Model(*_dictionaries(bad, good))
+        model = Model(*_dictionaries(bad, _pieces(good)))
         savings = Savings(model)
         own = [(t, v) for t, v, p in zip(texts, toxic, part, strict=True) if p == held]
         x += [savings.of(t) for t, _ in own]
