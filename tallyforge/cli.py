@@ -14,6 +14,7 @@ from .operators.evidence_checks import IntegrityError
 from .operators.gate import traces_by_target
 from .operators.reliability import reliability, state_histogram
 from .plans.decide import decide_batch
+from .schemas import RECALL_SCORER
 from .session import session
 from .sources.config import ConfigError, load_config
 from .sources.oracle_csv import read_oracle_csv
@@ -55,15 +56,24 @@ def _decide(a) -> None:
         scored_records(snapshot), requests, bundle.plans, config.environment, gate=config.gate_policy, budget=config.query_budget, environment_policy=config.environment_policy,
         application=bundle.application(config.query_budget), max_candidates=config.max_candidates, exact_casefold=True,
     )
-    ids = lambda df: F.lit(json.dumps(sorted(r[0] for r in df.select("experience_id").collect())))
-    rows = out.decisions.join(traces_by_target(out.traces), "target_query_id", "left").withColumns(
+    values = config.values
+    sections = {k: values[k] for k in ("environment_compatibility", "candidate_recall", "applicability", "application") if k in values}
+    found = out.recalled.groupBy("target_query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("recall_rank", "experience_id"))), lambda x: x["experience_id"]).alias("found"))
+    asked = requests.select("target_query_id", F.struct(*requests.columns).alias("request"))
+    rows = out.decisions.join(asked, "target_query_id").join(found, "target_query_id", "left").join(traces_by_target(out.traces), "target_query_id", "left").withColumns(
         {
+            "recall": F.struct(F.lit(RECALL_SCORER).alias("scorer_id"), F.lit(config.max_candidates).alias("max_candidates"), F.coalesce("found", F.array().cast("array<string>")).alias("candidate_experience_ids")),
+            "portfolio": F.struct(F.lit(out.portfolio is not None).alias("enabled")),
             "artifact_type": F.lit("trusted_reuse_decision"), "schema_version": F.lit(2), "config_sha256": F.lit(config.sha256), "memory_snapshot_id": F.lit(snapshot.memory_snapshot_id),
-            "effective_config": F.lit(json.dumps({"gate_policy": asdict(config.gate_policy), "query_budget": asdict(config.query_budget), "environment": config.environment})),
-            "eligible_experience_ids": ids(out.eligible), "environment_rejected_experience_ids": ids(out.rejected), "portfolio_enabled": F.lit(False),
+            "effective_config": F.lit(json.dumps({"gate_policy": asdict(config.gate_policy), "query_budget": asdict(config.query_budget), "environment": config.environment, **sections})),
         }
-    )
+    ).drop("found")
     write_jsonl_file(rows, a.output, ["target_query_id"])
+    # which records could be recalled at all is the same for every request, so it is written once beside the decisions
+    audit = out.eligible.select("experience_id", F.lit("eligible").alias("role")).union(out.rejected.select("experience_id", F.lit("environment_rejected")))
+    if out.portfolio is not None:
+        audit = audit.union(out.portfolio.select("experience_id", "tier"))
+    write_jsonl_file(audit, f"{a.output}.audit.jsonl", ["role", "experience_id"])
     print(f"decisions written to {a.output}")
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import close, finite, paired_verdict
-from ..functions.text import has_duplicates, versioned_id
+from ..functions.text import has_duplicates, text_list_violation, versioned_id
 from ..policies import CardActivationPolicy
-from ..schemas import CARD_STATES, TIER_SOURCES, TIERS
+from ..schemas import ACTIVATION_STAGES, CARD_STATES, TIER_SOURCES, TIERS
 from .evidence_checks import duplicates, is_blank
 from .episodes import _broken
 
@@ -36,6 +36,23 @@ def policy_failures(policy: CardActivationPolicy = CardActivationPolicy()) -> Co
     return F.array_compact(F.array(*[F.when(x, F.lit(m)) for x, m in found]))
 
 
+def _text_list_broken(c: Column) -> Column:
+    return F.coalesce(text_list_violation(c).isNotNull(), F.lit(False))
+
+
+def specification_violations(cards: DataFrame) -> DataFrame:
+    """Rules within the structs `activation` (stage, query_pattern, gap_pattern and three lists of texts) and `repair`."""
+    a, r = F.col("activation"), F.col("repair")
+    lists = ("preconditions", "contraindications", "required_retriever_capabilities")
+    rules = [
+        (~F.coalesce(a["stage"].isin(*ACTIVATION_STAGES), F.lit(False)), "unknown_activation_stage"),
+        *[(is_blank(a[x]), f"blank_{x}") for x in ("query_pattern", "gap_pattern")],
+        *[(_text_list_broken(a[x]), f"{x}_invalid") for x in lists],
+        *[(is_blank(r[x]), f"blank_{x}") for x in ("operator_type", "slot_template", "evidence_contract")],
+    ]
+    return _broken(cards, rules, versioned_id(F.col("card_id"), F.col("version")))
+
+
 def card_violations(cards: DataFrame, policy: CardActivationPolicy = CardActivationPolicy()) -> DataFrame:
     """Rules within one card."""
     c = F.col
@@ -58,6 +75,7 @@ def card_violations(cards: DataFrame, policy: CardActivationPolicy = CardActivat
         (F.size(F.array_except(canonical, source)) > 0, "canonical_not_in_sources"),
         (c("independent_episode_count") < 1, "no_independent_episode"),
         (c("independent_document_count") < 1, "no_independent_document"),
+        (c("independent_document_count") > c("independent_episode_count"), "documents_above_episodes"),
         ((c("lifecycle_state") == "active") & ((c("benefit_count") < 1) | (c("mean_gain") <= 0)), "active_without_benefit"),
         ((c("lifecycle_state") == "active") & (F.size(policy_failures(policy)) > 0), "active_against_policy"),
     ]

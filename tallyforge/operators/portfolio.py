@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import half_life_decay
@@ -44,7 +44,9 @@ def partition(records: DataFrame, activities: DataFrame, current_step: int, poli
     Hot is a top-k (TakeOrderedAndProject): no global window over all records. Its size is the capacity.
     """
     s = scores(records, activities, current_step, policy)
-    hot = s.where(F.col("priority") >= policy.minimum_priority).orderBy(F.desc("priority"), "experience_id").limit(policy.capacity).select("experience_id", F.lit(True).alias("hot"))
+    best = s.where(F.col("priority") >= policy.minimum_priority).orderBy(F.desc("priority"), "experience_id").limit(policy.capacity)
+    # a window over the capacity's few rows only
+    hot = best.select("experience_id", F.row_number().over(Window.orderBy(F.desc("priority"), "experience_id")).alias("hot_rank"))
     active = records.where("state = 'active'").select("experience_id").join(s.select("experience_id", "priority"), "experience_id", "left").join(F.broadcast(hot) if policy.capacity <= 100_000 else hot, "experience_id", "left")
-    tier = F.when(F.col("hot"), "hot").when(F.col("priority") < policy.minimum_priority, "expired").otherwise("cold")
-    return active.select("experience_id", "priority", tier.alias("tier"))
+    tier = F.when(F.col("hot_rank").isNotNull(), "hot").when(F.col("priority") < policy.minimum_priority, "expired").otherwise("cold")
+    return active.select("experience_id", "priority", tier.alias("tier"), "hot_rank")

@@ -135,7 +135,7 @@ SQL["portfolio_scores"] = _PORT + " SELECT experience_id, round(base, 9) AS prio
 SQL["portfolio_partition"] = (
     _PORT
     + f""", k AS (SELECT *, row_number() OVER (ORDER BY priority >= {PORTFOLIO.minimum_priority}e0 DESC, priority DESC, experience_id) AS nth FROM pr)
-  SELECT experience_id, round(priority, 9) AS priority, CASE WHEN priority < {PORTFOLIO.minimum_priority}e0 THEN 'expired' WHEN nth <= {PORTFOLIO.capacity} THEN 'hot' ELSE 'cold' END AS tier FROM act LEFT JOIN k USING (experience_id)"""
+  SELECT experience_id, round(priority, 9) AS priority, CASE WHEN priority < {PORTFOLIO.minimum_priority}e0 THEN 'expired' WHEN nth <= {PORTFOLIO.capacity} THEN 'hot' ELSE 'cold' END AS tier, CASE WHEN priority >= {PORTFOLIO.minimum_priority}e0 AND nth <= {PORTFOLIO.capacity} THEN nth ELSE 0 END AS hot_rank FROM act LEFT JOIN k USING (experience_id)"""
 )
 SQL["activity_violations"] = f"{_with('activities', 'sources')} " + counted(
     "SELECT 'unknown_experience' AS rule, experience_id AS key FROM activities_ WHERE experience_id NOT IN (SELECT experience_id FROM sources_)",
@@ -303,7 +303,7 @@ SQL["card_violations"] = f"{_with('cards')} " + counted(
         "cards_", _CARD,
         [
             ("harm_count < 0", "harm_count_negative"), ("direct_correct_trials > matched_trials", "direct_correct_above_trials"), ("harm_count > direct_correct_trials", "harm_above_direct_correct"), ("len(list_distinct(string_split(event_ids, '|'))) < 4", "duplicate_event_ids"),
-            ("independent_episode_count < 1", "no_independent_episode"), ("independent_document_count < 1", "no_independent_document"), ("lifecycle_state = 'active' AND (benefit_count < 1 OR mean_gain <= 0)", "active_without_benefit"), (f"lifecycle_state = 'active' AND len({_FAIL}) > 0", "active_against_policy"),
+            ("independent_episode_count < 1", "no_independent_episode"), ("independent_document_count < 1", "no_independent_document"), ("independent_document_count > independent_episode_count", "documents_above_episodes"), ("lifecycle_state = 'active' AND (benefit_count < 1 OR mean_gain <= 0)", "active_without_benefit"), (f"lifecycle_state = 'active' AND len({_FAIL}) > 0", "active_against_policy"),
         ],
     )
 )

@@ -36,6 +36,22 @@ def retire(records: DataFrame, experience_ids: list[str]) -> DataFrame:
     return records.withColumn("state", F.when(F.col("experience_id").isin(*experience_ids), "retired").otherwise(F.col("state")))
 
 
+#: Tables of an archive, in the order of their references.
+ARCHIVE = ("contexts", "episodes", "turns", "events", "sessions")
+
+
+def extend_archive(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The archive with the new rows appended; raises if what it would be isn't sound. Tables not in new stay.
+
+    `gaps` (episode_id, turn_index, gap_id, category and texts) is checked by its own rules where given.
+    """
+    every = {k: old[k].unionByName(new[k]) if k in new else old[k] for k in old}
+    if "gaps" in new:
+        raise_if_any(ep.gap_violations(new["gaps"]))
+    append_archive(*[every[k] for k in ARCHIVE])
+    return every
+
+
 def append_archive(contexts: DataFrame, episodes: DataFrame, turns: DataFrame, events: DataFrame, sessions: DataFrame) -> None:
     """Raise unless the tables as they would be form a sound archive."""
     for found in (
@@ -49,5 +65,7 @@ def register_cards(cards: DataFrame, new: DataFrame, events: DataFrame, turns: D
     """Cards with the new versions; raises if any breaks a rule."""
     every = cards.unionByName(new)
     raise_if_any(card_ops.card_violations(every, policy))
+    if {"activation", "repair"} <= set(every.columns):
+        raise_if_any(card_ops.specification_violations(every))
     raise_if_any(card_ops.registry_violations(every, events, turns))
     return every

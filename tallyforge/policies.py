@@ -78,6 +78,7 @@ class LifecyclePolicy:
         _need(_whole(self.promotion_min_observations, 1), "promotion_min_observations must be at least 1")
         _need(_whole(self.promotion_min_direct_good_observations, 1), "promotion_min_direct_good_observations must be at least 1")
         _need(_whole(self.promotion_min_benefits, 0), "promotion_min_benefits must not be negative")
+        _need(self.promotion_min_benefits <= self.promotion_min_observations, "promotion_min_benefits cannot exceed promotion_min_observations")
         _need(math.isfinite(self.promotion_min_mean_gain), "promotion_min_mean_gain must be finite")
         _need(_unit(self.promotion_max_wilson_breakage_upper_bound), "promotion_max_wilson_breakage_upper_bound must be in [0, 1]")
         _need(_whole(self.quarantine_at_harm_count, 1), "quarantine_at_harm_count must be at least 1")

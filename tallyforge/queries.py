@@ -124,7 +124,7 @@ def portfolio_scores(spark, d):
 
 @query
 def portfolio_partition(spark, d):
-    return rounded(portfolio.partition(*_portfolio_inputs(spark, d), 30, PORTFOLIO))
+    return rounded(portfolio.partition(*_portfolio_inputs(spark, d), 30, PORTFOLIO).fillna(0, ["hot_rank"]))
 
 
 @query

@@ -73,3 +73,6 @@ CARDS = _struct(
     card_id=S, version=S, lifecycle_state=S, created_at=S, verification_tier=S, verification_event_ids=SS, matched_trials=L, benefit_count=L, neutral_count=L, harm_count=L, direct_correct_trials=L, mean_gain=D,
     source_turns=T.ArrayType(_struct(episode_id=S, turn_id=S)), canonical_turns=T.ArrayType(_struct(episode_id=S, turn_id=S)), independent_episode_count=L, independent_document_count=L, parent_versioned_ids=SS,
 )
+
+#: Stages of the pipeline at which a card may apply.
+ACTIVATION_STAGES = ("pre_retrieval", "post_retrieval")

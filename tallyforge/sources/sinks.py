@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import textwrap
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +14,14 @@ from pyspark.sql import functions as F
 from ..operators.oracle import HINDSIGHT
 
 
-def write_atomic(path: str, text: str) -> None:
-    """Write a single file beside its target, flush it to disk, then rename."""
+def write_atomic(path: str, text: str | Iterable[str]) -> None:
+    """Write a single file beside its target, in one or several texts as they come, flush it to disk, then rename."""
     folder = os.path.dirname(os.path.abspath(path))
     os.makedirs(folder, exist_ok=True)
     handle, temp = tempfile.mkstemp(dir=folder, prefix=".writing-")
     try:
         with os.fdopen(handle, "w", encoding="utf-8", newline="\n") as f:
-            f.write(text)
+            f.writelines([text] if isinstance(text, str) else text)
             f.flush()
             os.fsync(f.fileno())
         os.replace(temp, path)
@@ -40,7 +42,7 @@ def write_jsonl_file(df: DataFrame, path: str, order: list[str]) -> None:
     """A single file of one object a line, streamed through the driver row by row."""
     cols = sorted(df.columns)
     rows = df.orderBy(*order).select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("v")).toLocalIterator()
-    write_atomic(path, "".join(r["v"] + "\n" for r in rows))
+    write_atomic(path, (r["v"] + "\n" for r in rows))
 
 
 def oracle_report(summary: DataFrame, targets: DataFrame, path: str, source: str) -> None:
@@ -48,5 +50,15 @@ def oracle_report(summary: DataFrame, targets: DataFrame, path: str, source: str
     if leaked := set(targets.columns) & set(HINDSIGHT):
         raise ValueError(f"report rows must not tell {sorted(leaked)}")
     top = summary.first()
-    doc = {"offline_diagnostic_only": True, "source_csv": source, **(top.asDict() if top else {}), "targets": [r.asDict(recursive=True) for r in targets.orderBy("target_query_id").toLocalIterator()]}
-    write_atomic(path, json.dumps(doc, ensure_ascii=False, indent=2, allow_nan=False) + "\n")
+    doc = {"offline_diagnostic_only": True, "source_csv": source, **(top.asDict() if top else {})}
+    dumped = lambda x: json.dumps(x, ensure_ascii=False, indent=2, allow_nan=False)
+
+    def parts() -> Iterator[str]:
+        yield dumped(doc)[:-2] + ',\n  "targets": ['
+        gap = "\n"
+        for r in targets.orderBy("target_query_id").toLocalIterator():
+            yield gap + textwrap.indent(dumped(r.asDict(recursive=True)), "    ")
+            gap = ",\n"
+        yield ("]" if gap == "\n" else "\n  ]") + "\n}\n"
+
+    write_atomic(path, parts())

@@ -120,6 +120,11 @@ def test_contexts_sessions_and_append(spark):
     assert rules(episodes.session_violations(bad, e)) == {"session_mismatch", "unknown_episode"}
     with pytest.raises(IntegrityError):
         ledger.append_archive(ctx.limit(0), e, t, events(spark), ok)
+    old = {"contexts": ctx, "episodes": e, "turns": t, "events": events(spark).limit(0), "sessions": ok.limit(0)}
+    assert ledger.extend_archive(old, {"events": events(spark), "sessions": ok})["sessions"].count() == 1
+    gap = spark.createDataFrame([("e", 0, "g", "no such category", "x")], "episode_id string, turn_index int, gap_id string, category string, target string")
+    with pytest.raises(IntegrityError):
+        ledger.extend_archive(old, {"events": events(spark), "gaps": gap})
     assert episodes.verifications_for(events(spark), e, "e").count() == 1
     with pytest.raises(KeyError):
         episodes.verifications_for(events(spark), e, "zz")
@@ -183,3 +188,20 @@ def test_registry_tiers_and_register(spark):
     assert ledger.register_cards(none, card(spark), v, t).count() == 1
     with pytest.raises(IntegrityError):
         ledger.register_cards(card(spark), card(spark), v, t)
+
+
+def test_card_specifications(spark):
+    from tallyforge.operators import cards as card_ops
+
+    shape = "card_id string, version string, activation struct<stage string, query_pattern string, gap_pattern string, preconditions array<string>, contraindications array<string>, required_retriever_capabilities array<string>>, repair struct<operator_type string, slot_template string, evidence_contract string>"
+    good = ("c", "1", ("pre_retrieval", "q", "g", ["a"], [], []), ("o", "s", "e"))
+    bad = ("d", "1", ("later", " ", "g", ["a", " a "], [""], []), ("o", None, "e"))
+    found = {(r["key"], r["rule"]) for r in card_ops.specification_violations(spark.createDataFrame([good, bad], shape)).collect()}
+    assert found == {("d@1", x) for x in ("unknown_activation_stage", "blank_query_pattern", "preconditions_invalid", "contraindications_invalid", "blank_slot_template")}
+
+
+def test_lifecycle_policy_asks_no_more_benefits_than_observations():
+    from tallyforge.policies import LifecyclePolicy
+
+    with pytest.raises(ValueError):
+        LifecyclePolicy(promotion_min_observations=1, promotion_min_benefits=5)
