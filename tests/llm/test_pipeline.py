@@ -39,3 +39,36 @@ def test_run_equals_its_stages(spark, sf):
     rows = got.collect()
     assert rows and len({r.doc_id for r in rows}) == len(rows)
     assert packing.BUCKETS >= len({r.bucket for r in rows})
+
+
+def odd_documents(spark, path, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, h string, score string"
+    df = spark.createDataFrame([(i, t, None, "s", None if t is None else len(t), "clash", None, "clash") for i, t in rows], schema)
+    df.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, _ in rows[:2]] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return df
+
+
+def prose(start, n):
+    return " ".join(f"word{k}" for k in range(start, start + n))
+
+
+def test_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_path):
+    """Every stage keeps all columns and whole rows; the fit has no rejected label, so only the base checks reject."""
+    first, second = prose(0, 80), prose(1000, 90)
+    rows = [(1, first), (1, first), (2, None), (3, ""), (None, second), (5, prose(5000, 20000)), (6, prose(90000, 60)), (6, prose(95000, 70))]
+    docs = odd_documents(spark, tmp_path, rows)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.schema["text"].dataType == docs.schema["text"].dataType
+        got = out.collect()
+        assert {r.kept for r in got} == {"clash"} and all(r.text is None or r.n_chars == len(r.text) for r in got)
+        docs = spark.createDataFrame(got, docs.schema)
+    assert sorted((str(r.doc_id), r.text) for r in docs.collect()) == sorted((str(i), t) for i, t in dict.fromkeys(rows) if t)
+    placed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in placed) == sorted(str(r.doc_id) for r in docs.collect())
+
+
+def test_empty_tables(spark, tmp_path):
+    odd_documents(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
