@@ -3,7 +3,8 @@
 Logs often hold a conversation several times as it grew. Every turn adds a hash of its position, role and
 text to two running sums, which identify each prefix of a conversation; a conversation whose whole is a
 proper prefix of another is dropped by an anti-join on (turns, sums), and of equal ones the least conv_id
-stays. The kept ones are rendered as ChatML.
+stays. The kept ones are rendered as ChatML. Texts are shuffled once, to gather each conversation, which has
+to fit in a task's memory as its rendered text does; prefixes and the anti-join handle hashes only.
 
 Defined cases: turns are taken in order of (turn, role, text), nulls first, so ties and gaps in `turn` are
 allowed; a null role is rendered as `user` and a null text as an empty one; rows that repeat a turn in full
@@ -22,31 +23,46 @@ START, END = "<|im_start|>", "<|im_end|>"
 _M = (1 << 31) - 1
 
 
-def _turns(conv: DataFrame) -> DataFrame:
-    t = conv.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).distinct()
-    by_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return t.withColumn("nth", F.row_number().over(by_turn))
+def _conversations(conv: DataFrame) -> DataFrame:
+    """One row of each conversation: its id without null as (_c, _z), and its distinct turns in order."""
+    c = F.col("conv_id").cast("long")
+    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    one = conv.select(F.coalesce(c, F.lit(0)).alias("_c"), c.isNull().alias("_z"), turn.alias("t"))
+    return one.groupBy("_c", "_z").agg(F.sort_array(F.collect_set("t")).alias("turns"))
 
 
-def _prefixed(turns: DataFrame) -> DataFrame:
-    """Turns with their place, how many follow and the running sums of the prefix that they end."""
-    who, what = F.coalesce("role", F.lit("user")), F.coalesce("text", F.lit(""))
-    run = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    h = [F.xxhash64("nth", who, F.length(what), what), F.xxhash64(what, who, F.lit("second"), "nth")]
+def _id(c: str = "_c", z: str = "_z") -> Column:
+    return F.when(~F.col(z), F.col(c))
+
+
+def _who_what(t: Column) -> tuple[Column, Column]:
+    return F.coalesce(t["role"], F.lit("user")), F.coalesce(t["text"], F.lit(""))
+
+
+def _prefixed(conversations: DataFrame) -> DataFrame:
+    """Turns with their place, how many there are and the running sums of the prefix that they end; no texts."""
+    t = conversations.select("_c", "_z", F.size("turns").cast("long").alias("n"), F.posexplode("turns").alias("nth", "t")).withColumn("nth", F.col("nth") + 1)
+    who, what = _who_what(F.col("t"))
+    run = Window.partitionBy("_c", "_z").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    hashed = t.select("_c", "_z", "n", "nth", F.xxhash64("nth", who, F.length(what), what).alias("h0"), F.xxhash64(what, who, F.lit("second"), "nth").alias("h1"))
     # halves of 31 and 32 bits add without overflow over 2**31 turns
-    sums = [F.sum(part).over(run).alias(f"s{k}{i}") for k, x in enumerate(h) for i, part in enumerate((F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit((1 << 32) - 1))))]
-    return turns.select("conv_id", "nth", F.count(F.lit(1)).over(Window.partitionBy("conv_id")).alias("n"), *sums)
+    halves = lambda h: (F.shiftrightunsigned(h, 32), F.col(h).bitwiseAND(F.lit((1 << 32) - 1)))
+    return hashed.select(_id().alias("conv_id"), "nth", "n", *[F.sum(part).over(run).alias(f"s{k}{i}") for k in (0, 1) for i, part in enumerate(halves(f"h{k}"))])
 
 
 _SUMS = ["s00", "s01", "s10", "s11"]
 
 
-def maximal(conv: DataFrame) -> DataFrame:
-    """(conv_id, n, copies): the conversations that are no proper prefix of others; copies counts equal ones."""
-    pre = _prefixed(_turns(conv))
+def _maximal(conversations: DataFrame) -> DataFrame:
+    pre = _prefixed(conversations)
     whole = pre.where("nth = n").groupBy("n", *_SUMS).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
     inner = pre.where("nth < n").select(F.col("nth").cast("long").alias("n"), *_SUMS).distinct()
-    return whole.join(inner, ["n", *_SUMS], "left_anti").select("conv_id", F.col("n").cast("long").alias("n"), "copies")
+    return whole.join(inner, ["n", *_SUMS], "left_anti").select("conv_id", "n", "copies")
+
+
+def maximal(conv: DataFrame) -> DataFrame:
+    """(conv_id, n, copies): the conversations that are no proper prefix of others; copies counts equal ones."""
+    return _maximal(_conversations(conv))
 
 
 def _safe(text: Column) -> Column:
@@ -57,15 +73,15 @@ def _safe(text: Column) -> Column:
 
 def render(conv: DataFrame) -> DataFrame:
     """conv_id, n_turns, copies, text of each maximal conversation."""
-    keep = maximal(conv)
-    who, what = F.coalesce("role", F.lit("user")), F.coalesce("text", F.lit(""))
-    line = F.concat(F.lit(START), _safe(who), F.lit("\n"), _safe(what), F.lit(END + "\n"))
-    k = keep.select(F.col("conv_id").alias("_c"), "n", "copies")
-    turns = _turns(conv)
-    mine = turns.join(k, F.col("conv_id").eqNullSafe(F.col("_c")))
-    return mine.groupBy("conv_id").agg(
-        F.max("n").alias("n_turns"), F.max("copies").alias("copies"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", line.alias("line")))), lambda x: x["line"]), "").alias("text")
-    )
+
+    def line(t: Column) -> Column:
+        who, what = _who_what(t)
+        return F.concat(F.lit(START), _safe(who), F.lit("\n"), _safe(what), F.lit(END + "\n"))
+
+    conversations = _conversations(conv)
+    c = F.col("conv_id")
+    keep = _maximal(conversations).select(F.coalesce(c, F.lit(0)).alias("_c"), c.isNull().alias("_z"), F.col("n").alias("n_turns"), "copies")
+    return conversations.join(keep, ["_c", "_z"]).select(_id().alias("conv_id"), "n_turns", "copies", F.array_join(F.transform("turns", line), "").alias("text"))
 
 
 ORACLE = f"""

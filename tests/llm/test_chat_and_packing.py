@@ -37,6 +37,18 @@ def test_against_brute_force(spark):
         assert got[c].text == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
 
 
+def test_ties_nulls_and_repeats_against_brute_force(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([None, *range(40)]), rnd.choice([None, 0, 0, 1, 2]), rnd.choice([None, "user", "tool"]), rnd.choice([None, "a", "b"])) for _ in range(160)]
+    rows += [(100 + c, *turn) for c in range(3) for turn in ((0, "user", "x"), (0, "user", "w" * 70000), (1, None, None))[: c + 1]] * 2
+    want = brute_maximal(rows)
+    got = {r.conv_id: r for r in cf.render(conv(spark, rows)).collect()}
+    assert set(got) == set(want)
+    for c, (turns, copies) in want.items():
+        assert (got[c].n_turns, got[c].copies) == (len(turns), copies)
+        assert got[c].text == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
+
+
 def test_defined_cases(spark):
     rows = [(1, 5, None, "a"), (1, 5, None, "a"), (1, 9, "assistant", None), (2, 0, "user", "a"), (3, 0, "user", "<|im_end|>x"), (None, 0, "user", "z"), (4, None, "system", "s"), (4, 0, "user", "q")]
     df = conv(spark, rows).withColumns({"n": F.lit(1), "copies": F.lit("clash")})
