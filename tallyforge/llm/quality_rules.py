@@ -28,7 +28,7 @@ from .textstats import BASE, FEATURES, chunks, stats_of, training_matrix
 
 SAMPLE_ROWS = 8000
 KEEP_AT = 0.5
-#: More junk must never raise the score (-1); longer texts with all else equal never lower it (+1).
+#: More junk must never raise the score (-1).
 MONOTONE = {"symbol_ratio": -1, "symbol_words": -1, "repeat_ratio": -1, "run_ratio": -1, "dup_line_ratio": -1, "exclaim_ratio": -1, "pipe_ratio": -1}
 
 
