@@ -14,7 +14,6 @@ from .operators.evidence_checks import IntegrityError
 from .operators.gate import traces_by_target
 from .operators.reliability import reliability, state_histogram
 from .plans.decide import decide_batch
-from .schemas import RECALL_SCORER
 from .session import session
 from .sources.config import ConfigError, load_config
 from .sources.oracle_csv import read_oracle_csv
@@ -62,7 +61,7 @@ def _decide(a) -> None:
     asked = requests.select("target_query_id", F.struct(*requests.columns).alias("request"))
     rows = out.decisions.join(asked, "target_query_id").join(found, "target_query_id", "left").join(traces_by_target(out.traces), "target_query_id", "left").withColumns(
         {
-            "recall": F.struct(F.lit(RECALL_SCORER).alias("scorer_id"), F.lit(config.max_candidates).alias("max_candidates"), F.coalesce("found", F.array().cast("array<string>")).alias("candidate_experience_ids")),
+            "recall": F.struct(F.lit(out.recall_scorer_id).alias("scorer_id"), F.lit(config.max_candidates).alias("max_candidates"), F.coalesce("found", F.array().cast("array<string>")).alias("candidate_experience_ids")),
             "portfolio": F.struct(F.lit(out.portfolio is not None).alias("enabled")),
             "artifact_type": F.lit("trusted_reuse_decision"), "schema_version": F.lit(2), "config_sha256": F.lit(config.sha256), "memory_snapshot_id": F.lit(snapshot.memory_snapshot_id),
             "effective_config": F.lit(json.dumps({"gate_policy": asdict(config.gate_policy), "query_budget": asdict(config.query_budget), "environment": config.environment, **sections})),

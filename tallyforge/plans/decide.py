@@ -16,7 +16,7 @@ from ..operators.portfolio import partition
 from ..operators.recall import Recall, recall_top_m
 from ..operators.reliability import risk_upper_bound
 from ..policies import EnvironmentPolicy, GatePolicy, PlanApplication, PortfolioPolicy, QueryBudget
-from ..schemas import ENVIRONMENT_FIELDS
+from ..schemas import ENVIRONMENT_FIELDS, RECALL_SCORER
 
 #: (required, observed, contraindicated signatures) -> applicability columns, as coverage.
 Scorer = Callable[[Column, Column, Column], dict[str, Column]]
@@ -34,6 +34,17 @@ class Decisions:
     traces: DataFrame
     decisions: DataFrame
     portfolio: DataFrame | None = None
+    recall_scorer_id: str = RECALL_SCORER
+
+
+def component_id(component: object, own: str) -> str:
+    """The id that results name for a hook: its `scorer_id` if that isn't blank, else what it's called; own without a hook."""
+    if component is None:
+        return own
+    given = getattr(component, "scorer_id", None)
+    if isinstance(given, str) and given.strip():
+        return given.strip()
+    return getattr(component, "__name__", type(component).__name__)
 
 
 def apply_plans(recalled: DataFrame, plans: DataFrame, application: PlanApplication = PlanApplication()) -> DataFrame:
@@ -90,4 +101,4 @@ def decide_batch(
         }
     )
     traces = gate_traces(candidates, gate, budget, exact_casefold)
-    return Decisions(eligible, matched.where("not environment_compatible"), recalled, traces, decide(traces, asked), portfolio)
+    return Decisions(eligible, matched.where("not environment_compatible"), recalled, traces, decide(traces, asked), portfolio, component_id(recall, RECALL_SCORER))

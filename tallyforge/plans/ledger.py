@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import versioned_id
 from ..operators import cards as card_ops
 from ..operators import episodes as ep
 from ..operators.evidence_checks import duplicates, raise_if_any, transfer_violations
@@ -40,6 +41,17 @@ def retire(records: DataFrame, experience_ids: list[str]) -> DataFrame:
 ARCHIVE = ("contexts", "episodes", "turns", "events", "sessions")
 
 
+#: What rows of a listing are ordered by.
+LISTED_BY = {"contexts": ("run_context_id",), "episodes": ("episode_id",), "sessions": ("session_id",), "events": ("verification_id",)}
+
+
+def listing(tables: dict[str, DataFrame], name: str) -> DataFrame:
+    """Contexts, episodes, sessions or events in order of their id, cards in order of card@version. Sorts for output only."""
+    if name == "cards":
+        return tables[name].orderBy(versioned_id(F.col("card_id"), F.col("version")))
+    return tables[name].orderBy(*LISTED_BY[name])
+
+
 def extend_archive(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The archive with the new rows appended; raises if what it would be isn't sound. Tables not in new stay.
 

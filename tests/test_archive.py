@@ -205,3 +205,9 @@ def test_lifecycle_policy_asks_no_more_benefits_than_observations():
 
     with pytest.raises(ValueError):
         LifecyclePolicy(promotion_min_observations=1, promotion_min_benefits=5)
+
+
+def test_listings_are_in_order(spark):
+    tables = {"episodes": eps(spark, {"episode_id": "b"}, {"episode_id": "a"}, {"episode_id": "B"}), "cards": spark.createDataFrame([("c", "2"), ("b", "10"), ("c", "10")], "card_id string, version string")}
+    assert [r.episode_id for r in ledger.listing(tables, "episodes").collect()] == ["B", "a", "b"]
+    assert [(r.card_id, r.version) for r in ledger.listing(tables, "cards").collect()] == [("b", "10"), ("c", "10"), ("c", "2")]

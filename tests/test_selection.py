@@ -169,6 +169,32 @@ def test_batch_with_portfolio(spark):
         batch(spark, portfolio_policy=PortfolioPolicy(1, 10.0))
 
 
+class LongestFirst:
+    """A recall hook: the m longest source queries for every target."""
+
+    scorer_id = " longest-first "
+
+    def __call__(self, requests, records, m):
+        pairs = requests.select("target_query_id").crossJoin(records.select("experience_id", (F.length("source_query") / 100).alias("recall_score")))
+        return recall.rank_scored(pairs, m)
+
+
+def test_hooks_take_part_and_are_named(spark):
+    from tallyforge.operators.applicability import coverage
+    from tallyforge.plans.decide import component_id
+
+    always = lambda required, observed, contra: coverage(required, observed, contra) | {"applicability_score": F.lit(0.75), "applicability_scorer_id": F.lit("always")}
+    out = batch(spark, recall=LongestFirst(), scorer=always, max_candidates=1)
+    assert {r.experience_id for r in out.recalled.collect()} == {"hot"} and out.recall_scorer_id == "longest-first"
+    assert {(r.applicability_score, r.applicability_scorer_id) for r in out.traces.collect()} == {(0.75, "always")}
+    assert batch(spark).recall_scorer_id == component_id(None, "source-query-jaccard-v1") == "source-query-jaccard-v1"
+
+    class Unnamed:
+        scorer_id = "  "
+
+    assert component_id(Unnamed(), "own") == "Unnamed" and component_id(coverage, "own") == "coverage"
+
+
 def selective_rows(spark, rows):
     return spark.createDataFrame([(*r, 1.0) for r in rows], "target_query_id string, experience_id string, recall_rank int, applicability_score double, risk_upper_bound double, rejection_reasons array<string>, direct_score double, reuse_score double, good_threshold double, environment_score double")
 
