@@ -64,10 +64,11 @@ QUERIES["op4_chat_format"] = op4_chat_format
 
 
 def _oracles() -> None:
-    from . import chat_format, line_dedup
+    from . import chat_format, fill_in_middle, line_dedup
 
     ORACLE_SQL["op4_chat_format"] = chat_format.ORACLE
     ORACLE_SQL["op8_line_dedup"] = line_dedup.ORACLE
+    ORACLE_SQL["op12_fill_in_middle"] = fill_in_middle.ORACLE
 
 
 _oracles()
@@ -111,3 +112,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_sentencepiece"] = op2_sentencepiece
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_fill_in_middle"] = op12_fill_in_middle
