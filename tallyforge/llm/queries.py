@@ -64,11 +64,12 @@ QUERIES["op4_chat_format"] = op4_chat_format
 
 
 def _oracles() -> None:
-    from . import chat_format, fill_in_middle, line_dedup
+    from . import centroids, chat_format, fill_in_middle, line_dedup
 
     ORACLE_SQL["op4_chat_format"] = chat_format.ORACLE
     ORACLE_SQL["op8_line_dedup"] = line_dedup.ORACLE
     ORACLE_SQL["op12_fill_in_middle"] = fill_in_middle.ORACLE
+    ORACLE_SQL["op13_centroid_clustering"] = centroids.ORACLE
 
 
 _oracles()
@@ -121,3 +122,12 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op12_fill_in_middle"] = op12_fill_in_middle
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op13_centroid_clustering"] = op13_centroid_clustering
