@@ -131,3 +131,12 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op13_centroid_clustering"] = op13_centroid_clustering
+
+
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+QUERIES["op11_license_scan"] = op11_license_scan
