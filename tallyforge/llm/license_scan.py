@@ -174,7 +174,7 @@ class Index:
             held = np.zeros(len(s))
             for j, v in enumerate(self.words[t].tolist()):
                 held += weight[j] * self.near(of(v), s + j)
-            share = np.minimum(held / weight.sum(), 1.0)
+            share = np.round(np.minimum(held / weight.sum(), 1.0), 12)
             out += [(self.labels[t], int(a), float(c)) for a, c in zip(s, share, strict=True) if c >= self.cover]
         return sorted(out, key=lambda x: (x[1], x[0], -x[2]))
 
