@@ -53,7 +53,7 @@ def _decide(a) -> None:
         raise FormatError("the plan bundle's applier differs from the configuration's")
     out = decide_batch(
         scored_records(snapshot), requests, bundle.plans, config.environment, gate=config.gate_policy, budget=config.query_budget, environment_policy=config.environment_policy,
-        application=bundle.application(config.query_budget), max_candidates=config.max_candidates, exact_casefold=True,
+        application=bundle.application(config.query_budget), max_candidates=config.max_candidates,
     )
     values = config.values
     sections = {k: values[k] for k in ("environment_compatibility", "candidate_recall", "applicability", "application") if k in values}

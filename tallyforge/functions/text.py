@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schemas import GAP_CATEGORIES, UNSPECIFIED
 
@@ -25,25 +24,36 @@ def py_strip(c: Column) -> Column:
     return F.btrim(c, F.lit(STRIPPED))
 
 
-@F.pandas_udf(T.StringType())
-def casefold_exact(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """str.casefold, for callers that need all of Unicode's special cases."""
-    for s in values:
-        yield s.map(lambda x: x.casefold(), na_action="ignore")
+@lru_cache(maxsize=1)
+def fold_table() -> tuple[str, str, dict[str, str]]:
+    """(characters, what each folds to, characters that fold to several) of Unicode's full case folding, over every code point."""
+    folds = {chr(c): chr(c).casefold() for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF}
+    one = {k: v for k, v in folds.items() if k != v and len(v) == 1}
+    return "".join(one), "".join(one.values()), {k: v for k, v in folds.items() if len(v) > 1}
 
 
-def fold(c: Column, exact: bool = False) -> Column:
-    """Caseless form: JVM lower with sharp s written out, or exact Unicode casefold through Arrow."""
-    return casefold_exact(c) if exact else F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+def fold(c: Column) -> Column:
+    """str.casefold, in the JVM: ASCII text by lower, other text by a table of characters; those that fold to several are
+    written out where there are any. The text is bound to a variable, so that it's computed once."""
+    singles, folded, several = fold_table()
 
+    def of(x: Column) -> Column:
+        one = F.translate(x, singles, folded)
+        out = one
+        for k, v in several.items():
+            out = F.replace(out, F.lit(k), F.lit(v))
+        return F.when(F.octet_length(x) == F.length(x), F.lower(x)).when(x.rlike("[" + "".join(several) + "]"), out).otherwise(one)
 
-def words(c: Column, exact: bool = False) -> Column:
+    return F.get(F.transform(F.array(c), of), F.lit(0))
+
+
+def words(c: Column) -> Column:
     """Distinct folded words. Words are cut before folding, as folding can add characters that aren't of a word.
 
     They are folded together, joined by a space, which is no word character. Without words that leaves one empty string.
     The text is looked through once: no branch names it twice."""
     found = F.array_join(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(WORD), F.lit(0)), " ")
-    return F.array_remove(F.array_distinct(F.split(fold(found, exact), " ")), "")
+    return F.array_remove(F.array_distinct(F.split(fold(found), " ")), "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -52,8 +62,8 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(shared / (F.size(a) + F.size(b) - shared).cast("double"))
 
 
-def token_jaccard(a: Column, b: Column, exact: bool = False) -> Column:
-    return jaccard(words(a, exact), words(b, exact))
+def token_jaccard(a: Column, b: Column) -> Column:
+    return jaccard(words(a), words(b))
 
 
 def is_unspecified(c: Column) -> Column:
@@ -61,8 +71,8 @@ def is_unspecified(c: Column) -> Column:
     return F.coalesce(fold(py_strip(c)).isin(*UNSPECIFIED), F.lit(True))
 
 
-def normalize_signature(c: Column, exact: bool = False) -> Column:
-    return F.regexp_replace(fold(py_strip(c), exact), SPACE, " ")
+def normalize_signature(c: Column) -> Column:
+    return F.regexp_replace(fold(py_strip(c)), SPACE, " ")
 
 
 def normalize_signatures(c: Column) -> Column:

@@ -20,7 +20,7 @@ TRACE = (
 SCANNED = ("risk_upper_bound_too_high", "applicability_below_threshold")
 
 
-def plan_reasons(prepared: Column, experience_id: Column, target_id: Column, target_query: Column, applier_id: Column, applier_version: Column, budget: QueryBudget = QueryBudget(), exact_casefold: bool = False) -> Column:
+def plan_reasons(prepared: Column, experience_id: Column, target_id: Column, target_query: Column, applier_id: Column, applier_version: Column, budget: QueryBudget = QueryBudget()) -> Column:
     """Ordered reasons against a prepared plan struct; a missing plan has that one reason.
 
     target_id and target_query are compared stripped. Nulls inside a plan count against it.
@@ -36,7 +36,7 @@ def plan_reasons(prepared: Column, experience_id: Column, target_id: Column, tar
         (py_strip(p["target_query_id"]) != py_strip(target_id), "prepared_target_id_mismatch"),
         (py_strip(p["target_query"]) != query, "prepared_target_query_mismatch"),
         (F.coalesce(text, F.lit("")) == "", "empty_transformed_query"),
-        (F.coalesce((text != "") & (fold(text, exact_casefold) == fold(query, exact_casefold)), F.lit(False)), "unchanged_transformed_query"),
+        (F.coalesce((text != "") & (fold(text) == fold(query)), F.lit(False)), "unchanged_transformed_query"),
         (F.coalesce(F.length(text), F.lit(0)) > budget.max_query_characters, "transformed_query_too_long"),
         (is_unspecified(p["generated_by"]) | is_unspecified(p["application_version"]), "missing_application_provenance"),
         (py_strip(p["generated_by"]) != py_strip(applier_id), "application_applier_mismatch"),
@@ -71,7 +71,7 @@ def applicability_reasons(policy: GatePolicy) -> Column:
     return F.when(score.isNull(), F.array(F.lit("missing_applicability_estimate"))).otherwise(found)
 
 
-def gate_traces(candidates: DataFrame, policy: GatePolicy = GatePolicy(), budget: QueryBudget = QueryBudget(), exact_casefold: bool = False) -> DataFrame:
+def gate_traces(candidates: DataFrame, policy: GatePolicy = GatePolicy(), budget: QueryBudget = QueryBudget()) -> DataFrame:
     """All candidates with every reason against them, in the order of the checks.
 
     candidates: target_query_id, target_query, experience_id, recall_rank, state, environment columns, provenance,
@@ -83,7 +83,7 @@ def gate_traces(candidates: DataFrame, policy: GatePolicy = GatePolicy(), budget
         {
             "provenance_valid": ~is_unspecified(c("provenance")),
             "_reliability": reliability_reasons(policy),
-            "_plan": plan_reasons(c("prepared"), c("experience_id"), c("target_query_id"), c("target_query"), c("applier_id"), c("applier_version"), budget, exact_casefold),
+            "_plan": plan_reasons(c("prepared"), c("experience_id"), c("target_query_id"), c("target_query"), c("applier_id"), c("applier_version"), budget),
             "_fit": applicability_reasons(policy),
         }
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .adapters import CURRENT, sql_of
+from .functions.text import fold_table
 from .queries import BUDGET, GATE, LIFECYCLE, POINTS, PORTFOLIO, TIERED
 from .schemas import HARD_FIELDS, RETRIEVAL_FIELDS, SOFT_FIELDS
 
@@ -159,8 +160,16 @@ def _env(tiered: bool) -> str:
 SQL["env_strict"], SQL["env_tiered"] = _env(False), _env(True)
 
 
+def folded(c: str) -> str:
+    """Unicode case folding of every character."""
+    singles, to, several = fold_table()
+    for k, v in several.items():
+        c = f"replace({c}, '{k}', '{v}')"
+    return f"translate({c}, '{singles}', '{to}')"
+
+
 def words(c: str) -> str:
-    return rf"list_distinct(list_transform(regexp_extract_all({c}, '[\p{{L}}\p{{N}}_]+'), lambda w: replace(lower(w), 'ß', 'ss')))"
+    return rf"list_distinct(list_transform(regexp_extract_all({c}, '[\p{{L}}\p{{N}}_]+'), lambda w: {folded('w')}))"
 
 
 _JACCARD = "CASE WHEN len(w) = 0 AND len(v) = 0 THEN 1e0 ELSE len(list_intersect(w, v)) / (len(w) + len(v) - len(list_intersect(w, v)))::double END"

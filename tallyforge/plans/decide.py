@@ -66,7 +66,7 @@ def apply_plans(recalled: DataFrame, plans: DataFrame, application: PlanApplicat
 def decide_batch(
     records: DataFrame, requests: DataFrame, plans: DataFrame | None, environment: dict[str, str], *, gate: GatePolicy = GatePolicy(), budget: QueryBudget = QueryBudget(),
     environment_policy: EnvironmentPolicy = EnvironmentPolicy(), application: PlanApplication = PlanApplication(), max_candidates: int = 5, activities: DataFrame | None = None,
-    current_step: int | None = None, portfolio_policy: PortfolioPolicy | None = None, exact_casefold: bool = False,
+    current_step: int | None = None, portfolio_policy: PortfolioPolicy | None = None,
     recall: Recall | None = None, scorer: Scorer | None = None, applier: Applier | None = None,
 ) -> Decisions:
     """records: experience_id, state, source_query_id, source_query, environment struct, provenance, applicability_signature,
@@ -88,7 +88,7 @@ def decide_batch(
     matched = pool.withColumns(compatibility(F.col("environment"), current, environment_policy))
     eligible = matched.where("environment_compatible")
     asked = requests.withColumn("target_query", py_strip(F.col("target_query")))
-    recalled = recall(asked, eligible, max_candidates) if recall else recall_top_m(asked, eligible, max_candidates, exact_casefold)
+    recalled = recall(asked, eligible, max_candidates) if recall else recall_top_m(asked, eligible, max_candidates)
     pairs = recalled.join(eligible, "experience_id").join(asked, "target_query_id")
     candidates = applier(pairs) if applier else apply_plans(pairs, plans, application)
     bounds = {"wilson_95_conditional_breakage_upper_bound": "breakage_upper_bound", "wilson_95_harm_upper_bound": "harm_upper_bound"}
@@ -100,5 +100,5 @@ def decide_batch(
             "risk_upper_bound": risk, "risk_measure": measure,
         }
     )
-    traces = gate_traces(candidates, gate, budget, exact_casefold)
+    traces = gate_traces(candidates, gate, budget)
     return Decisions(eligible, matched.where("not environment_compatible"), recalled, traces, decide(traces, asked), portfolio, component_id(recall, RECALL_SCORER))

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,24 +214,57 @@ def test_sweep_strict_and_permissive(spark):
     assert rules == {"duplicate_pair", "duplicate_rank", "target_outside_universe"}
 
 
-def test_recall_joins_blocks_not_pairs(spark):
-    """A word that every experience has meets a target once for each block; all scores equal those of plain sets."""
-    import random
+def sets_of(texts):
+    return {k: set(re.findall(r"\w+", v)) for k, v in texts.items()}
 
-    from tallyforge.operators.recall import COUNTERS, recall_top_m, shared_words
 
+def best_of(asked, memory, m):
+    a, b = sets_of(asked), sets_of(memory)
+    score = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    return {k: sorted((-score(w, v), i) for i, v in b.items())[:m] for k, w in a.items()}
+
+
+def test_recall_emits_m_rows_of_a_shard(spark):
+    """Whatever words all experiences have, a target gets m rows of each shard; all scores equal those of plain sets."""
     rnd = random.Random(3)
     text = lambda: " ".join(["the", *rnd.choices([f"w{i}" for i in range(40)], k=rnd.randint(0, 6))])
-    memory = {f"e{i:03}": text() for i in range(150)}
-    asked = {f"t{i}": text() for i in range(12)} | {"none": "!!", "new": "unheard"}
+    memory = {f"e{i:03}": text() for i in range(150)} | {"e900": "", "e901": "..", "e902": "the"}
+    asked = {f"t{i}": text() for i in range(12)} | {"none": "!!", "new": "unheard", "the": "the"}
     e, t = spark.createDataFrame([*memory.items()], "experience_id string, source_query string"), spark.createDataFrame([*asked.items()], "target_query_id string, target_query string")
-    met, names = shared_words(t, e)
-    blocks = -(-len(memory) // (2 * COUNTERS))
-    assert names.count() == blocks and met.count() <= blocks * sum(len(set(x.split())) for x in asked.values()) < 12 * len(memory)
-    got = {}
-    for r in recall_top_m(t, e, 4).orderBy("recall_rank").collect():
-        got.setdefault(r.target_query_id, []).append((-round(r.recall_score, 12), r.experience_id))
-    score = lambda a, b: round(len(a & b) / len(a | b), 12)
-    for k, q in asked.items():
-        w = set(q.replace("!", "").split())
-        assert got[k] == sorted((-score(w, set(v.split())), i) for i, v in memory.items())[:4]
+    want = best_of(asked, memory, 4)
+    for shard_words in (recall.SHARD_WORDS, 200, 40):
+        got = {}
+        for r in recall.recall_top_m(t, e, 4, shard_words).orderBy("recall_rank").collect():
+            got.setdefault(r.target_query_id, []).append((-r.recall_score, r.experience_id))
+        assert got == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_shard_search_equals_all_pairs_and_looks_at_few(seed):
+    """Words of very different frequency: bounds leave few experiences, the result is that of all pairs."""
+    rnd = random.Random(seed)
+    pool = [f"w{i}" for i in range(3000)]
+    weights = [1 / (i + 1) for i in range(3000)]
+    memory = {f"e{i:05}": " ".join(rnd.choices(pool, weights, k=rnd.choice([0, 1, 5, 30, 60]))) for i in range(1500)}
+    asked = {f"t{i}": " ".join(rnd.choices(pool, weights, k=rnd.choice([0, 1, 8, 50, 300]))) for i in range(40)} | {f"c{i}": v + " extra" for i, v in enumerate(list(memory.values())[:20])}
+    sets, shard = sets_of(memory), None
+    shard = recall.build_shard(pa.array(sets), pa.array([sorted(v) for v in sets.values()], pa.list_(pa.string())))
+    number = {w: i for i, w in enumerate(shard["vocab"].to_pylist())}
+    want, looked = best_of(asked, memory, 5), 0
+    for k, w in sets_of(asked).items():
+        found, scores, seen = recall.search_shard(shard, np.array([number[x] for x in sorted(w) if x in number], np.int64), len(w), 5)
+        assert [(-s, shard["ids"][i].as_py()) for i, s in zip(found.tolist(), scores.tolist(), strict=True)] == want[k]
+        looked += seen
+    assert looked < 0.35 * len(asked) * len(memory)
+
+
+def test_recall_rows_on_the_given_tables(spark):
+    """At sf0.1 the search hands on under a tenth of as many rows as there are pairs."""
+    from tallyforge.adapters import relation
+
+    d = "/root/testdata/sf0.1"
+    t, e = relation(spark, d, "requests"), relation(spark, d, "memory")
+    top = recall.recall_top_m(t, e, 5)
+    assert top.count() == 5 * t.count() < 0.1 * t.count() * e.count()
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
