@@ -36,17 +36,23 @@ def fold(c: Column) -> Column:
     """str.casefold, in the JVM: ASCII text by lower, other text by a table of characters; those that fold to several are
     written out where there are any. The text is bound to a variable, so that it's computed once."""
     singles, folded, several = fold_table()
+    # a literal of one string, which the optimizer turns into a map: a hundred nested replacements would be planned for every use
+    spelled = F.str_to_map(F.lit(" ".join(f"{k}={v}" for k, v in several.items())), F.lit(" "), F.lit("="))
 
     def of(x: Column) -> Column:
         one = F.translate(x, singles, folded)
-        out = one
-        for k, v in several.items():
-            out = F.replace(out, F.lit(k), F.lit(v))
+        out = F.array_join(F.transform(F.regexp_extract_all(one, F.lit("(?s)."), F.lit(0)), lambda ch: F.coalesce(spelled[ch], ch)), "")
         return F.when(F.octet_length(x) == F.length(x), F.lower(x)).when(x.rlike("[" + "".join(several) + "]"), out).otherwise(one)
 
     return F.get(F.transform(F.array(c), of), F.lit(0))
 
 
+def same_folded(a: Column, b: Column) -> Column:
+    """Whether two texts have one fold. A character folds to three at most, so lengths far apart settle it without folding."""
+    m, n = F.length(a), F.length(b)
+    return F.when((m > 3 * n) | (n > 3 * m), False).otherwise(fold(a) == fold(b))
+
+
 def words(c: Column) -> Column:
     """Distinct folded words. Words are cut before folding, as folding can add characters that aren't of a word.
 

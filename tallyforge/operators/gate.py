@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import finite, reasons
-from ..functions.text import fold, is_unspecified, py_strip
+from ..functions.text import is_unspecified, py_strip, same_folded
 from ..policies import GatePolicy, QueryBudget
 
 #: Fixed order of the columns of a trace.
@@ -36,7 +36,7 @@ def plan_reasons(prepared: Column, experience_id: Column, target_id: Column, tar
         (py_strip(p["target_query_id"]) != py_strip(target_id), "prepared_target_id_mismatch"),
         (py_strip(p["target_query"]) != query, "prepared_target_query_mismatch"),
         (F.coalesce(text, F.lit("")) == "", "empty_transformed_query"),
-        (F.coalesce((text != "") & (fold(text) == fold(query)), F.lit(False)), "unchanged_transformed_query"),
+        (F.coalesce((text != "") & same_folded(text, query), F.lit(False)), "unchanged_transformed_query"),
         (F.coalesce(F.length(text), F.lit(0)) > budget.max_query_characters, "transformed_query_too_long"),
         (is_unspecified(p["generated_by"]) | is_unspecified(p["application_version"]), "missing_application_provenance"),
         (py_strip(p["generated_by"]) != py_strip(applier_id), "application_applier_mismatch"),

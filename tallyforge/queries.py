@@ -14,6 +14,7 @@ from .operators import applicability, cards, environment, episodes, evidence_che
 from .plans.decide import apply_plans, decide_batch
 from .policies import EnvironmentPolicy, GatePolicy, LifecyclePolicy, PlanApplication, PortfolioPolicy, QueryBudget
 from .schemas import ENVIRONMENT_FIELDS
+from .storage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,17 +197,17 @@ def _plans(spark, d, recalled):
 
 
 def _decide(spark, d):
-    """Decisions whose plans are derived from the recalled pairs, which are therefore found once and given to both."""
-    m = _memory(spark, d)
-    r = _recalled(spark, d, m)
+    """Decisions whose plans are derived from the recalled pairs. Memory and pairs, which both sides read, are written once."""
+    m = written(_memory(spark, d), "memory")
+    r = written(_recalled(spark, d, m), "recalled")
     return decide_batch(m, _requests(spark, d), _plans(spark, d, r), CURRENT, gate=GATE, budget=BUDGET, environment_policy=EnvironmentPolicy(), application=PlanApplication(), max_candidates=5, recall=lambda *_: r)
 
 
 @query
 def plan_reasons(spark, d):
     """Reasons against plans alone, over all recalled pairs."""
-    m, r = _memory(spark, d), _requests(spark, d)
-    recalled = _recalled(spark, d, m)
+    m, r = written(_memory(spark, d), "memory"), _requests(spark, d)
+    recalled = written(_recalled(spark, d, m), "recalled")
     pairs = recalled.join(m, "experience_id").join(r.select("target_query_id", "target_query"), "target_query_id")
     p = apply_plans(pairs, _plans(spark, d, recalled))
     why = gate.plan_reasons(F.col("prepared"), F.col("experience_id"), F.col("target_query_id"), F.col("target_query"), F.col("applier_id"), F.col("applier_version"), BUDGET)
