@@ -73,28 +73,56 @@ def risk_upper_bound(df: DataFrame, measures: tuple[str, ...] = ("wilson_95_cond
     return value, name
 
 
-def lifecycle_state(observations: DataFrame, policy: LifecyclePolicy = LifecyclePolicy(), order: str = "seq") -> DataFrame:
-    """State of each experience after its observations in order.
+#: Observations of one experience that are summed up in one piece, as its order numbers run.
+SEGMENT = 1 << 18
+_RUNNING = ("n", "benefit", "harm", "both_good", "gain")
 
-    Promotion asks the running totals of every prefix, as a later drop doesn't revoke it; harm to the limit
-    quarantines for good. One shuffle by experience, one running window.
+
+def _segment(df: DataFrame, order: str, segment: int) -> Column:
+    """Piece of an experience's order; all of it is one piece where the order isn't by whole numbers."""
+    whole = df.schema[order].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.coalesce(F.floor(F.col(order) / F.lit(segment)), F.lit(-1)).cast("long") if whole else F.lit(0).cast("long")
+
+
+def running_totals(observations: DataFrame, order: str = "seq", segment: int = SEGMENT, carried: DataFrame | None = None) -> DataFrame:
+    """experience_id, order and the totals n, benefit, harm, both_good, gain of each observation and all before it.
+
+    A segmented scan: order numbers are cut into pieces of `segment`, each piece is summed up by itself, and totals of the pieces before
+    are added, so that one experience of most observations is spread over tasks. Rows are shuffled once, by experience
+    and piece; otherwise only one row a piece moves. carried (experience_id, the same totals) is what was before all of them.
     """
-    run = Window.partitionBy("experience_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     o = F.col("outcome")
-    k = lambda name: F.sum((o == name).cast("long")).over(run)
-    rows = _with_outcome(observations).select(
-        "experience_id", F.count("*").over(run).alias("n"), k(BENEFIT).alias("benefit"), k(HARM).alias("harm"), k(BOTH_GOOD).alias("both_good"), F.avg("gain").over(run).alias("mean")
-    )
+    one = lambda name: (o == name).cast("long")
+    rows = _with_outcome(observations).select("experience_id", order, _segment(observations, order, segment).alias("_s"), F.lit(1).cast("long").alias("n"), one(BENEFIT).alias("benefit"), one(HARM).alias("harm"), one(BOTH_GOOD).alias("both_good"), F.col("gain"))
+    piece = Window.partitionBy("experience_id", "_s").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("experience_id").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("experience_id", "_s").agg(*[F.sum(c).alias(c) for c in _RUNNING])
+    if carried is not None:
+        totals = totals.unionByName(carried.select("experience_id", F.lit(-(1 << 62)).alias("_s"), *_RUNNING))
+    before = totals.select("experience_id", "_s", *[F.sum(c).over(earlier).alias(f"_{c}") for c in _RUNNING]).where("_n is not null")
+    run = rows.select("experience_id", order, "_s", *[F.sum(c).over(piece).alias(c) for c in _RUNNING])
+    return run.join(before, ["experience_id", "_s"], "left").select("experience_id", order, *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in _RUNNING])
+
+
+def ready(policy: LifecyclePolicy) -> Column:
+    """Whether running totals promote a candidate."""
     good = F.col("harm") + F.col("both_good")
-    ready = (
+    return (
         (F.col("n") >= policy.promotion_min_observations) & (good >= policy.promotion_min_direct_good_observations) & (F.col("benefit") >= policy.promotion_min_benefits)
-        & (F.col("mean") > policy.promotion_min_mean_gain) & (wilson_upper(F.col("harm"), good) <= policy.promotion_max_wilson_breakage_upper_bound)
+        & (F.col("gain") / F.col("n") > policy.promotion_min_mean_gain) & (wilson_upper(F.col("harm"), good) <= policy.promotion_max_wilson_breakage_upper_bound)
         & (F.col("harm") < policy.quarantine_at_harm_count)
     )
-    total = F.max("harm")
-    return rows.groupBy("experience_id").agg(
+
+
+def lifecycle_state(observations: DataFrame, policy: LifecyclePolicy = LifecyclePolicy(), order: str = "seq", segment: int = SEGMENT) -> DataFrame:
+    """State of each experience after its observations in order.
+
+    Promotion asks the running totals of every prefix, as a later drop doesn't revoke it; harm to the limit
+    quarantines for good.
+    """
+    return running_totals(observations, order, segment).groupBy("experience_id").agg(
         F.max("n").alias("observations"),
-        F.when(total >= policy.quarantine_at_harm_count, "quarantine").when(F.max(ready), "active").otherwise("candidate").alias("state"),
+        F.when(F.max("harm") >= policy.quarantine_at_harm_count, "quarantine").when(F.max(ready(policy)), "active").otherwise("candidate").alias("state"),
     )
 
 

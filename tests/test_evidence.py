@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.operators import evidence_checks as ec
 from tallyforge.operators import oracle, portfolio, reliability
@@ -131,3 +132,29 @@ def test_transfer_rules(spark, change, rule):
     assert rules(ec.transfer_violations(obs, src)) == ({rule} if rule else set())
     keys = {r.key for r in ec.transfer_violations(obs, src).collect()}
     assert all(k.endswith("/1") for k in keys)  # the first occurrence is legal
+
+
+def test_lifecycle_in_pieces(spark):
+    """However orders are cut into pieces, states are those of a fold; so with totals carried from before."""
+    by = histories(60, 25)
+    p = LifecyclePolicy(quarantine_at_harm_count=3)
+    want = {r.experience_id: (r.observations, r.state) for r in reliability.lifecycle_state(observations(spark, by), p).collect()}
+    for segment in (1, 3, 7):
+        assert {r.experience_id: (r.observations, r.state) for r in reliability.lifecycle_state(observations(spark, by), p, segment=segment).collect()} == want
+    named = observations(spark, by).withColumn("seq", F.format_string("%05d", "seq"))  # no whole numbers: one piece
+    assert {r.experience_id: (r.observations, r.state) for r in reliability.lifecycle_state(named, p).collect()} == want
+
+
+def test_one_experience_of_a_million_observations_is_spread(spark):
+    n = 1_000_000
+    i = F.col("id")
+    rows = spark.range(n + 50).select(
+        F.when(i < n, "hot").otherwise("cold").alias("experience_id"), (i % n).cast("int").alias("seq"), ((i % 3 == 0) & (i > 5)).cast("double").alias("direct_score"), ((i % 3 == 0) | (i % 5 == 0)).cast("double").alias("reuse_score"), F.lit(0.5).alias("good_threshold")
+    )
+    run = reliability.running_totals(rows, segment=1 << 17)
+    spread = run.where("experience_id = 'hot'").groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.max("n").alias("last")).collect()
+    assert len(spread) > 1 and max(r["n"] for r in spread) < 0.7 * n and max(r["last"] for r in spread) == n
+    last = run.where("experience_id = 'hot' and seq in (0, 131071, 131072, 999999)").orderBy("seq").collect()
+    count = lambda k, f: sum(1 for x in range(k + 1) if f(x))
+    direct, reuse = (lambda x: x % 3 == 0 and x > 5), (lambda x: x % 3 == 0 or x % 5 == 0)
+    assert [(r.n, r.benefit, r.harm, r.both_good) for r in last] == [(r.seq + 1, count(r.seq, lambda x: not direct(x) and reuse(x)), 0, count(r.seq, direct)) for r in last]

@@ -268,3 +268,63 @@ def test_recall_rows_on_the_given_tables(spark):
     assert top.count() == 5 * t.count() < 0.1 * t.count() * e.count()
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def random_candidates(rnd, targets, most):
+    """Few distinct thresholds, so that ties and dominated candidates abound."""
+    rows = []
+    for t in range(targets):
+        for k in range(rnd.randint(0, most)):
+            fit, risk = rnd.choice([None, float("nan"), *[i / 8 for i in range(9)]]), rnd.choice([float("nan"), *[i / 8 for i in range(9)]])
+            rows.append((f"t{t}", f"e{k}", k + 1, fit, risk, rnd.choice([[], [], ["risk_upper_bound_too_high"], ["missing_provenance"]]), rnd.randint(0, 8) / 8, rnd.randint(0, 8) / 8, 0.5))
+    return rows
+
+
+def choose(rows, fit, risk):
+    """By target, the candidate that one operating point chooses, taken straight from the order of preference."""
+    best = {}
+    for r in rows:
+        if r[5] in ([], ["risk_upper_bound_too_high"]) and r[3] is not None and r[3] >= fit and r[4] <= risk:
+            key = (-r[3], r[4], -1.0, r[2], r[1])
+            if r[0] not in best or key < best[r[0]][0]:
+                best[r[0]] = key, r
+    return {t: r for t, (_, r) in best.items()}
+
+
+def totals(chosen):
+    of = lambda f: sum(1 for r in chosen.values() if f(r[6] >= r[8], r[7] >= r[8]))
+    gain = sum(r[7] - r[6] for r in chosen.values()) / len(chosen) if chosen else 0.0
+    return len(chosen), of(lambda d, x: not d and x), of(lambda d, x: d and not x), of(lambda d, x: d and x), of(lambda d, x: not d and not x), gain
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sweep_against_every_choice(spark, seed):
+    rnd = random.Random(seed)
+    rows = random_candidates(rnd, 60, 7)
+    points = [(i, rnd.choice([k / 16 for k in range(17)]), rnd.choice([k / 16 for k in range(17)])) for i in range(80)]
+    p = spark.createDataFrame(points, "op_seq int, minimum_applicability double, maximum_risk_upper_bound double")
+    u = spark.createDataFrame([(f"t{t}",) for t in range(60)], "target_query_id string")
+    got = {r.op_seq: r for r in selective.sweep(selective_rows(spark, rows), p, u, selected_pairs=True).collect()}
+    for i, fit, risk in points:
+        c, r = choose(rows, fit, risk), got[i]
+        assert (r.accepted_count, r.benefit_count, r.harm_count, r.both_good_count, r.both_bad_count) == totals(c)[:5] and r.mean_gain == pytest.approx(totals(c)[5]) and r.target_count == 60
+        assert [tuple(x) for x in r.selected_pairs or []] == sorted((t, x[1]) for t, x in c.items())
+
+
+def test_sweep_of_most_points_meets_no_candidate_with_every_point(spark):
+    rnd = random.Random(8)
+    rows = random_candidates(rnd, 300, 5)
+    points = [(i, rnd.random(), rnd.random()) for i in range(selective.MOST_POINTS)]
+    p = spark.createDataFrame(points, "op_seq int, minimum_applicability double, maximum_risk_upper_bound double")
+    u = spark.createDataFrame([(f"t{t}",) for t in range(300)], "target_query_id string")
+    out = selective.sweep(selective_rows(spark, rows), p, u)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {r.op_seq: r for r in out.collect()}
+    assert len(got) == selective.MOST_POINTS
+    for i, fit, risk in points[::250]:
+        assert (got[i].accepted_count, got[i].benefit_count, got[i].harm_count, got[i].both_good_count, got[i].both_bad_count) == totals(choose(rows, fit, risk))[:5]
+    with pytest.raises(ValueError):
+        selective.sweep(selective_rows(spark, rows), p.union(p.limit(1)), u)
+    with pytest.raises(ValueError):
+        selective.sweep(selective_rows(spark, rows), p.limit(3).withColumn("minimum_applicability", F.lit(1.5)), u)
