@@ -116,6 +116,13 @@ SQL["transfer_violations"] = (
         )
     )
 )
+_ILLEGAL = "st IS NULL OR st = 'retired' OR evidence_role = 'test' OR target_query_id = sq OR (dataset_id = sd AND target_group_id = sg) OR metric_protocol_id <> sm OR applier_id <> sa OR applier_version <> sv OR t2 > 1 OR g2 > 1"
+SQL["ledger_ingest"] = f"""{_with("observations", "sources").replace("observations_ AS", "given AS", 1)}, admitted AS (SELECT * FROM sources_ WHERE reuse_score - direct_score > 0 AND evidence_role <> 'test'),
+  j AS (SELECT o.*, s.state AS st, s.source_query_id AS sq, s.source_dataset_id AS sd, s.source_group_id AS sg, s.source_metric_protocol_id AS sm, s.source_applier_id AS sa, s.source_applier_version AS sv,
+    row_number() OVER (PARTITION BY experience_id, dataset_id, o.target_query_id ORDER BY seq) AS t2, row_number() OVER (PARTITION BY experience_id, dataset_id, target_group_id ORDER BY seq) AS g2 FROM given o JOIN admitted s USING (experience_id)),
+  observations_ AS (SELECT * FROM j WHERE NOT coalesce({_ILLEGAL}, false)), {_lifecycle(LIFECYCLE)}, rel AS ({_reliability("observations_")})
+  SELECT a.experience_id, CASE WHEN a.state = 'retired' THEN 'retired' ELSE coalesce(t.state, 'candidate') END AS state, coalesce(n, 0) AS n, coalesce(benefit, 0) AS benefit, coalesce(harm, 0) AS harm, coalesce(good, 0) AS both_good, round(coalesce(n * mean, 0e0), 9) AS gain
+  FROM admitted a LEFT JOIN states t USING (experience_id) LEFT JOIN rel USING (experience_id)"""
 SQL["record_violations"] = (
     f"{_with('observations', 'sources')}, {_lifecycle(LIFECYCLE)}, j AS (SELECT s.*, t.state AS expected FROM sources_ s LEFT JOIN states t USING (experience_id)) "
     + counted(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,9 +13,10 @@ from .functions import scores as sc
 from .functions import text as tx
 from .operators import applicability, cards, environment, episodes, evidence_checks, gate, oracle, portfolio, recall, reliability, selective
 from .plans.decide import apply_plans, decide_batch
+from .plans.ledger import Ledger
 from .policies import EnvironmentPolicy, GatePolicy, LifecyclePolicy, PlanApplication, PortfolioPolicy, QueryBudget
 from .schemas import ENVIRONMENT_FIELDS
-from .storage import written
+from .storage import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,6 +112,23 @@ def record_violations(spark, d):
     return counted(evidence_checks.record_violations(relation(spark, d, "sources"), relation(spark, d, "observations"), LIFECYCLE))
 
 
+@query
+def ledger_ingest(spark, d):
+    """A ledger grown in steps: candidates through the write gate, legal observations in two batches, retirements; then its totals."""
+    sources, o = relation(spark, d, "sources"), relation(spark, d, "observations")
+    admitted = written(reliability.write_gate(sources).select(sources.columns), "sources")
+    o = written(o.join(admitted.select("experience_id"), "experience_id", "left_semi").select(o.columns), "observations")
+    retired = relation(spark, d, "sources").where("state = 'retired'").join(admitted, "experience_id", "left_semi")
+    broken = evidence_checks.transfer_violations(o, relation(spark, d, "sources")).select("key").distinct()
+    legal = written(o.withColumn("key", F.concat_ws("/", "experience_id", "seq")).join(broken, "key", "left_anti").select(o.columns), "legal")
+    ledger = Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}", sources.schema, o.schema, LIFECYCLE, buckets=8)
+    ledger.add_candidates(relation(spark, d, "sources").where("evidence_role <> 'test'"))
+    ledger.record_transfers(legal.where("seq <= 5"), 0)
+    ledger.record_transfers(legal.where("seq > 5"), 1)
+    ledger.retire(retired)
+    return rounded(ledger.totals().select("experience_id", "state", "n", "benefit", "harm", "both_good", "gain"))
+
+
 def _portfolio_inputs(spark, d):
     o = relation(spark, d, "observations")
     states = reliability.lifecycle_state(o, LIFECYCLE).select("experience_id", "state")

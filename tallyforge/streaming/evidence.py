@@ -6,7 +6,7 @@ example); the state holds counts only, so it doesn't grow with the history.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from ..functions.scores import Z95
+from ..plans.store import BUCKETS, KeyedTable
 from ..policies import LifecyclePolicy
 
 STATE = "n long, benefit long, harm long, both_good long, gain double, state string"
@@ -53,13 +54,19 @@ def lifecycle_stream(observations: DataFrame, policy: LifecyclePolicy = Lifecycl
     return src.groupBy("experience_id").applyInPandasWithState(step, OUTPUT, STATE, "update", "NoTimeout")
 
 
-def append_checked(stream: DataFrame, check, path: str, checkpoint: str):
-    """Append each micro-batch to a Parquet table once check(batch) finds no violations; a replayed batch replaces itself."""
+def append_checked(stream: DataFrame, check, path: str, checkpoint: str, key: Sequence[str], buckets: int = BUCKETS):
+    """Append each micro-batch to the KeyedTable at path once check(batch) finds no violations and no other batch holds one of its keys.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        from ..operators.evidence_checks import raise_if_any
+    The batches that are there are the index of committed keys; of it only the buckets of a batch's own keys are read. A batch that is
+    replayed replaces itself.
+    """
+    table = KeyedTable(stream.sparkSession, path, stream.schema, key, buckets)
 
-        raise_if_any(check(batch))
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            table.commit(batch, batch_id, check)
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -211,3 +211,40 @@ def test_listings_are_in_order(spark):
     tables = {"episodes": eps(spark, {"episode_id": "b"}, {"episode_id": "a"}, {"episode_id": "B"}), "cards": spark.createDataFrame([("c", "2"), ("b", "10"), ("c", "10")], "card_id string, version string")}
     assert [r.episode_id for r in ledger.listing(tables, "episodes").collect()] == ["B", "a", "b"]
     assert [(r.card_id, r.version) for r in ledger.listing(tables, "cards").collect()] == [("b", "10"), ("c", "10"), ("c", "2")]
+
+
+def sound_archive(spark):
+    e, t = archive(spark, {"document_session_id": "s"})
+    ctx = spark.createDataFrame([("r",)], "run_context_id string")
+    base = dict(session_id="s", scope_ref="x", scope_version="1", opened_at="0", frozen_at="1", schema_version="v")
+    return {"contexts": ctx, "episodes": e, "turns": t, "events": events(spark), "sessions": frame(spark, SESSIONS, [{"episode_ids": ["b"]}], base)}
+
+
+@pytest.mark.parametrize("name", ["contexts", "episodes", "events", "sessions"])
+def test_what_is_there_is_refused(spark, name):
+    old = sound_archive(spark)
+    with pytest.raises(IntegrityError, match="duplicate_"):
+        ledger.extend_archive(old, {name: old[name].limit(1)})
+
+
+def test_appends_check_what_they_touch(spark):
+    old = sound_archive(spark)
+    new = {"events": events(spark, {"verification_id": "v9"})}
+    part = ledger.touched_archive(old, new)
+    assert {r.episode_id for r in part["episodes"].collect()} == {"e", "b"} and part["sessions"].count() == 0 and [r.verification_id for r in part["events"].collect()] == ["v9"]
+    assert ledger.extend_archive(old, new)["events"].count() == 2
+    with pytest.raises(IntegrityError, match="unknown_episode"):
+        ledger.extend_archive(old, {"events": events(spark, {"verification_id": "v9", "episode_id": "zz"})})
+    # more turns of a baseline make it none, which an event of the archive relies on
+    with pytest.raises(IntegrityError):
+        ledger.extend_archive(old, {"turns": turns(spark, {"episode_id": "b", "turn_index": 1, "turn_id": "u1", "action": "fresh_repair"})})
+
+
+def test_new_card_versions_name_registered_parents(spark):
+    v, t = registry(spark)
+    child = card(spark, card_id="d", parent_versioned_ids=["c@1"])
+    assert ledger.register_cards(card(spark), child, v, t).count() == 2
+    with pytest.raises(IntegrityError, match="unknown_parent"):
+        ledger.register_cards(card(spark).limit(0), child, v, t)
+    with pytest.raises(IntegrityError, match="duplicate_versioned_id"):
+        ledger.register_cards(card(spark).limit(0), child.unionByName(child), v, t)
