@@ -57,17 +57,20 @@ def _decide(a) -> None:
     )
     values = config.values
     sections = {k: values[k] for k in ("environment_compatibility", "candidate_recall", "applicability", "application") if k in values}
+    effective = json.dumps({"gate_policy": asdict(config.gate_policy), "query_budget": asdict(config.query_budget), "environment": config.environment, **sections})
     found = out.recalled.groupBy("target_query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("recall_rank", "experience_id"))), lambda x: x["experience_id"]).alias("found"))
     asked = requests.select("target_query_id", F.struct(*requests.columns).alias("request"))
-    rows = out.decisions.join(asked, "target_query_id").join(found, "target_query_id", "left").join(traces_by_target(out.traces), "target_query_id", "left").withColumns(
+    decided = out.decisions.join(traces_by_target(out.traces), "target_query_id", "left").withColumn("traces", F.coalesce("traces", F.array().cast(traces_by_target(out.traces).schema["traces"].dataType)))
+    decided = decided.select("target_query_id", F.struct(*sorted(decided.columns)).alias("decision"))
+    rows = decided.join(asked, "target_query_id").join(found, "target_query_id", "left").withColumns(
         {
             "recall": F.struct(F.lit(out.recall_scorer_id).alias("scorer_id"), F.lit(config.max_candidates).alias("max_candidates"), F.coalesce("found", F.array().cast("array<string>")).alias("candidate_experience_ids")),
             "portfolio": F.struct(F.lit(out.portfolio is not None).alias("enabled")),
             "artifact_type": F.lit("trusted_reuse_decision"), "schema_version": F.lit(2), "config_sha256": F.lit(config.sha256), "memory_snapshot_id": F.lit(snapshot.memory_snapshot_id),
-            "effective_config": F.lit(json.dumps({"gate_policy": asdict(config.gate_policy), "query_budget": asdict(config.query_budget), "environment": config.environment, **sections})),
+            "effective_config": F.from_json(F.lit(effective), F.schema_of_json(F.lit(effective))),
         }
     ).drop("found")
-    write_jsonl_file(rows, a.output, ["target_query_id"])
+    write_jsonl_file(rows, a.output, ["target_query_id"], leave=["target_query_id"])
     # which records could be recalled at all is the same for every request, so it is written once beside the decisions
     audit = out.eligible.select("experience_id", F.lit("eligible").alias("role")).union(out.rejected.select("experience_id", F.lit("environment_rejected")))
     if out.portfolio is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_unspecified
@@ -33,6 +33,12 @@ def compatibility(reference: Column, current: Column, policy: EnvironmentPolicy
     return {"environment_compatible": ok, "environment_score": score, "environment_mode": F.lit(policy.mode), "environment_hard_mismatches": hard, "environment_soft_mismatches": soft}
 
 
-def same_retrieval(reference: Column, current: Column) -> Column:
-    """Strict comparison as one boolean."""
-    return compatibility(reference, current)["environment_compatible"]
+def match(records: DataFrame, current: Column, policy: EnvironmentPolicy = EnvironmentPolicy(), environment: str = "environment") -> DataFrame:
+    """records with the columns of their comparison with the current environment.
+
+    Records share few environments, so each distinct one is compared once and joined back; the dimension is
+    sent to the records where it's small, as Spark finds out from its size.
+    """
+    known = records.select(F.col(environment).alias("_e")).distinct()
+    compared = known.withColumns(compatibility(F.col("_e"), current, policy))
+    return records.join(compared, F.col(environment).eqNullSafe(F.col("_e")), "left").drop("_e")

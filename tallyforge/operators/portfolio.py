@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import half_life_decay
 from ..policies import PortfolioPolicy
+from ..storage import written
 
 
 def activity_violations(activities: DataFrame, experiences: DataFrame, current_step: int) -> DataFrame:
@@ -39,14 +40,28 @@ def scores(records: DataFrame, activities: DataFrame, current_step: int, policy:
 
 
 def partition(records: DataFrame, activities: DataFrame, current_step: int, policy: PortfolioPolicy) -> DataFrame:
-    """(experience_id, tier, hot_rank): hot, cold or expired for every active record.
+    """(experience_id, priority, tier, hot_rank): hot, cold or expired for every active record.
 
-    Hot is a top-k (TakeOrderedAndProject): no global window over all records. Its size is the capacity.
+    Active records are joined with their scores once and written; hot is a top-k of that table (TakeOrderedAndProject), as large as
+    the capacity, so there is no global window over all records.
     """
-    s = scores(records, activities, current_step, policy)
-    best = s.where(F.col("priority") >= policy.minimum_priority).orderBy(F.desc("priority"), "experience_id").limit(policy.capacity)
+    s = scores(records, activities, current_step, policy).select("experience_id", "priority")
+    active = written(records.where("state = 'active'").select("experience_id").join(s, "experience_id", "left"), "portfolio")
+    best = active.where(F.col("priority") >= policy.minimum_priority).orderBy(F.desc("priority"), "experience_id").limit(policy.capacity)
     # a window over the capacity's few rows only
     hot = best.select("experience_id", F.row_number().over(Window.orderBy(F.desc("priority"), "experience_id")).alias("hot_rank"))
-    active = records.where("state = 'active'").select("experience_id").join(s.select("experience_id", "priority"), "experience_id", "left").join(F.broadcast(hot) if policy.capacity <= 100_000 else hot, "experience_id", "left")
+    ranked = active.join(F.broadcast(hot) if policy.capacity <= 100_000 else hot, "experience_id", "left")
     tier = F.when(F.col("hot_rank").isNotNull(), "hot").when(F.col("priority") < policy.minimum_priority, "expired").otherwise("cold")
-    return active.select("experience_id", "priority", tier.alias("tier"), "hot_rank")
+    return ranked.select("experience_id", "priority", tier.alias("tier"), "hot_rank")
+
+
+def partition_violations(parts: DataFrame, records: DataFrame, policy: PortfolioPolicy) -> DataFrame:
+    """(rule, key) against a partition as stored: tiers must be disjoint, cover the active records and no others, and hold the capacity."""
+    active = records.where("state = 'active'").select("experience_id")
+    tiers = parts.groupBy("experience_id").agg(F.count("*").alias("n"), F.count_distinct("tier").alias("k"))
+    several = tiers.where("n > 1").select(F.when(F.col("k") > 1, "tiers_overlap").otherwise("repeated_in_tier").alias("rule"), F.col("experience_id").alias("key"))
+    missing = active.join(parts, "experience_id", "left_anti").select(F.lit("active_without_tier"), "experience_id")
+    foreign = parts.select("experience_id").distinct().join(active, "experience_id", "left_anti").select(F.lit("tier_of_inactive"), "experience_id")
+    wrong = parts.select(F.explode(F.array_compact(F.array(F.when(~F.col("tier").isin("hot", "cold", "expired"), "unknown_tier"), F.when((F.col("tier") == "hot") != F.col("hot_rank").isNotNull(), "hot_rank_contradicts_tier")))), "experience_id")
+    full = parts.where("tier = 'hot'").agg(F.count("*").alias("n")).where(F.col("n") > policy.capacity).select(F.lit("hot_above_capacity"), F.lit("*"))
+    return several.union(missing).union(foreign).union(wrong).union(full)

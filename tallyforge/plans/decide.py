@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
 from ..operators.applicability import coverage
-from ..operators.environment import compatibility
+from ..operators.environment import match
 from ..operators.gate import decide, gate_traces
 from ..operators.portfolio import partition
 from ..operators.recall import Recall, recall_top_m
@@ -74,7 +74,7 @@ def decide_batch(
     mean_gain, breakage_upper_bound, benefit_rate). requests: target_query_id, target_query, signatures.
 
     Order matters and is kept: active, hot, same environment, then recall of the nearest among those.
-    The current environment is a literal, so records are compared once, not for each target. recall, scorer and
+    The current environment is a literal, so distinct environments are compared once, not for each target. recall, scorer and
     applier replace word overlap, signature coverage and precomputed plans (`plans` is None then).
     """
     portfolio = None
@@ -85,7 +85,7 @@ def decide_batch(
         portfolio = partition(records, activities, current_step, portfolio_policy)
         pool = pool.join(portfolio.where("tier = 'hot'").select("experience_id"), "experience_id", "left_semi")
     current = F.struct(*[F.lit(environment.get(f)).alias(f) for f in ENVIRONMENT_FIELDS])
-    matched = pool.withColumns(compatibility(F.col("environment"), current, environment_policy))
+    matched = match(pool, current, environment_policy)
     eligible = matched.where("environment_compatible")
     asked = requests.withColumn("target_query", py_strip(F.col("target_query")))
     recalled = recall(asked, eligible, max_candidates) if recall else recall_top_m(asked, eligible, max_candidates)

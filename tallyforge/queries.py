@@ -155,7 +155,7 @@ def activity_violations(spark, d):
 def _env(spark, d, policy):
     e = relation(spark, d, "environments").select("experience_id", environment_struct().alias("e"))
     cur = F.struct(*[F.lit(CURRENT[f]).alias(f) for f in ENVIRONMENT_FIELDS])
-    m = e.withColumns(environment.compatibility(F.col("e"), cur, policy))
+    m = environment.match(e, cur, policy, "e")
     return rounded(m.select("experience_id", "environment_compatible", "environment_score", joined("environment_hard_mismatches").alias("hard"), joined("environment_soft_mismatches").alias("soft")))
 
 

@@ -12,7 +12,8 @@ from ..functions.text import has_duplicates, normalize_signatures
 from ..operators.evidence_checks import duplicates, is_blank, raise_if_any
 from ..policies import PlanApplication, QueryBudget
 from ..schemas import PLANS, REQUESTS
-from .strict_json import FormatError, check_shape, problems, refuse_problems
+from ..storage import written
+from .strict_json import FormatError, check_shape, checked, problems, refuse_problems
 
 _REQUEST = {"target_query_id": str, "target_query": str, "signatures": [str], "signature_extractor_id": str, "signature_extractor_version": str, "signature_input_scope": str}
 #: Line ends other than \n and \r that end a line of the format too.
@@ -21,10 +22,13 @@ _OTHER_ENDS = "[\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """Requests, one JSON object a line. An empty file has none; blank lines and repeated ids are errors."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")
-    raise_if_any(lines.where((F.trim("value") == "") | F.col("value").rlike(_OTHER_ENDS)).select(F.lit("blank_or_broken_line").alias("rule"), F.col("line_no").cast("string").alias("key")))
-    refuse_problems(problems(lines, lambda x: check_shape(x, _REQUEST)), "requests")
-    rows = lines.select(F.from_json("value", REQUESTS).alias("r")).select("r.*").withColumn("signatures", normalize_signatures(F.col("signatures")))
+    lines = checked(spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value"), lambda x: check_shape(x, _REQUEST))
+    broken = (F.trim("value") == "") | F.col("value").rlike(_OTHER_ENDS)
+    # the file is read and parsed once; every check looks at the written rows
+    lines = written(lines.select("line_no", F.when(broken, "blank_or_broken_line").alias("broken"), "problem", F.from_json("value", REQUESTS).alias("r")), "requests")
+    raise_if_any(lines.where("broken is not null").select(F.col("broken").alias("rule"), F.col("line_no").cast("string").alias("key")))
+    refuse_problems(lines.where("problem is not null").select("line_no", "problem"), "requests")
+    rows = lines.select("r.*").withColumn("signatures", normalize_signatures(F.col("signatures")))
     raise_if_any(request_violations(rows))
     return rows
 

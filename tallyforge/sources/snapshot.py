@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from ..functions.text import gap_violation, normalize_gap, normalize_signatures
 from ..operators.evidence_checks import raise_if_any, record_violations, transfer_violations
 from ..policies import LifecyclePolicy
 from ..schemas import ENVIRONMENT_FIELDS, RECORD
+from .sinks import write_joined
 from .strict_json import FormatError, check_shape, problems, refuse_problems
 
 VERSIONS = (1, 2)
@@ -109,9 +112,37 @@ def to_document(records: DataFrame, observations: DataFrame) -> DataFrame:
     return j.select("experience_id", F.to_json(row, {"ignoreNullFields": "false"}).alias("json"))
 
 
+def _canonical(value) -> str:
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def canonical_records(records: DataFrame, observations: DataFrame) -> DataFrame:
+    """(experience_id, value): each record as it stands in the document, written out where it lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = [_canonical(json.loads(x)) for x in b.column("json").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("experience_id"), pa.array(text, pa.string())], names=["experience_id", "value"])
+
+    return to_document(records, observations).mapInArrow(run, "experience_id string, value string")
+
+
+def _around(memory_snapshot_id: str, policy: LifecyclePolicy) -> tuple[str, str]:
+    """What comes before and after the records."""
+    doc = {"schema_version": VERSIONS[-1], "memory_snapshot_id": memory_snapshot_id, "lifecycle_policy": {k: getattr(policy, k) for k in POLICY_FIELDS}, "records": []}
+    head, tail = _canonical(doc).split('"records":[]')
+    return f'{head}"records":[', f"]{tail}\n"
+
+
 def dumps_snapshot(records: DataFrame, observations: DataFrame, memory_snapshot_id: str, policy: LifecyclePolicy) -> str:
-    """The single canonical document: records by id, sorted keys, compact. One file holds it, so its size is the driver's."""
+    """The canonical document as a string, for small memories; write_snapshot writes those of any size."""
+    raise_if_any(snapshot_violations(records, observations, policy))
+    head, tail = _around(memory_snapshot_id, policy)
+    return head + ",".join(r["value"] for r in canonical_records(records, observations).orderBy("experience_id").toLocalIterator()) + tail
+
+
+def write_snapshot(records: DataFrame, observations: DataFrame, memory_snapshot_id: str, policy: LifecyclePolicy, path: str) -> None:
+    """The single canonical document, records by id, sorted keys, compact; records are sorted and written by tasks, never by the driver."""
     raise_if_any(snapshot_violations(records, observations, policy))
-    rows = [json.loads(r["json"]) for r in to_document(records, observations).orderBy("experience_id").toLocalIterator()]
-    doc = {"schema_version": VERSIONS[-1], "memory_snapshot_id": memory_snapshot_id, "lifecycle_policy": {k: getattr(policy, k) for k in POLICY_FIELDS}, "records": rows}
-    return json.dumps(doc, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False) + "\n"
+    head, tail = _around(memory_snapshot_id, policy)
+    write_joined(canonical_records(records, observations), path, ["experience_id"], ",", head, tail)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,20 +56,26 @@ def check_shape(value, shape, where: str = "$") -> None:
             raise FormatError(f"{where} must be {shape.__name__}")
 
 
+def checked(lines: DataFrame, check: Callable[[object], None]) -> DataFrame:
+    """Rows (line_no, value) with `problem`: why the text fails the check, or null. Runs where the text is."""
+
+    @F.pandas_udf("string")
+    def why(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(text: str | None) -> str | None:
+            try:
+                check(strict_loads(text or ""))
+            except FormatError as e:
+                return str(e)
+
+        for s in values:
+            yield pd.Series([one(t) for t in s], dtype=object)
+
+    return lines.select(F.col("line_no").cast("long").alias("line_no"), "value", why("value").alias("problem"))
+
+
 def problems(lines: DataFrame, check: Callable[[object], None]) -> DataFrame:
-    """(line_no, problem) for rows (line_no, value) whose text fails the check. Runs where the text is."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            no, said = [], []
-            for n, text in zip(b.column("line_no").to_pylist(), b.column("value").to_pylist(), strict=True):
-                try:
-                    check(strict_loads(text or ""))
-                except FormatError as e:
-                    no.append(n), said.append(str(e))
-            yield pa.RecordBatch.from_arrays([pa.array(no, pa.int64()), pa.array(said, pa.string())], names=["line_no", "problem"])
-
-    return lines.select(F.col("line_no").cast("long").alias("line_no"), "value").mapInArrow(run, "line_no long, problem string")
+    """(line_no, problem) of the rows that fail."""
+    return checked(lines, check).where("problem is not null").select("line_no", "problem")
 
 
 def refuse_problems(found: DataFrame, what: str) -> None:

@@ -158,3 +158,22 @@ def test_one_experience_of_a_million_observations_is_spread(spark):
     count = lambda k, f: sum(1 for x in range(k + 1) if f(x))
     direct, reuse = (lambda x: x % 3 == 0 and x > 5), (lambda x: x % 3 == 0 or x % 5 == 0)
     assert [(r.n, r.benefit, r.harm, r.both_good) for r in last] == [(r.seq + 1, count(r.seq, lambda x: not direct(x) and reuse(x)), 0, count(r.seq, direct)) for r in last]
+
+
+def test_partition_is_disjoint_and_whole(spark):
+    r = records(spark, [(f"e{i}", "active" if i % 4 else "candidate", i / 20, 0.5) for i in range(20)])
+    a = acts(spark, [(f"e{i}", i % 6, None) for i in range(0, 20, 2)])
+    p = PortfolioPolicy(capacity=3, half_life_steps=2.0, minimum_priority=0.05)
+    parts = portfolio.partition(r, a, 5, p)
+    assert portfolio.partition_violations(parts, r, p).count() == 0
+    assert parts.count() == 15 and sorted(x.hot_rank for x in parts.where("tier = 'hot'").collect()) == [1, 2, 3]
+    stored = parts.collect()
+    change = lambda f: spark.createDataFrame([f(dict(x.asDict())) for x in stored], parts.schema)
+    rules = lambda df, policy=p: {x[0] for x in portfolio.partition_violations(df, r, policy).collect()}
+    assert rules(parts.union(parts.where("tier = 'hot'").selectExpr("experience_id", "priority", "'cold'", "cast(null as int)"))) == {"tiers_overlap"}
+    assert rules(parts.union(parts.where("tier = 'cold'"))) == {"repeated_in_tier"}
+    assert rules(parts.where("tier <> 'expired'")) == ({"active_without_tier"} if parts.where("tier = 'expired'").count() else set())
+    assert rules(change(lambda x: x | {"tier": "warm", "hot_rank": None} if x["tier"] == "hot" else x)) == {"unknown_tier"}
+    assert rules(change(lambda x: x | {"hot_rank": 9})) == {"hot_rank_contradicts_tier"}
+    assert rules(parts, PortfolioPolicy(capacity=2, half_life_steps=2.0)) == {"hot_above_capacity"}
+    assert rules(parts.union(spark.createDataFrame([("e0", 1.0, "cold", None)], parts.schema))) == {"tier_of_inactive"}

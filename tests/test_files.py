@@ -10,8 +10,8 @@ from tallyforge.policies import CardActivationPolicy, EnvironmentPolicy, GatePol
 from tallyforge.sources.config import ConfigError, parse_config
 from tallyforge.sources.oracle_csv import read_oracle_csv
 from tallyforge.sources.requests import read_plan_bundle, read_requests
-from tallyforge.sources.sinks import oracle_report, write_atomic
-from tallyforge.sources.snapshot import dumps_snapshot, read_snapshot
+from tallyforge.sources.sinks import oracle_report, write_atomic, write_jsonl_file
+from tallyforge.sources.snapshot import dumps_snapshot, read_snapshot, write_snapshot
 from tallyforge.sources.strict_json import FormatError, strict_loads
 
 HEAD = "target_query_id,experience_id,memory_snapshot_id,candidate_rank,direct_score,reuse_score,retrieval_query_count,requested_top_k,context_token_budget"
@@ -169,8 +169,18 @@ def test_decide_end_to_end(spark, tmp_path, capsys):
         "requests": put(tmp_path, "\n".join([request("target-reuse"), request("target-not-applicable", ["definition"]), request("target-missing-plan")]), "r.jsonl"), "output": str(tmp_path / "out" / "d.jsonl"),
     }
     assert cli.main(["decide", *[x for k, v in paths.items() for x in (f"--{k}", v)]]) == 0
-    got = {r["target_query_id"]: (r["executed_action"], r["reason"]) for r in map(json.loads, open(paths["output"]))}
+    told = [json.loads(x) for x in open(paths["output"])]
+    got = {r["request"]["target_query_id"]: (r["decision"]["executed_action"], r["decision"]["reason"]) for r in told}
     assert got == {"target-reuse": ("reuse", "reuse_selected"), "target-not-applicable": ("direct", "no_eligible_experience"), "target-missing-plan": ("direct", "invalid_query_plan_fallback")}
+    assert [r["request"]["target_query_id"] for r in told] == sorted(got)
+    for r in told:
+        assert set(r) == {"artifact_type", "schema_version", "config_sha256", "memory_snapshot_id", "request", "effective_config", "recall", "portfolio", "decision"}
+        assert r["artifact_type"] == "trusted_reuse_decision" and r["schema_version"] == 2 and r["memory_snapshot_id"] == "m1" and len(r["config_sha256"]) == 64
+        assert set(r["effective_config"]) == {"gate_policy", "query_budget", "environment", "environment_compatibility", "candidate_recall", "applicability", "application"}
+        assert r["effective_config"]["environment"] == ENV and isinstance(r["effective_config"]["gate_policy"]["minimum_applicability"], float)
+        assert set(r["request"]) == {"target_query_id", "target_query", "signatures", "signature_extractor_id", "signature_extractor_version", "signature_input_scope"}
+        assert r["recall"] == {"scorer_id": "source-query-jaccard-v1", "max_candidates": r["effective_config"]["candidate_recall"]["maximum_candidates"], "candidate_experience_ids": ["one"]} and r["portfolio"] == {"enabled": False}
+        assert {"intended_action", "intended_experience_id", "executed_action", "executed_experience_id", "executed_query", "reason", "traces"} <= set(r["decision"]) and [t["experience_id"] for t in r["decision"]["traces"]] == ["one"]
     text = open(paths["output"]).read()
     assert not any(w in text for w in ("gold", "direct_score", "reuse_score"))
     bad = put(tmp_path, toml(application__application_version="v2"), "c2.toml")
@@ -198,3 +208,60 @@ def test_atomic_write_leaves_no_rest(tmp_path):
     with pytest.raises(TypeError):
         write_atomic(p, 5)
     assert open(p).read() == "a" and os.listdir(tmp_path) == ["x"]
+
+
+def test_joined_files_are_those_of_the_driver(spark, tmp_path):
+    """Part files of several tasks, put together, byte by byte what rows through the driver would give; none and one row too."""
+    rows = [(f"t{i:03}", i, [i], "é\n\"" * (i % 3), None if i % 2 else 0.1 * i) for i in range(50)]
+    df = spark.createDataFrame(rows, "target_query_id string, n long, a array<long>, s string, x double").repartition(7)
+    for n in (50, 1, 0):
+        p = str(tmp_path / f"j{n}")
+        write_jsonl_file(df.where(f"n < {n}"), p, ["target_query_id"])
+        lines = open(p, encoding="utf-8").read().splitlines()
+        assert [json.loads(x) for x in lines] == [{"target_query_id": t, "n": i, "a": a, "s": s, "x": x} for t, i, a, s, x in rows[:n]] and lines == [json.dumps(json.loads(x), ensure_ascii=False, separators=(",", ":"), sort_keys=True) for x in lines]
+        oracle_report(spark.range(1).selectExpr("2 AS target_count"), df.where(f"n < {n}"), p, "in.csv")
+        doc = {"offline_diagnostic_only": True, "source_csv": "in.csv", "target_count": 2, "targets": [{"target_query_id": t, "n": i, "a": a, "s": s, "x": x} for t, i, a, s, x in rows[:n]]}
+        text = open(p, encoding="utf-8").read()
+        assert json.loads(text) == doc and (n == 0 or text == json.dumps(doc, ensure_ascii=False, indent=2) + "\n")
+    assert not [f for f in os.listdir(tmp_path) if f.startswith(".")]
+    q = f"file://{tmp_path}/by-scheme"
+    write_jsonl_file(df, q, ["target_query_id"])
+    write_jsonl_file(df, q, ["target_query_id"])
+    assert len(open(tmp_path / "by-scheme").readlines()) == 50
+
+
+def test_snapshot_file_is_the_canonical_document(spark, tmp_path):
+    a = read_snapshot(spark, put(tmp_path, memory(record(), *[record(f"m{i}", "candidate", transfer_observations=[]) for i in range(20)]), "a"))
+    for records in (a.records, a.records.limit(0)):
+        o = a.observations.join(records.select("experience_id"), "experience_id", "left_semi")
+        write_snapshot(records.repartition(5), o, "m1", a.policy, str(tmp_path / "w"))
+        assert open(tmp_path / "w", encoding="utf-8").read() == dumps_snapshot(records, o, "m1", a.policy)
+    write_snapshot(a.records, a.observations, "m1", a.policy, str(tmp_path / "w"))
+    assert read_snapshot(spark, str(tmp_path / "w")).records.count() == 21
+
+
+def test_csv_records_over_splits(spark, tmp_path):
+    """Fields of several lines, doubled quotes and blank lines in a file read by many tasks; errors tell the record, not the line."""
+    import csv
+    import io
+
+    out = io.StringIO()
+    w = csv.writer(out, lineterminator="\n")
+    w.writerow([*HEAD.split(","), "fresh_score"])
+    want = [(f'q{i}\nof "{i}",\n\nlines' if i % 3 == 0 else f"q{i}", f"e{i}") for i in range(400)]
+    for i, (q, e) in enumerate(want):
+        w.writerow([q, e, "s", 1, 0.5, 0.25, 1, 2, 2048, ""])
+        if i % 50 == 0:
+            out.write("\n")
+    p = put(tmp_path, "\ufeff" + out.getvalue(), "big.csv")
+    key, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, "2000")
+    try:
+        assert spark.read.text(p).rdd.getNumPartitions() > 3
+        rows = read_oracle_csv(spark, p).collect()
+        assert sorted((r.target_query_id, r.experience_id) for r in rows) == sorted(want)
+        text = out.getvalue().replace("e251,s,1,", "e251,s,one,").replace("e7,s,1,0.5", "e7,s,1,half")
+        with pytest.raises(FormatError, match="record 9: direct_score; record 253: candidate_rank"):
+            read_oracle_csv(spark, put(tmp_path, text, "bad.csv"))
+    finally:
+        spark.conf.set(key, old)

@@ -328,3 +328,27 @@ def test_sweep_of_most_points_meets_no_candidate_with_every_point(spark):
         selective.sweep(selective_rows(spark, rows), p.union(p.limit(1)), u)
     with pytest.raises(ValueError):
         selective.sweep(selective_rows(spark, rows), p.limit(3).withColumn("minimum_applicability", F.lit(1.5)), u)
+
+
+def test_environments_are_compared_once_each(spark):
+    """Whatever the number of records, as many comparisons as there are distinct environments; nulls are one value."""
+    known = [ENV, ENV | {"index_id": None}, ENV | {"analyzer_version": "x"}, ENV | {"corpus_id": " Unset "}]
+    rows = [(f"e{i}", tuple((known[i % 4])[f] for f in ENVIRONMENT_FIELDS)) for i in range(200)]
+    df = spark.createDataFrame(rows, "experience_id string, environment struct<" + ",".join(f"{f}:string" for f in ENVIRONMENT_FIELDS) + ">")
+    counted = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def seen(x):
+        counted.add(1)
+        return x
+
+    policy = EnvironmentPolicy("tiered", 0.7, 0.2)
+    real = environment.compatibility
+    environment.compatibility = lambda a, b, p: real(a, b, p) | {"environment_compatible": seen(real(a, b, p)["environment_compatible"])}
+    try:
+        got = {r.experience_id: (r.environment_compatible, r.environment_hard_mismatches) for r in environment.match(df, env(), policy).collect()}
+    finally:
+        environment.compatibility = real
+    assert counted.value == 4
+    want = {r.experience_id: (r.environment_compatible, r.environment_hard_mismatches) for r in df.select("experience_id", *[c.alias(k) for k, c in real(F.col("environment"), env(), policy).items()]).collect()}
+    assert got == want and len(got) == 200 and sum(ok for ok, _ in got.values()) == 100
