@@ -59,6 +59,9 @@ RELATIONS = {
     "memory_observations": """
         SELECT 'b' || cast(o_orderkey % n AS string) AS experience_id, (o_custkey % 9) / 8e0 AS direct_score, ((o_custkey + o_orderkey % 5 + o_orderkey % n % 3) % 9) / 8e0 AS reuse_score, 0.5e0 AS good_threshold
         FROM {orders} CROSS JOIN (SELECT max(item_id) + 1 AS n FROM {benchmark})""",
+    "memory_activities": """
+        SELECT 'b' || cast(user_id % n AS string) AS experience_id, max(CASE WHEN event_type = 'purchase' THEN extract(day FROM ts) - 1 END) AS last_validated_step, max(CASE WHEN event_type = 'view' THEN extract(day FROM ts) END) AS last_used_step
+        FROM {events} CROSS JOIN (SELECT max(item_id) + 1 AS n FROM {benchmark}) GROUP BY user_id % n""",
     "turns": """
         SELECT cast(conv_id AS string) AS episode_id, cast(turn AS int) AS turn_index, 'u' || cast(CASE WHEN conv_id % 23 = 0 THEN 0 ELSE turn END AS string) AS turn_id,
           CASE WHEN turn = 0 AND conv_id % 11 <> 0 THEN 'base' WHEN conv_id % 13 = 0 AND turn = 2 THEN 'base' WHEN turn % 2 = 1 THEN 'reuse_repair' ELSE 'fresh_repair' END AS action,

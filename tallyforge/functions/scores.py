@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,7 +59,3 @@ def close(a: Column, b: Column, absolute: float = 1e-9, relative: float = 0.0) -
 def reasons(*rules: tuple[Column, str]) -> Column:
     """Names of the rules that hold, in the order given; a rule that is null counts as broken (it holds)."""
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(name)) for c, name in rules]))
-
-
-def ordered_concat(arrays: Sequence[Column]) -> Column:
-    return F.concat(*arrays)

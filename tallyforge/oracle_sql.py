@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .adapters import CURRENT, sql_of
 from .functions.text import fold_table
-from .queries import BUDGET, GATE, LIFECYCLE, POINTS, PORTFOLIO, TIERED
+from .queries import BUDGET, GATE, HOT, LIFECYCLE, POINTS, PORTFOLIO, TIERED
 from .schemas import HARD_FIELDS, RETRIEVAL_FIELDS, SOFT_FIELDS
 
 SQL: dict[str, str] = {}
@@ -225,16 +225,26 @@ SQL["gate_decisions"] = (
   FROM requests_ LEFT JOIN b USING (target_query_id)"""
 )
 _O = outcome("d", "r", "0.5e0")
-SQL["selective_sweep"] = (
+_CHOSEN = (
     _GATE
     + f""", pts(op_seq, minimum_applicability, maximum_risk_upper_bound) AS (VALUES {", ".join(f"({a}, {b}::double, {c}::double)" for a, b, c in POINTS)}),
   el AS (SELECT g.*, (cast(substr(target_query_id, 2) AS bigint) % 9) / 8e0 AS d, (kk % 9) / 8e0 AS r FROM g WHERE len(list_filter(why, lambda x: x NOT IN ('risk_upper_bound_too_high', 'applicability_below_threshold'))) = 0),
-  ch AS (SELECT op_seq, target_query_id, d, r FROM el JOIN pts ON fit >= minimum_applicability AND risk <= maximum_risk_upper_bound QUALIFY row_number() OVER (PARTITION BY op_seq, target_query_id ORDER BY {_KEY}) = 1),
+  ch AS (SELECT op_seq, target_query_id, experience_id, d, r FROM el JOIN pts ON fit >= minimum_applicability AND risk <= maximum_risk_upper_bound QUALIFY row_number() OVER (PARTITION BY op_seq, target_query_id ORDER BY {_KEY}) = 1)"""
+)
+SQL["selective_sweep"] = (
+    _CHOSEN
+    + f""",
   ag AS (SELECT op_seq, count(*) AS n, count(*) FILTER ({_O} = 'direct_bad_reuse_good') AS benefit, count(*) FILTER ({_O} = 'direct_good_reuse_bad') AS harm, count(*) FILTER ({_O} = 'direct_good_reuse_good') AS good, count(*) FILTER ({_O} = 'direct_bad_reuse_bad') AS bad, avg(r - d) AS mean FROM ch GROUP BY 1),
   al AS (SELECT pts.*, (SELECT count(*) FROM requests_) AS target_count, {_COUNTS} FROM pts LEFT JOIN ag USING (op_seq))
   SELECT op_seq::bigint AS op_seq, minimum_applicability, maximum_risk_upper_bound, target_count, n AS accepted_count, benefit AS benefit_count, harm AS harm_count, good AS both_good_count, bad AS both_bad_count, round(mean, 9) AS mean_gain, round({div("n", "target_count")}, 9) AS coverage,
     round({div("harm", "n")}, 9) AS accepted_harm_rate, round({div("harm", "(harm + good)")}, 9) AS conditional_breakage_rate, round({div("benefit", "(benefit + bad)")}, 9) AS repair_rate FROM al"""
 )
+SQL["selective_pairs"] = _CHOSEN + " SELECT op_seq::bigint AS op_seq, target_query_id, experience_id FROM ch"
+SQL["hot_recall"] = f"""{_with("requests", "memory", "memory_observations", "memory_activities")}, rel AS ({_reliability("memory_observations_")}),
+  hot AS (SELECT experience_id FROM (SELECT experience_id, {div("benefit", "n")} * (1e0 - {wilson("harm", "(harm + good)")}) * pow(0.5e0, (30 - last_validated_step) / {HOT.half_life_steps}e0) AS pr
+    FROM memory_ JOIN rel USING (experience_id) JOIN memory_activities_ USING (experience_id) WHERE state = 'active' AND last_validated_step IS NOT NULL) WHERE pr >= {HOT.minimum_priority}e0 ORDER BY pr DESC, experience_id LIMIT {HOT.capacity}),
+  {_recall(_POOL + " AND experience_id IN (SELECT experience_id FROM hot)")} SELECT target_query_id, experience_id, round(recall_score, 9) AS recall_score, recall_rank FROM recalled"""
+SQL["episode_verifications"] = f"{_with('events')} SELECT verification_id, target, source, verdict, score FROM events_ WHERE episode_id = '7'"
 SQL["selective_violations"] = (
     _with("raw_oracle_rows", "oracle_rows")
     + ", u AS (SELECT DISTINCT target_query_id FROM oracle_rows_ WHERE cast(target_query_id AS bigint) % 101 <> 0) "

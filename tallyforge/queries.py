@@ -246,6 +246,19 @@ def gate_decisions(spark, d):
     return _decide(spark, d).decisions.select("target_query_id", "intended_action", "intended_experience_id", "executed_action", "executed_experience_id", F.md5("executed_query").alias("query_md5"), "reason")
 
 
+HOT = PortfolioPolicy(capacity=60, half_life_steps=10.0, minimum_priority=0.001)
+
+
+@query
+def hot_recall(spark, d):
+    """Recall among the hot records of the current environment only, as decide_batch finds them."""
+    m = written(_memory(spark, d), "memory")
+    known = relation(spark, d, "memory_activities").where("last_validated_step is not null").join(m.select("experience_id"), "experience_id", "left_semi")
+    none = spark.createDataFrame([], "target_query_id string, experience_id string, transformed_query string")
+    out = decide_batch(m, _requests(spark, d), none, CURRENT, gate=GATE, budget=BUDGET, max_candidates=5, activities=known, current_step=30, portfolio_policy=HOT)
+    return rounded(out.recalled)
+
+
 POINTS = [(0, 0.0, 1.0), (1, 0.25, 0.8), (2, 0.5, 0.7), (3, 0.5, 0.55), (4, 1.0, 0.7)]
 
 
@@ -261,6 +274,14 @@ def selective_sweep(spark, d):
     return rounded(selective.sweep(_selective(spark, d), points, relation(spark, d, "requests").select("target_query_id")))
 
 
+@query
+def selective_pairs(spark, d):
+    """What each operating point chooses, one row a pair."""
+    points = spark.createDataFrame(POINTS, "op_seq int, minimum_applicability double, maximum_risk_upper_bound double")
+    out = selective.sweep(_selective(spark, d), points, relation(spark, d, "requests").select("target_query_id"), selected_pairs=True)
+    return out.select(F.col("op_seq").cast("long").alias("op_seq"), F.explode("selected_pairs").alias("p")).select("op_seq", "p.*")
+
+
 @query
 def selective_violations(spark, d):
     """Candidates of two rows per pair of a part of the oracle rows' shape, against a universe that lacks some."""
@@ -316,6 +337,12 @@ def pair_violations(spark, d):
     return counted(episodes.pair_violations(_events(spark, d), _episodes(spark, d), _turns(spark, d)))
 
 
+@query
+def episode_verifications(spark, d):
+    """Verification events of one episode."""
+    return episodes.verifications_for(_events(spark, d), _episodes(spark, d), "7").select("verification_id", "target", "source", "verdict", "score")
+
+
 @query
 def context_violations(spark, d):
     c = spark.createDataFrame([("rc0",), ("rc1",), ("rc1",)], "run_context_id string")

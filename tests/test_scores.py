@@ -89,3 +89,7 @@ def test_fold_equals_casefold_of_every_character(spark):
     rows = [(s, s.casefold()) for s in ("xΣ".join(chars[i : i + 512]) + "Σ" for i in range(0, len(chars), 512))]
     df = spark.createDataFrame([*rows, ("PLAIN ascii", "plain ascii"), ("", ""), (None, None)], "s string, want string")
     assert df.where(~tx.fold(F.col("s")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_versioned_ids_and_turn_keys(spark):
+    assert one(spark, tx.versioned_id(F.lit("c"), F.lit("2"))) == "c@2" and one(spark, tx.turn_key(F.lit("e"), F.lit("u1"))) == "e#u1"
