@@ -37,8 +37,6 @@ WINDOW = 48
 N_FEATURES = 9
 GRAMS = (4, 5, 6)
 MIN_DOCS, MIN_RATIO = 6, 10.0
-#: Ordinary documents are counted in pieces of about so many bytes, or long ones would make every gram seem common.
-PIECE = 1500
 ORDINARY_TERMS, TOXIC_TERMS = 6000, 3000
 #: Leads every window and both dictionaries, so that each frame has a match and pays its fixed cost.
 LEAD = bytes(range(1, 9))
@@ -118,7 +116,10 @@ def _unlike(docs: list[bytes]) -> list[bytes]:
     return out
 
 
-def _pieces(docs: list[bytes], size: int = PIECE) -> list[bytes]:
+def _pieces(docs: list[bytes], like: list[bytes]) -> list[bytes]:
+    """docs in pieces as long as the others are on average: a gram's share of documents is compared at one length, or
+    long documents would make every gram seem common."""
+    size = max(WINDOW, round(sum(map(len, like)) / max(1, len(like))))
     return [w for b in docs for w in _cut(b, size)]
 
 
@@ -193,7 +194,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
             if held is None:
                 return Model()
             continue
-        model = Model(*_dictionaries(bad, _pieces(good)))
+        model = Model(*_dictionaries(bad, _pieces(good, bad)))
         savings = Savings(model)
         own = [(t, v) for t, v, p in zip(texts, toxic, part, strict=True) if p == held]
         x += [savings.of(t) for t, _ in own]
