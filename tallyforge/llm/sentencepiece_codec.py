@@ -464,7 +464,7 @@ def _encode_giants(large: DataFrame, proto: bytes, chunk: int) -> DataFrame:
             key = b.column("key").to_pylist()[0]
             cols = list(zip(*parts, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([key] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), *(pa.array(c, pa.string()) for c in cols[:3]), *(pa.array(c, pa.bool_()) for c in cols[3:])],
+                [pa.array([key] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int32()), *(pa.array(c, pa.string()) for c in cols[:3]), *(pa.array(c, pa.bool_()) for c in cols[3:])],
                 names=["key", "k", "left", "body", "right", "cin", "cout"],
             )
 
@@ -480,7 +480,7 @@ def _encode_giants(large: DataFrame, proto: bytes, chunk: int) -> DataFrame:
         got = resolve([_unpack(r["m"]) for r in rows])
         ends = [(a, b) for a, b in zip(got, got[1:], strict=False)]
         n = len(rows)
-        return pa.table({"key": pa.array([rows[0]["key"]] * n, pa.int64()), "k": pa.array(range(n), pa.int32()), "a0": [a[0] for a, _ in ends], "a1": [a[1] for a, _ in ends], "z0": [z[0] for _, z in ends], "z1": [z[1] for _, z in ends]})
+        return pa.table({"key": pa.array([rows[0]["key"]] * n, pa.string()), "k": pa.array(range(n), pa.int32()), "a0": [a[0] for a, _ in ends], "a1": [a[1] for a, _ in ends], "z0": [z[0] for _, z in ends], "z1": [z[1] for _, z in ends]})
 
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(proto)
@@ -488,11 +488,12 @@ def _encode_giants(large: DataFrame, proto: bytes, chunk: int) -> DataFrame:
             ids = [chunk_ids(enc, r["body"], r["right"], (r["a0"], r["a1"]), (r["z0"], r["z1"])) for r in b.select(["body", "right", "a0", "a1", "z0", "z1"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), pa.array(ids, pa.list_(pa.int32()))], names=["key", "k", "ids"])
 
-    keyed = large.withColumn("_pieces_key", F.xxhash64("text"))
+    # two hashes and the length: giants of equal text are encoded once, others never share a key
+    keyed = large.withColumn("_pieces_key", F.concat_ws("-", F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(1), "text")), F.length("text").cast("string")))
     texts = keyed.groupBy(F.col("_pieces_key").alias("key")).agg(F.min("text").alias("text"))
-    parts = materialize(texts.mapInArrow(split, "key long, k int, left string, body string, right string, cin boolean, cout boolean").repartition("key", "k"), "pieces-chunks")
-    at = materialize(parts.mapInArrow(matrices, "key long, k int, m string").groupBy("key").applyInArrow(states, "key long, k int, a0 long, a1 long, z0 long, z1 long"), "pieces-states")
-    done = parts.join(at, ["key", "k"]).select("key", "k", "body", "right", "a0", "a1", "z0", "z1").mapInArrow(backtrace, "key long, k int, ids array<int>")
+    parts = materialize(texts.mapInArrow(split, "key string, k int, left string, body string, right string, cin boolean, cout boolean").repartition("key", "k"), "pieces-chunks")
+    at = materialize(parts.mapInArrow(matrices, "key string, k int, m string").groupBy("key").applyInArrow(states, "key string, k int, a0 long, a1 long, z0 long, z1 long"), "pieces-states")
+    done = parts.join(at, ["key", "k"]).select("key", "k", "body", "right", "a0", "a1", "z0", "z1").mapInArrow(backtrace, "key string, k int, ids array<int>")
     joined = done.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     return keyed.join(joined.withColumnRenamed("key", "_pieces_key"), "_pieces_key").drop("_pieces_key")
 
