@@ -152,3 +152,15 @@ def test_edges(spark):
     assert qc.train(df, twice).prior < 0  # the least of several labels
     for f, m in ((qr.filter_docs, qr.train(df, none)), (qc.filter_docs, qc.train(df, none))):
         assert f(df, m).columns == df.columns and f(df.limit(0), m).count() == 0
+
+
+def test_toxicity_fit_in_tasks_equals_the_fit_at_hand(spark):
+    """Dictionaries byte by byte, weights up to the order of additions."""
+    from tallyforge.llm.common import held_out, labelled_sample, table
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    rows = sorted((r["doc_id"], r["y"], r["text"]) for v, n in ((1, tox.SAMPLE_TOXIC), (0, tox.SAMPLE_ORDINARY)) for r in labelled_sample(docs, labels, "toxic", ~held_out(tox.FOLD, tox.HELD), n, v).collect())
+    a, b = tox.train(docs, labels), tox.fit([t for *_, t in rows], [int(y) for _, y, _ in rows])
+    assert (a.ordinary, a.toxic) == (b.ordinary, b.toxic) and len(a.ordinary) > 1000
+    assert np.allclose(a.weights, b.weights, atol=1e-6) and np.allclose(a.mean, b.mean)
