@@ -25,6 +25,12 @@ RELATIONS = {
           1 AS retrieval_query_count, CASE WHEN l_suppkey % 19 = 0 THEN 0 ELSE 5 END AS requested_top_k, 2048 AS context_token_budget,
           CASE WHEN l_suppkey % 23 = 0 THEN NULL ELSE (o_orderkey % 9) / 8e0 END AS fresh_score
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    "planted_oracle_rows": """
+        SELECT CASE WHEN k = 0 THEN '  ' ELSE cast(l_orderkey AS string) END AS target_query_id, CASE WHEN k <> 1 THEN cast(l_suppkey AS string) END AS experience_id, CASE WHEN k = 2 THEN '' ELSE 'snapshot-1' END AS memory_snapshot_id,
+          CASE WHEN k = 3 THEN 0 WHEN k = 4 AND l_linenumber = 2 THEN 1 ELSE l_linenumber END AS candidate_rank, CASE WHEN k = 5 THEN -0.125e0 WHEN k <> 6 THEN (o_custkey % 9) / 8e0 END AS direct_score,
+          CASE WHEN k = 7 THEN 1.25e0 WHEN k <> 8 THEN (l_partkey % 9) / 8e0 END AS reuse_score, CASE WHEN k = 9 THEN 0 WHEN k <> 10 THEN 1 END AS retrieval_query_count, CASE WHEN k = 11 THEN -5 WHEN k = 12 AND l_linenumber > 1 THEN 6 ELSE 5 END AS requested_top_k,
+          CASE WHEN k = 13 THEN 0 WHEN k = 14 AND l_linenumber > 1 THEN 1024 ELSE 2048 END AS context_token_budget, CASE WHEN k = 15 THEN -1e0 WHEN k = 16 AND l_linenumber > 1 THEN NULL WHEN k = 17 THEN NULL ELSE (o_orderkey % 9) / 8e0 END AS fresh_score
+        FROM (SELECT *, l_orderkey % 41 AS k FROM {lineitem}) JOIN {orders} ON l_orderkey = o_orderkey""",
     "observations": """
         SELECT cast(o_custkey AS string) AS experience_id, cast(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS int) AS seq, 't' || cast(o_orderkey % 4000 AS string) AS target_query_id,
           'g' || cast(o_orderkey % 7000 AS string) AS target_group_id, (o_orderkey % 9) / 8e0 AS direct_score, (cast(floor(o_totalprice) AS bigint) % 9) / 8e0 AS reuse_score, 0.5e0 AS good_threshold,

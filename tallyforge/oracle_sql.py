@@ -72,6 +72,24 @@ SQL["oracle_violations"] = (
     )
 )
 
+_KEYED = "concat_ws('/', target_query_id, experience_id)"
+_RANGE = "({0} IS NULL OR NOT ({0} >= 0 AND {0} <= 1))"
+SQL["oracle_rule_breaks"] = (
+    _with("planted_oracle_rows")
+    + """, g AS (SELECT target_query_id, min(direct_score) <> max(direct_score) AS d, min(fresh_score) <> max(fresh_score) OR (count(fresh_score) <> 0 AND count(fresh_score) <> count(*)) AS f,
+  coalesce(min(requested_top_k) <> max(requested_top_k), false) OR coalesce(min(context_token_budget) <> max(context_token_budget), false) OR coalesce(min(retrieval_query_count) <> max(retrieval_query_count), false) AS b, count(DISTINCT candidate_rank) <> count(*) AS r FROM planted_oracle_rows_ GROUP BY 1) """
+    + counted(
+        "SELECT 'several_memory_snapshots' AS rule, '*' AS key FROM (SELECT count(DISTINCT memory_snapshot_id) AS n FROM planted_oracle_rows_) WHERE n > 1",
+        f"SELECT 'duplicate_pair', {_KEYED} FROM planted_oracle_rows_ GROUP BY target_query_id, experience_id HAVING count(*) > 1",
+        rules("g", "target_query_id", [("d", "inconsistent_direct_score"), ("f", "inconsistent_fresh_score"), ("b", "inconsistent_budget"), ("r", "duplicate_rank")]),
+        rules(
+            "planted_oracle_rows_", _KEYED,
+            [(f"trim(coalesce({c}, '')) = ''", f"blank_{c}") for c in ("target_query_id", "experience_id", "memory_snapshot_id")] + [(_RANGE.format(c), f"{c}_out_of_range") for c in ("direct_score", "reuse_score")]
+            + [("fresh_score IS NOT NULL AND " + _RANGE.format("fresh_score"), "fresh_score_out_of_range")] + [(f"coalesce({c}, 0) < 1", f"{c}_not_positive") for c in ("candidate_rank", "retrieval_query_count", "requested_top_k", "context_token_budget")],
+        ),
+    )
+)
+
 
 def _reliability(source: str) -> str:
     o = outcome()
@@ -117,12 +135,20 @@ SQL["transfer_violations"] = (
     )
 )
 _ILLEGAL = "st IS NULL OR st = 'retired' OR evidence_role = 'test' OR target_query_id = sq OR (dataset_id = sd AND target_group_id = sg) OR metric_protocol_id <> sm OR applier_id <> sa OR applier_version <> sv OR t2 > 1 OR g2 > 1"
-SQL["ledger_ingest"] = f"""{_with("observations", "sources").replace("observations_ AS", "given AS", 1)}, admitted AS (SELECT * FROM sources_ WHERE reuse_score - direct_score > 0 AND evidence_role <> 'test'),
+_LEGAL = f"""{_with("observations", "sources").replace("observations_ AS", "given AS", 1)}, admitted AS (SELECT * FROM sources_ WHERE reuse_score - direct_score > 0 AND evidence_role <> 'test'),
   j AS (SELECT o.*, s.state AS st, s.source_query_id AS sq, s.source_dataset_id AS sd, s.source_group_id AS sg, s.source_metric_protocol_id AS sm, s.source_applier_id AS sa, s.source_applier_version AS sv,
     row_number() OVER (PARTITION BY experience_id, dataset_id, o.target_query_id ORDER BY seq) AS t2, row_number() OVER (PARTITION BY experience_id, dataset_id, target_group_id ORDER BY seq) AS g2 FROM given o JOIN admitted s USING (experience_id)),
-  observations_ AS (SELECT * FROM j WHERE NOT coalesce({_ILLEGAL}, false)), {_lifecycle(LIFECYCLE)}, rel AS ({_reliability("observations_")})
+  observations_ AS (SELECT * FROM j WHERE NOT coalesce({_ILLEGAL}, false)), {_lifecycle(LIFECYCLE)}, rel AS ({_reliability("observations_")})"""
+SQL["ledger_ingest"] = f"""{_LEGAL}
   SELECT a.experience_id, CASE WHEN a.state = 'retired' THEN 'retired' ELSE coalesce(t.state, 'candidate') END AS state, coalesce(n, 0) AS n, coalesce(benefit, 0) AS benefit, coalesce(harm, 0) AS harm, coalesce(good, 0) AS both_good, round(coalesce(n * mean, 0e0), 9) AS gain
   FROM admitted a LEFT JOIN states t USING (experience_id) LEFT JOIN rel USING (experience_id)"""
+SQL["source_snapshot"] = f"""{_LEGAL}
+  SELECT a.experience_id, coalesce(t.state, 'candidate') AS state, source_query_id, reuse_score - direct_score AS source_gain, coalesce(n, 0) AS n, round(coalesce(n * mean, 0e0), 9) AS gain, coalesce(benefit, 0) AS benefit
+  FROM admitted a LEFT JOIN states t USING (experience_id) LEFT JOIN rel USING (experience_id)"""
+SQL["source_oracle_csv"] = f"""{_with("oracle_rows")} SELECT CASE WHEN cast(target_query_id AS bigint) % 7 = 0 THEN 'of "two"' || chr(10) || 'lines ' || target_query_id ELSE target_query_id END AS target_query_id, experience_id, memory_snapshot_id,
+  candidate_rank::bigint AS candidate_rank, direct_score, reuse_score, retrieval_query_count::bigint AS retrieval_query_count, requested_top_k::bigint AS requested_top_k, context_token_budget::bigint AS context_token_budget, fresh_score FROM oracle_rows_"""
+SQL["source_requests"] = f"""{_with("requests")} SELECT target_query_id, md5('q ' || coalesce(target_query, '')) AS query_md5, length('q ' || coalesce(target_query, '')) AS n_chars,
+  array_to_string(list_sort(list_distinct(list_filter(string_split(signatures, '|'), lambda x: x <> ''))), '|') AS signatures, 'query_only' AS signature_input_scope FROM requests_"""
 SQL["record_violations"] = (
     f"{_with('observations', 'sources')}, {_lifecycle(LIFECYCLE)}, j AS (SELECT s.*, t.state AS expected FROM sources_ s LEFT JOIN states t USING (experience_id)) "
     + counted(

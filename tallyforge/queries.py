@@ -15,8 +15,12 @@ from .operators import applicability, cards, environment, episodes, evidence_che
 from .plans.decide import apply_plans, decide_batch
 from .plans.ledger import Ledger
 from .policies import EnvironmentPolicy, GatePolicy, LifecyclePolicy, PlanApplication, PortfolioPolicy, QueryBudget
-from .schemas import ENVIRONMENT_FIELDS
-from .storage import shared_dir, written
+from .schemas import ENVIRONMENT_FIELDS, ORACLE_ROWS
+from .sources.oracle_csv import read_oracle_csv
+from .sources.requests import read_requests
+from .sources.sinks import write_joined, write_jsonl_file
+from .sources.snapshot import read_snapshot, write_snapshot
+from .storage import file_system, shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,6 +75,12 @@ def oracle_violations(spark, d):
     return counted(oracle.violations(relation(spark, d, "raw_oracle_rows")))
 
 
+@query
+def oracle_rule_breaks(spark, d):
+    """Candidate-set rows with every rule broken somewhere: blanks, nulls, negatives, unequal budgets and half-given scores."""
+    return counted(oracle.violations(relation(spark, d, "planted_oracle_rows")))
+
+
 @query
 def reliability_summary(spark, d):
     return rounded(reliability.reliability(relation(spark, d, "observations"), relation(spark, d, "sources")))
@@ -112,23 +122,77 @@ def record_violations(spark, d):
     return counted(evidence_checks.record_violations(relation(spark, d, "sources"), relation(spark, d, "observations"), LIFECYCLE))
 
 
-@query
-def ledger_ingest(spark, d):
-    """A ledger grown in steps: candidates through the write gate, legal observations in two batches, retirements; then its totals."""
+def _evidence(spark, d):
+    """(candidates that pass the write gate, legal observations of them)."""
     sources, o = relation(spark, d, "sources"), relation(spark, d, "observations")
     admitted = written(reliability.write_gate(sources).select(sources.columns), "sources")
     o = written(o.join(admitted.select("experience_id"), "experience_id", "left_semi").select(o.columns), "observations")
-    retired = relation(spark, d, "sources").where("state = 'retired'").join(admitted, "experience_id", "left_semi")
-    broken = evidence_checks.transfer_violations(o, relation(spark, d, "sources")).select("key").distinct()
-    legal = written(o.withColumn("key", F.concat_ws("/", "experience_id", "seq")).join(broken, "key", "left_anti").select(o.columns), "legal")
-    ledger = Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}", sources.schema, o.schema, LIFECYCLE, buckets=8)
-    ledger.add_candidates(relation(spark, d, "sources").where("evidence_role <> 'test'"))
+    broken = evidence_checks.transfer_violations(o, sources).select("key").distinct()
+    return admitted, written(o.withColumn("key", F.concat_ws("/", "experience_id", "seq")).join(broken, "key", "left_anti").select(o.columns), "legal")
+
+
+@query
+def ledger_ingest(spark, d):
+    """A ledger grown in steps: candidates through the write gate, legal observations in two batches, retirements; then its totals."""
+    sources = relation(spark, d, "sources")
+    admitted, legal = _evidence(spark, d)
+    retired = sources.where("state = 'retired'").join(admitted, "experience_id", "left_semi")
+    ledger = Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}", sources.schema, legal.schema, LIFECYCLE, buckets=8)
+    ledger.add_candidates(sources.where("evidence_role <> 'test'"))
     ledger.record_transfers(legal.where("seq <= 5"), 0)
     ledger.record_transfers(legal.where("seq > 5"), 1)
     ledger.retire(retired)
     return rounded(ledger.totals().select("experience_id", "state", "n", "benefit", "harm", "both_good", "gain"))
 
 
+def _file(spark, name):
+    """A path in the shared folder for a file that a query writes and reads; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}"
+    fs, at = file_system(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
+@query
+def source_oracle_csv(spark, d):
+    """Candidate sets as one quoted CSV file, some ids of several lines, read back in splits and checked."""
+    i = F.col("target_query_id")
+    rows = relation(spark, d, "oracle_rows").withColumn("target_query_id", F.when(i.cast("long") % 7 == 0, F.concat(F.lit('of "two"\nlines '), i)).otherwise(i))
+    columns = [f.name for f in ORACLE_ROWS]
+    line = F.to_csv(F.struct(*columns), {"quoteAll": "true", "escape": '"'})
+    path = _file(spark, "candidates.csv")
+    write_joined(rows.select("target_query_id", "candidate_rank", line.alias("value")), path, ["target_query_id", "candidate_rank"], "\n", head=",".join(columns) + "\n", tail="\n")
+    return rounded(read_oracle_csv(spark, path))
+
+
+@query
+def source_requests(spark, d):
+    """All documents as requests in one file of JSON lines, read back and checked."""
+    known = {"signature_extractor_id": "x", "signature_extractor_version": "1", "signature_input_scope": "query_only"}
+    rows = _requests(spark, d).select("target_query_id", F.concat(F.lit("q "), F.coalesce("target_query", F.lit(""))).alias("target_query"), "signatures", *[F.lit(v).alias(k) for k, v in known.items()])
+    path = _file(spark, "requests.jsonl")
+    write_jsonl_file(rows, path, ["target_query_id"])
+    return read_requests(spark, path).select("target_query_id", F.md5("target_query").alias("query_md5"), F.length("target_query").cast("long").alias("n_chars"), joined(F.array_sort("signatures")).alias("signatures"), "signature_input_scope")
+
+
+@query
+def source_snapshot(spark, d):
+    """A memory with its evidence as one canonical document, read back with all its rules checked."""
+    admitted, legal = _evidence(spark, d)
+    states = reliability.lifecycle_state(legal, LIFECYCLE).select("experience_id", F.col("state").alias("_state"))
+    none = F.array().cast("array<string>")
+    gain = F.col("reuse_score") - F.col("direct_score")
+    said = {"source_query": F.concat(F.lit("query of "), "experience_id"), "transformed_query": F.lit("a; b"), "atomic_units": F.array(F.lit("x")), "environment": F.struct(*[F.lit(CURRENT[f]).alias(f) for f in ENVIRONMENT_FIELDS]), "provenance": F.lit("log"), "transformation_type": F.lit("t"), "application_note": F.lit("")}
+    more = {"applicability_signature": F.array(F.lit("a")), "diagnosed_failure": F.lit("f"), "gap_categories": F.array(F.lit("attribute")), "contraindication_signature": none, "stored_dataset_id": F.lit("unset"), "metric_protocol_id": F.col("source_metric_protocol_id"), "applier_id": F.col("source_applier_id"), "applier_version": F.col("source_applier_version")}
+    records = admitted.join(states, "experience_id", "left").withColumns({**said, **more, "state": F.coalesce("_state", F.lit("candidate")), "gain": gain, "passes_paired_write_gate": gain > F.col("minimum_gain")})
+    observations = reliability.label_pairs(legal.withColumn("split", F.lit("cal")), F.col("good_threshold")).withColumnRenamed("difference", "gain")
+    path = _file(spark, "memory.json")
+    write_snapshot(records, observations, "m1", LIFECYCLE, path)
+    back = read_snapshot(spark, path)
+    seen = back.observations.groupBy("experience_id").agg(F.count("*").alias("n"), F.sum("gain").alias("gain"), F.count_if(F.col("outcome") == "direct_bad_reuse_good").alias("benefit"))
+    return rounded(back.records.select("experience_id", "state", "source_query_id", F.col("gain").alias("source_gain")).join(seen, "experience_id", "left").fillna(0))
+
+
 def _portfolio_inputs(spark, d):
     o = relation(spark, d, "observations")
     states = reliability.lifecycle_state(o, LIFECYCLE).select("experience_id", "state")
