@@ -202,7 +202,9 @@ def folded(c: str) -> str:
 
 
 def words(c: str) -> str:
-    return rf"list_distinct(list_transform(regexp_extract_all({c}, '[\p{{L}}\p{{N}}_]+'), lambda w: {folded('w')}))"
+    """Words are cut, then folded together."""
+    found = rf"array_to_string(regexp_extract_all({c}, '[\p{{L}}\p{{N}}_]+'), ' ')"
+    return f"list_filter(list_distinct(string_split({folded(found)}, ' ')), lambda w: w <> '')"
 
 
 _JACCARD = "CASE WHEN len(w) = 0 AND len(v) = 0 THEN 1e0 ELSE len(list_intersect(w, v)) / (len(w) + len(v) - len(list_intersect(w, v)))::double END"
