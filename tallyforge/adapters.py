@@ -47,6 +47,13 @@ RELATIONS = {
         SELECT cast(user_id AS string) AS experience_id, max(CASE WHEN event_type = 'purchase' THEN extract(day FROM ts) - 1 END) AS last_validated_step,
           max(CASE WHEN event_type = 'view' THEN extract(day FROM ts) END) AS last_used_step
         FROM {events} GROUP BY user_id""",
+    "tier_records": """
+        SELECT cast(c_custkey AS string) AS experience_id, CASE WHEN c_custkey % 5 = 0 THEN 'candidate' ELSE 'active' END AS state FROM {customer} WHERE c_custkey % 13 <> 0""",
+    "stored_tiers": """
+        SELECT cast(k AS string) AS experience_id, CASE k % 7 WHEN 0 THEN 'hot' WHEN 1 THEN 'warm' WHEN 2 THEN 'expired' ELSE 'cold' END AS tier, CASE WHEN k % 7 = 0 AND k % 2 = 1 THEN k WHEN k % 21 = 3 THEN 2 END AS hot_rank FROM (SELECT c_custkey AS k FROM {customer}) WHERE k % 5 <> 0
+        UNION ALL SELECT cast(c_custkey AS string), 'cold', NULL FROM {customer} WHERE c_custkey % 11 = 0""",
+    "plans": """
+        SELECT 'd' || cast(doc_id AS string) AS target_query_id, 'b' || cast(doc_id % 7 AS string) AS experience_id, 'plan "' || cast(doc_id AS string) || '"; é' AS transformed_query FROM {documents}""",
     "environments": """
         SELECT cast(c_custkey AS string) AS experience_id, CASE c_custkey % 13 WHEN 0 THEN ' Unknown ' WHEN 1 THEN 'other' ELSE 'wiki' END AS corpus_id, 'v' || cast(c_custkey % 7 % 2 AS string) AS corpus_version, 'bm25' AS retriever_id,
           'r' || cast(c_custkey % 3 AS string) AS retriever_version, 'rw' AS rewriter_id, 'rw' || cast(c_custkey % 5 AS string) AS rewriter_version, CASE WHEN c_custkey % 17 = 0 THEN '' ELSE 'ix' END AS index_id,

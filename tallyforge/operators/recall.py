@@ -144,14 +144,16 @@ def _plain(column: pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def shards_of(experiences: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[dict]:
-    """Indexes over (experience_id, v), each of about shard_words words; experiences are dealt by a hash of their id."""
+def shard_count(experiences: DataFrame, shard_words: int) -> int:
+    """Shards that (experience_id, v) are dealt into, of about shard_words words each."""
     total = experiences.agg(F.count("*").alias("n"), F.sum(F.size("v")).alias("w")).first()
-    count = -(-max(total["n"], total["w"] or 0) // shard_words)
-    for s in range(count):
-        part = experiences.where(F.pmod(F.xxhash64("experience_id"), F.lit(count)) == s).select("experience_id", "v").toArrow()
-        if part.num_rows:
-            yield build_shard(_plain(part.column("experience_id")), _plain(part.column("v")))
+    return -(-max(total["n"], total["w"] or 0) // shard_words)
+
+
+def read_shard(experiences: DataFrame, number: int, count: int) -> dict | None:
+    """Index of the experiences whose id's hash says so."""
+    part = experiences.where(F.pmod(F.xxhash64("experience_id"), F.lit(count)) == number).select("experience_id", "v").toArrow()
+    return build_shard(_plain(part.column("experience_id")), _plain(part.column("v"))) if part.num_rows else None
 
 
 def recall_top_m(requests: DataFrame, experiences: DataFrame, m: int = 5, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -168,12 +170,20 @@ def recall_top_m(requests: DataFrame, experiences: DataFrame, m: int = 5, shard_
     cut = lambda c: F.explode(F.array(words(F.col(c))))
     e = written(experiences.select("experience_id", cut("source_query").alias("v")), "recall-words")
     t = requests.select("target_query_id", cut("target_query").alias("w"))
+    count = shard_count(e, shard_words)
+    if count > 1:
+        t = written(t, "recall-targets")
     found = None
-    for i, shard in enumerate(shards_of(e, shard_words)):
-        if i == 1:
-            t = written(t, "recall-targets")
-        part = t.mapInArrow(_ask(spark.sparkContext.broadcast(shard), m), _FOUND)
-        found = part if found is None else found.unionAll(part)
+    for i in range(count):
+        shard = read_shard(e, i, count)
+        if shard is None:
+            continue
+        sent = spark.sparkContext.broadcast(shard)
+        part = t.mapInArrow(_ask(sent, m), _FOUND)
+        if count > 1:  # the best so far are kept and the shard goes, so executors never hold two
+            part = written(rank_best(part if found is None else found.unionAll(part), m).drop("recall_rank"), "recall-best")
+            sent.destroy()
+        found = part
     if found is None:
         found = spark.createDataFrame([], _FOUND)
     return rank_best(found, m)

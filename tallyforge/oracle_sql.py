@@ -147,6 +147,7 @@ SQL["source_snapshot"] = f"""{_LEGAL}
   FROM admitted a LEFT JOIN states t USING (experience_id) LEFT JOIN rel USING (experience_id)"""
 SQL["source_oracle_csv"] = f"""{_with("oracle_rows")} SELECT CASE WHEN cast(target_query_id AS bigint) % 7 = 0 THEN 'of "two"' || chr(10) || 'lines ' || target_query_id ELSE target_query_id END AS target_query_id, experience_id, memory_snapshot_id,
   candidate_rank::bigint AS candidate_rank, direct_score, reuse_score, retrieval_query_count::bigint AS retrieval_query_count, requested_top_k::bigint AS requested_top_k, context_token_budget::bigint AS context_token_budget, fresh_score FROM oracle_rows_"""
+SQL["source_plan_bundle"] = f"{_with('plans')} SELECT *, 'precomputed-plan' AS applier_id, 'v1' AS application_version FROM plans_"
 SQL["source_requests"] = f"""{_with("requests")} SELECT target_query_id, md5('q ' || coalesce(target_query, '')) AS query_md5, length('q ' || coalesce(target_query, '')) AS n_chars,
   array_to_string(list_sort(list_distinct(list_filter(string_split(signatures, '|'), lambda x: x <> ''))), '|') AS signatures, 'query_only' AS signature_input_scope FROM requests_"""
 SQL["record_violations"] = (
@@ -171,6 +172,13 @@ SQL["portfolio_partition"] = (
     + f""", k AS (SELECT *, row_number() OVER (ORDER BY priority >= {PORTFOLIO.minimum_priority}e0 DESC, priority DESC, experience_id) AS nth FROM pr)
   SELECT experience_id, round(priority, 9) AS priority, CASE WHEN priority < {PORTFOLIO.minimum_priority}e0 THEN 'expired' WHEN nth <= {PORTFOLIO.capacity} THEN 'hot' ELSE 'cold' END AS tier, CASE WHEN priority >= {PORTFOLIO.minimum_priority}e0 AND nth <= {PORTFOLIO.capacity} THEN nth ELSE 0 END AS hot_rank FROM act LEFT JOIN k USING (experience_id)"""
 )
+SQL["tier_violations"] = f"{_with('tier_records', 'stored_tiers')}, a AS (SELECT experience_id FROM tier_records_ WHERE state = 'active'), t AS (SELECT experience_id, count(*) AS n, count(DISTINCT tier) AS k FROM stored_tiers_ GROUP BY 1) " + counted(
+    "SELECT CASE WHEN k > 1 THEN 'tiers_overlap' ELSE 'repeated_in_tier' END AS rule, experience_id AS key FROM t WHERE n > 1",
+    "SELECT 'active_without_tier', experience_id FROM a WHERE experience_id NOT IN (SELECT experience_id FROM t)",
+    "SELECT 'tier_of_inactive', experience_id FROM t WHERE experience_id NOT IN (SELECT experience_id FROM a)",
+    rules("stored_tiers_", "experience_id", [("tier NOT IN ('hot', 'cold', 'expired')", "unknown_tier"), ("(tier = 'hot') <> (hot_rank IS NOT NULL)", "hot_rank_contradicts_tier")]),
+    f"SELECT 'hot_above_capacity', '*' FROM (SELECT count(*) AS n FROM stored_tiers_ WHERE tier = 'hot') WHERE n > {PORTFOLIO.capacity}",
+)
 SQL["activity_violations"] = f"{_with('activities', 'sources')} " + counted(
     "SELECT 'unknown_experience' AS rule, experience_id AS key FROM activities_ WHERE experience_id NOT IN (SELECT experience_id FROM sources_)",
     rules("activities_", "experience_id", [("last_validated_step IS NULL OR last_validated_step < 0", "last_validated_step_invalid"), ("last_validated_step > 29", "last_validated_step_in_future"), ("last_used_step > 29", "last_used_step_in_future")]),

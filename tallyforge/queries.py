@@ -17,8 +17,8 @@ from .plans.ledger import Ledger
 from .policies import EnvironmentPolicy, GatePolicy, LifecyclePolicy, PlanApplication, PortfolioPolicy, QueryBudget
 from .schemas import ENVIRONMENT_FIELDS, ORACLE_ROWS
 from .sources.oracle_csv import read_oracle_csv
-from .sources.requests import read_requests
-from .sources.sinks import write_joined, write_jsonl_file
+from .sources.requests import read_plan_bundle, read_requests
+from .sources.sinks import json_lines, write_joined, write_jsonl_file
 from .sources.snapshot import read_snapshot, write_snapshot
 from .storage import file_system, shared_dir, written
 
@@ -175,6 +175,16 @@ def source_requests(spark, d):
     return read_requests(spark, path).select("target_query_id", F.md5("target_query").alias("query_md5"), F.length("target_query").cast("long").alias("n_chars"), joined(F.array_sort("signatures")).alias("signatures"), "signature_input_scope")
 
 
+@query
+def source_plan_bundle(spark, d):
+    """A plan for every document in one bundle, read back and checked."""
+    rows = relation(spark, d, "plans")
+    path = _file(spark, "plans.json")
+    write_joined(rows.select("target_query_id", json_lines(rows).alias("value")), path, ["target_query_id"], ",", head='{"schema_version":1,"applier_id":"precomputed-plan","application_version":"v1","plans":[', tail="]}\n")
+    bundle = read_plan_bundle(spark, path)
+    return bundle.plans.select("*", F.lit(bundle.applier_id).alias("applier_id"), F.lit(bundle.application_version).alias("application_version"))
+
+
 @query
 def source_snapshot(spark, d):
     """A memory with its evidence as one canonical document, read back with all its rules checked."""
@@ -211,6 +221,12 @@ def portfolio_partition(spark, d):
     return rounded(portfolio.partition(*_portfolio_inputs(spark, d), 30, PORTFOLIO).fillna(0, ["hot_rank"]))
 
 
+@query
+def tier_violations(spark, d):
+    """A stored partition with tiers that overlap, lack records, hold foreign ones or contradict their ranks."""
+    return counted(portfolio.partition_violations(relation(spark, d, "stored_tiers"), relation(spark, d, "tier_records"), PORTFOLIO))
+
+
 @query
 def activity_violations(spark, d):
     return counted(portfolio.activity_violations(relation(spark, d, "activities"), relation(spark, d, "sources"), 29))
