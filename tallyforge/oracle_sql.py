@@ -260,6 +260,35 @@ SQL["gate_decisions"] = (
     md5(coalesce(wq, trim(target_query, E' \\t\\n\\r'))) AS query_md5, CASE WHEN won IS NOT NULL THEN 'reuse_selected' WHEN b.target_query_id IS NULL THEN 'no_candidates' WHEN meant IS NOT NULL THEN 'invalid_query_plan_fallback' ELSE 'no_eligible_experience' END AS reason
   FROM requests_ LEFT JOIN b USING (target_query_id)"""
 )
+
+
+def _changed(sql: str, *pairs: tuple[str, str]) -> str:
+    for old, new in pairs:
+        if old not in sql:
+            raise ValueError(f"not in the SQL: {old}")
+        sql = sql.replace(old, new)
+    return sql
+
+
+_HOOKED = _changed(
+    _GATE,
+    (
+        _recall(_POOL + " AND experience_id IN (SELECT experience_id FROM memory_observations_)"),
+        f"""rq AS (SELECT target_query_id, list_distinct({_LIST.format("signatures")}) AS sg FROM requests_), rx AS (SELECT target_query_id, len(sg) AS c, unnest(sg) AS x FROM rq),
+  rm AS (SELECT experience_id, unnest(list_distinct({_LIST.format("required")})) AS x FROM memory_ {_POOL} AND experience_id IN (SELECT experience_id FROM memory_observations_)),
+  rp AS (SELECT target_query_id, experience_id, count(*) / max(c)::double AS recall_score FROM rx JOIN rm USING (x) GROUP BY 1, 2),
+  recalled AS (SELECT *, row_number() OVER (PARTITION BY target_query_id ORDER BY recall_score DESC, experience_id) AS recall_rank FROM rp QUALIFY recall_rank <= 4)""",
+    ),
+    ("kk % 4 <> 0 AND target_query_id <> source_query_id AS has_plan", "target_query_id <> source_query_id AS has_plan"),
+    ("CASE WHEN kk % 7 = 0 THEN target_query WHEN kk % 5 = 0 THEN '  ' WHEN kk % 11 = 0 THEN repeat('x', 500) ELSE 'plan ' || cast(kk AS varchar) END", "'rewrite for ' || experience_id"),
+    ("CASE WHEN len(vt) > 0 THEN 0e0 ELSE len(m) / len(req)::double END AS fit", "0.75e0 AS fit"),
+)
+SQL["hooked_decisions"] = (
+    _HOOKED
+    + f""", b AS (SELECT target_query_id, first(experience_id ORDER BY {_KEY}) FILTER (len(why) = 0) AS won, first(experience_id ORDER BY {_KEY}) FILTER (len(early) + len(fitted) = 0) AS meant FROM g GROUP BY 1)
+  SELECT target_query_id, experience_id, recall_rank, len(why) = 0 AS passed, array_to_string(why, '|') AS reasons, won AS executed_experience_id,
+    CASE WHEN won IS NOT NULL THEN 'reuse_selected' WHEN meant IS NOT NULL THEN 'invalid_query_plan_fallback' ELSE 'no_eligible_experience' END AS reason, 'shared-signatures' AS recall_scorer_id FROM g JOIN b USING (target_query_id)"""
+)
 _O = outcome("d", "r", "0.5e0")
 _CHOSEN = (
     _GATE

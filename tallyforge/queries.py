@@ -326,6 +326,30 @@ def gate_decisions(spark, d):
     return _decide(spark, d).decisions.select("target_query_id", "intended_action", "intended_experience_id", "executed_action", "executed_experience_id", F.md5("executed_query").alias("query_md5"), "reason")
 
 
+class SharedSignatures:
+    """A recall hook: the share of a request's signatures that a record requires, a word index of signatures instead of words."""
+
+    scorer_id = "shared-signatures"
+
+    def __call__(self, requests, records, m):
+        asked = requests.select("target_query_id", F.size("signatures").alias("n"), F.explode("signatures").alias("s"))
+        held = records.select("experience_id", F.explode("applicability_signature").alias("s"))
+        met = asked.join(held, "s").groupBy("target_query_id", "experience_id").agg((F.count("*") / F.max("n")).alias("recall_score"))
+        return recall.rank_scored(met, m)
+
+
+@query
+def hooked_decisions(spark, d):
+    """Decisions with recall, scorer and applier given by the caller: shared signatures, one fit for all, a plan for every pair."""
+    m = written(_memory(spark, d), "memory")
+    fit = lambda required, observed, contra: applicability.coverage(required, observed, contra) | {"applicability_score": F.lit(0.75), "applicability_scorer_id": F.lit("always")}
+    plan = lambda pairs: apply_plans(pairs, pairs.select("target_query_id", "experience_id", F.concat(F.lit("rewrite for "), "experience_id").alias("transformed_query")), PlanApplication())
+    out = decide_batch(m, _requests(spark, d), None, CURRENT, gate=GATE, budget=BUDGET, max_candidates=4, recall=SharedSignatures(), scorer=fit, applier=plan)
+    t = out.traces.select("target_query_id", "experience_id", F.col("recall_rank").cast("long").alias("recall_rank"), "passed", joined("rejection_reasons").alias("reasons"))
+    won = out.decisions.select("target_query_id", "executed_experience_id", "reason", F.lit(out.recall_scorer_id).alias("recall_scorer_id"))
+    return t.join(won, "target_query_id")
+
+
 HOT = PortfolioPolicy(capacity=60, half_life_steps=10.0, minimum_priority=0.001)
 
 
