@@ -32,9 +32,22 @@ def fold_table() -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(one.values()), {k: v for k, v in folds.items() if len(v) > 1}
 
 
+@lru_cache(maxsize=1)
+def plain_letters() -> str:
+    """Inside of a character class: characters of common alphabets that fold as they lower, one to one and whatever stands around them."""
+    safe = [c for lo, hi in ((0, 0x250), (0x400, 0x530), (0x5D0, 0x5F0), (0x620, 0x6D4), (0x900, 0xE50), (0x3040, 0x3100), (0x4E00, 0xA000)) for c in range(lo, hi) if chr(c).lower() == chr(c).casefold() and len(chr(c).lower()) == 1]
+    ranges: list[list[int]] = []
+    for c in safe:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in ranges)
+
+
 def fold(c: Column) -> Column:
-    """str.casefold, in the JVM: ASCII text by lower, other text by a table of characters; those that fold to several are
-    written out where there are any. The text is bound to a variable, so that it's computed once."""
+    """str.casefold, in the JVM: ASCII text and text of plain letters by lower, other text by a table of characters; those that fold
+    to several are written out where there are any. The text is bound to a variable, so that it's computed once."""
     singles, folded, several = fold_table()
     # a literal of one string, which the optimizer turns into a map: a hundred nested replacements would be planned for every use
     spelled = F.str_to_map(F.lit(" ".join(f"{k}={v}" for k, v in several.items())), F.lit(" "), F.lit("="))
@@ -42,7 +55,8 @@ def fold(c: Column) -> Column:
     def of(x: Column) -> Column:
         one = F.translate(x, singles, folded)
         out = F.array_join(F.transform(F.regexp_extract_all(one, F.lit("(?s)."), F.lit(0)), lambda ch: F.coalesce(spelled[ch], ch)), "")
-        return F.when(F.octet_length(x) == F.length(x), F.lower(x)).when(x.rlike("[" + "".join(several) + "]"), out).otherwise(one)
+        plain = (F.octet_length(x) == F.length(x)) | ~x.rlike(f"[^{plain_letters()}]")
+        return F.when(plain, F.lower(x)).when(x.rlike("[" + "".join(several) + "]"), out).otherwise(one)
 
     return F.get(F.transform(F.array(c), of), F.lit(0))
 
@@ -56,9 +70,9 @@ def same_folded(a: Column, b: Column) -> Column:
 def words(c: Column) -> Column:
     """Distinct folded words. Words are cut before folding, as folding can add characters that aren't of a word.
 
-    They are folded together, joined by a space, which is no word character. Without words that leaves one empty string.
+    Different ones are folded together, joined by a space, which is no word character. Without words that leaves one empty string.
     The text is looked through once: no branch names it twice."""
-    found = F.array_join(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(WORD), F.lit(0)), " ")
+    found = F.array_join(F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(WORD), F.lit(0))), " ")
     return F.array_remove(F.array_distinct(F.split(fold(found), " ")), "")
 
 

@@ -93,3 +93,13 @@ def test_fold_equals_casefold_of_every_character(spark):
 
 def test_versioned_ids_and_turn_keys(spark):
     assert one(spark, tx.versioned_id(F.lit("c"), F.lit("2"))) == "c@2" and one(spark, tx.turn_key(F.lit("e"), F.lit("u1"))) == "e#u1"
+
+
+def test_fold_of_plain_letters(spark):
+    """Each alone, at the end of a word and between letters: lowering them is folding them."""
+    import re
+
+    plain = [chr(c) for c in range(1, 0xA000) if re.match("[" + re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), tx.plain_letters()) + "]", chr(c))]
+    assert {"A", "é", "Ж", "ü"} <= set(plain) and not {"ß", "µ", "İ", "ſ", "Σ"} & set(plain)
+    rows = [(s, s.casefold()) for c in plain for s in (c, f"a{c} b", f"A{c}{c}B")]
+    assert spark.createDataFrame(rows, "s string, want string").where(~tx.fold(F.col("s")).eqNullSafe(F.col("want"))).count() == 0
