@@ -162,8 +162,12 @@ class Index:
     def found(self, places: np.ndarray, numbers: np.ndarray) -> list[tuple[str, int, float]]:
         """(label, start, coverage) of the templates that a file holds."""
         out = []
-        of = lambda v: places[numbers == v]
         ts, starts = self.votes(places, numbers)
+        if not len(ts):
+            return out
+        by_word = np.argsort(numbers, kind="stable")  # places of one word stay in order
+        edge = np.searchsorted(numbers[by_word], np.arange(len(self.idf) + 1))
+        of = lambda v: places[by_word[edge[v] : edge[v + 1]]]
         for t in np.unique(ts).tolist():
             s = starts[ts == t]
             for at, key in self.keys[t]:
