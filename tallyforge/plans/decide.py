@@ -47,20 +47,30 @@ def component_id(component: object, own: str) -> str:
     return getattr(component, "__name__", type(component).__name__)
 
 
-def apply_plans(recalled: DataFrame, plans: DataFrame, application: PlanApplication = PlanApplication()) -> DataFrame:
-    """recalled with `prepared`, a struct or null. recalled: target_query_id, target_query, experience_id, source_query_id.
+def with_plans(pairs: DataFrame, plans: DataFrame) -> DataFrame:
+    """pairs with their plan's text in `_q` and whether they have one in `_planned`: target_query_id, experience_id, source_query_id.
 
     The join is outer: a candidate without a plan stays and is rejected for it. The source query is never
     a target of its own experience.
     """
     p = plans.select(F.col("target_query_id").alias("_t"), F.col("experience_id").alias("_e"), F.col("transformed_query").alias("_q"))
     on = (F.col("target_query_id") == F.col("_t")) & (F.col("experience_id") == F.col("_e")) & ~F.col("target_query_id").eqNullSafe(F.col("source_query_id"))
+    return pairs.join(p, on, "left").withColumn("_planned", F.col("_t").isNotNull()).drop("_t", "_e")
+
+
+def prepare(planned: DataFrame, application: PlanApplication = PlanApplication()) -> DataFrame:
+    """with_plans, with the target's text, as `prepared`: a struct or null."""
     a = application
     prepared = F.struct(
         F.col("target_query_id"), F.col("target_query"), F.col("experience_id"), F.col("_q").alias("transformed_query"), F.lit(a.applier_id).alias("generated_by"), F.lit(a.estimated_cost).alias("estimated_cost"),
         F.lit(a.application_version).alias("application_version"), F.lit(a.retrieval_query_count).alias("retrieval_query_count"), F.lit(a.requested_top_k).alias("requested_top_k"), F.lit(a.context_token_budget).alias("context_token_budget"),
     )
-    return recalled.join(p, on, "left").withColumn("prepared", F.when(F.col("_t").isNotNull(), prepared)).drop("_t", "_e", "_q")
+    return planned.withColumn("prepared", F.when(F.col("_planned"), prepared)).drop("_q", "_planned")
+
+
+def apply_plans(recalled: DataFrame, plans: DataFrame, application: PlanApplication = PlanApplication()) -> DataFrame:
+    """recalled with `prepared`, a struct or null. recalled: target_query_id, target_query, experience_id, source_query_id."""
+    return prepare(with_plans(recalled, plans), application)
 
 
 def decide_batch(
@@ -89,8 +99,9 @@ def decide_batch(
     eligible = matched.where("environment_compatible")
     asked = requests.withColumn("target_query", py_strip(F.col("target_query")))
     recalled = recall(asked, eligible, max_candidates) if recall else recall_top_m(asked, eligible, max_candidates)
-    pairs = recalled.join(eligible, "experience_id").join(asked, "target_query_id")
-    candidates = applier(pairs) if applier else apply_plans(pairs, plans, application)
+    # texts of targets come last, once for each, so that no join moves a text for every candidate
+    pairs = recalled.join(eligible, "experience_id")
+    candidates = applier(pairs.join(asked, "target_query_id")) if applier else prepare(with_plans(pairs, plans).join(asked, "target_query_id"), application)
     bounds = {"wilson_95_conditional_breakage_upper_bound": "breakage_upper_bound", "wilson_95_harm_upper_bound": "harm_upper_bound"}
     candidates = candidates.withColumns({k: F.col(c) for k, c in bounds.items() if c in candidates.columns})
     risk, measure = risk_upper_bound(candidates)

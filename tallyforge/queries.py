@@ -12,7 +12,7 @@ from .adapters import CURRENT, environment_struct, parts, relation
 from .functions import scores as sc
 from .functions import text as tx
 from .operators import applicability, cards, environment, episodes, evidence_checks, gate, oracle, portfolio, recall, reliability, selective
-from .plans.decide import apply_plans, decide_batch
+from .plans.decide import apply_plans, decide_batch, prepare, with_plans
 from .plans.ledger import Ledger
 from .policies import EnvironmentPolicy, GatePolicy, LifecyclePolicy, PlanApplication, PortfolioPolicy, QueryBudget
 from .schemas import ENVIRONMENT_FIELDS, ORACLE_ROWS
@@ -307,8 +307,7 @@ def plan_reasons(spark, d):
     """Reasons against plans alone, over all recalled pairs."""
     m, r = written(_memory(spark, d), "memory"), _requests(spark, d)
     recalled = written(_recalled(spark, d, m), "recalled")
-    pairs = recalled.join(m, "experience_id").join(r.select("target_query_id", "target_query"), "target_query_id")
-    p = apply_plans(pairs, _plans(spark, d, recalled))
+    p = prepare(with_plans(recalled.join(m, "experience_id"), _plans(spark, d, recalled)).join(r.select("target_query_id", "target_query"), "target_query_id"))
     why = gate.plan_reasons(F.col("prepared"), F.col("experience_id"), F.col("target_query_id"), F.col("target_query"), F.col("applier_id"), F.col("applier_version"), BUDGET)
     return p.select("target_query_id", "experience_id", joined(why).alias("reasons"))
 
