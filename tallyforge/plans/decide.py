@@ -54,7 +54,9 @@ def with_plans(pairs: DataFrame, plans: DataFrame) -> DataFrame:
     a target of its own experience.
     """
     p = plans.select(F.col("target_query_id").alias("_t"), F.col("experience_id").alias("_e"), F.col("transformed_query").alias("_q"))
-    on = (F.col("target_query_id") == F.col("_t")) & (F.col("experience_id") == F.col("_e")) & ~F.col("target_query_id").eqNullSafe(F.col("source_query_id"))
+    # by target alone, the experience being compared within: plans and what follows share that partitioning, so plan texts move once
+    same = (F.col("experience_id") >= F.col("_e")) & (F.col("experience_id") <= F.col("_e"))
+    on = (F.col("target_query_id") == F.col("_t")) & same & ~F.col("target_query_id").eqNullSafe(F.col("source_query_id"))
     return pairs.join(p, on, "left").withColumn("_planned", F.col("_t").isNotNull()).drop("_t", "_e")
 
 
