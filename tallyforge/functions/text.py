@@ -19,6 +19,12 @@ WORD = r"[\p{L}\p{N}_]+"
 STRIPPED = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def strip_text(c: Column) -> Column:
+    """py_strip of a column of long texts: those that neither begin nor end with white space, told by two characters, aren't trimmed."""
+    ends = lambda at: F.lit(STRIPPED).contains(F.substring(c, at, 1))
+    return F.when(ends(1) | ends(-1), py_strip(c)).otherwise(c)
+
+
 def py_strip(c: Column) -> Column:
     """str.strip: looks at the ends only, whatever the length of the text."""
     return F.btrim(c, F.lit(STRIPPED))

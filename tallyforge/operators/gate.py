@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import finite, reasons
-from ..functions.text import is_unspecified, py_strip, same_folded
+from ..functions.text import is_unspecified, py_strip, same_folded, strip_text
 from ..policies import GatePolicy, QueryBudget
 
 #: Fixed order of the columns of a trace.
@@ -26,7 +26,7 @@ def plan_reasons(prepared: Column, experience_id: Column, target_id: Column, tar
     target_id and target_query are compared stripped. Nulls inside a plan count against it.
     """
     p = prepared
-    text, query = py_strip(p["transformed_query"]), py_strip(target_query)
+    text, query = py_strip(p["transformed_query"]), strip_text(target_query)
     within = lambda c, most: c.between(1, most)
     cost = p["estimated_cost"]
     bad_cost = ~finite(cost) | (cost < 0)
@@ -34,7 +34,7 @@ def plan_reasons(prepared: Column, experience_id: Column, target_id: Column, tar
     found = reasons(
         (p["experience_id"] != experience_id, "prepared_experience_mismatch"),
         (py_strip(p["target_query_id"]) != py_strip(target_id), "prepared_target_id_mismatch"),
-        (py_strip(p["target_query"]) != query, "prepared_target_query_mismatch"),
+        ((p["target_query"] != target_query) & (strip_text(p["target_query"]) != query), "prepared_target_query_mismatch"),
         (F.coalesce(text, F.lit("")) == "", "empty_transformed_query"),
         (F.coalesce((text != "") & same_folded(text, query), F.lit(False)), "unchanged_transformed_query"),
         (F.coalesce(F.length(text), F.lit(0)) > budget.max_query_characters, "transformed_query_too_long"),
@@ -126,7 +126,7 @@ def decide(traces: DataFrame, targets: DataFrame) -> DataFrame:
         F.coalesce(won, meant).alias("intended_experience_id"),
         F.when(won.isNotNull(), "reuse").otherwise("direct").alias("executed_action"),
         won.alias("executed_experience_id"),
-        F.coalesce(F.col("won.query"), py_strip(F.col("target_query"))).alias("executed_query"),
+        F.coalesce(F.col("won.query"), strip_text(F.col("target_query"))).alias("executed_query"),
         reason.alias("reason"),
     )
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import py_strip
+from ..functions.text import strip_text
 from ..operators.applicability import coverage
 from ..operators.environment import match
 from ..operators.gate import decide, gate_traces
@@ -99,7 +99,7 @@ def decide_batch(
     current = F.struct(*[F.lit(environment.get(f)).alias(f) for f in ENVIRONMENT_FIELDS])
     matched = match(pool, current, environment_policy)
     eligible = matched.where("environment_compatible")
-    asked = requests.withColumn("target_query", py_strip(F.col("target_query")))
+    asked = requests.withColumn("target_query", strip_text(F.col("target_query")))
     recalled = recall(asked, eligible, max_candidates) if recall else recall_top_m(asked, eligible, max_candidates)
     # texts of targets come last, once for each, so that no join moves a text for every candidate
     pairs = recalled.join(eligible, "experience_id")
