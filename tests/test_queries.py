@@ -60,3 +60,27 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r.experience_id: r.state for r in spark.sql("SELECT experience_id, max_by(state, observations) AS state FROM states GROUP BY experience_id").collect()}
     want = {r.experience_id: r.state for r in lifecycle_state(spark.createDataFrame(rows_, schema)).collect()}
     assert got == want
+
+
+def test_shuffles_fit_the_input(spark, sf):
+    """A task's share of a shuffle is bounded: partitions grow with the input, finer settings stay."""
+    from tallyforge import adapters
+
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    old = {k: spark.conf.get(k) for k in keys}
+    small = adapters.PARTITION_BYTES
+    try:
+        spark.conf.set(keys[1], "64m")
+        adapters.PARTITION_BYTES = 4096
+        adapters.relation(spark, sf, "oracle_rows")
+        n = int(spark.conf.get(keys[0]))
+        assert n > 20 and spark.conf.get(keys[1]) == str(adapters.TASK_BYTES)
+        adapters.relation(spark, sf, "tier_records")
+        assert int(spark.conf.get(keys[0])) == n
+        spark.conf.set(keys[1], "1m")
+        adapters.fit_shuffles(spark, 1)
+        assert spark.conf.get(keys[1]) == "1m"
+    finally:
+        adapters.PARTITION_BYTES = small
+        for k, v in old.items():
+            spark.conf.set(k, v)
