@@ -56,7 +56,8 @@ def read_oracle_csv(spark: SparkSession, path: str, check: bool = True) -> DataF
     columns = next(csv.reader(io.StringIO(heads[0]["text"].lstrip("\ufeff"))))
     names = [f"c{i}" for i in range(len(columns))]
     parsed = F.from_csv(F.col("text"), ", ".join(f"{c} string" for c in names), {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
-    raw = records.where("record > 1").select("record", parsed.alias("r")).select("record", *[F.col(f"r.{c}").alias(c) for c in names])
+    # exploding one array makes it a column; otherwise a record would be parsed anew wherever one of its fields is named
+    raw = records.where("record > 1").select("record", F.explode(F.array(parsed)).alias("r")).select("record", *[F.col(f"r.{c}").alias(c) for c in names])
     if len(set(columns)) == len(columns):
         raw = raw.toDF("record", *columns)
     names = columns
@@ -80,6 +81,7 @@ def read_oracle_csv(spark: SparkSession, path: str, check: bool = True) -> DataF
         bad.append(F.when(failed, f.name))
     rows = raw.select("record", F.array_compact(F.array(*bad)).alias("_bad"), *[c.cast(ORACLE_ROWS[n].dataType).alias(n) for n, c in typed.items()])
     if check:
+        rows = written(rows, "csv-rows")  # every check and the caller read it
         first = rows.where(F.size("_bad") > 0).orderBy("record").limit(5).collect()
         if first:
             raise FormatError("oracle CSV has invalid fields: " + "; ".join(f"record {r['record']}: {', '.join(r['_bad'])}" for r in first))

@@ -265,3 +265,9 @@ def test_csv_records_over_splits(spark, tmp_path):
             read_oracle_csv(spark, put(tmp_path, text, "bad.csv"))
     finally:
         spark.conf.set(key, old)
+
+
+def test_csv_is_parsed_once(spark, tmp_path):
+    """Checks and the caller read typed rows; nothing parses a record again."""
+    rows = read_oracle_csv(spark, put(tmp_path, HEAD + ",fresh_score\n" + "\n".join(ROWS) + "\n"))
+    assert "from_csv" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 3
