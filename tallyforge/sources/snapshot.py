@@ -15,6 +15,8 @@ from ..functions.text import gap_violation, normalize_gap, normalize_signatures
 from ..operators.evidence_checks import raise_if_any, record_violations, transfer_violations
 from ..policies import LifecyclePolicy
 from ..schemas import ENVIRONMENT_FIELDS, RECORD
+from ..storage import written
+from .json_parts import document_parts
 from .sinks import write_joined
 from .strict_json import FormatError, check_shape, problems, refuse_problems
 
@@ -31,7 +33,8 @@ def _kind(t: T.DataType):
     return {"string": str, "double": float, "int": int, "bigint": int, "boolean": bool}[t.simpleString()]
 
 
-def _check(doc) -> None:
+def _check(doc) -> dict:
+    """Checks a document, whose records may be left out, and returns the shape of a record."""
     if not isinstance(doc, dict) or doc.get("schema_version") not in VERSIONS or isinstance(doc.get("schema_version"), bool):
         raise FormatError("unsupported schema_version")
     record = _kind(RECORD)
@@ -41,6 +44,7 @@ def _check(doc) -> None:
     check_shape(doc, {"schema_version": int, "memory_snapshot_id": str, "lifecycle_policy": policy, "records": [record]})
     if not doc["memory_snapshot_id"].strip():
         raise FormatError("memory_snapshot_id must not be blank")
+    return record
 
 
 class Snapshot:
@@ -57,14 +61,12 @@ class Snapshot:
 
 
 def read_snapshot(spark: SparkSession, path: str, check: bool = True) -> Snapshot:
-    """Tables of a snapshot document. All rules are checked, derived fields included."""
-    text = spark.read.option("wholetext", True).text(path).select(F.lit(1).alias("line_no"), "value")
-    refuse_problems(problems(text, _check), "memory snapshot")
-    head = T.StructType([T.StructField("schema_version", T.IntegerType()), T.StructField("memory_snapshot_id", T.StringType()), T.StructField("lifecycle_policy", T.StringType())])
-    top = text.select(F.from_json("value", head).alias("h")).select("h.*").first()
-    policy = LifecyclePolicy(**json.loads(top["lifecycle_policy"]))
-    doc = text.select(F.from_json("value", T.StructType([T.StructField("records", T.ArrayType(RECORD))])).alias("d"))
-    r = doc.select(F.posexplode("d.records").alias("at", "r")).select("at", "r.*")
+    """Tables of a snapshot document, read in parts. All rules are checked, derived fields included."""
+    doc, parts = document_parts(spark, path)
+    shape = _check(doc)
+    refuse_problems(problems(parts, lambda r: check_shape(r, shape, "$.records[]")), "memory snapshot")
+    policy = LifecyclePolicy(**doc["lifecycle_policy"])
+    r = written(parts.select(F.from_json("value", RECORD).alias("r")).select("r.*"), "snapshot-records")
     t, s = "transformation.", "source_evidence."
     empty = F.array().cast("array<string>")
     records = r.select(
@@ -79,7 +81,7 @@ def read_snapshot(spark: SparkSession, path: str, check: bool = True) -> Snapsho
     observations = r.select(F.col(t + "experience_id").alias("experience_id"), F.posexplode("transfer_observations").alias("seq", "o")).select("experience_id", "seq", "o.*")
     if check:
         raise_if_any(snapshot_violations(records, observations, policy))
-    return Snapshot(records, observations, top["memory_snapshot_id"], top["schema_version"], policy)
+    return Snapshot(records, observations, doc["memory_snapshot_id"], doc["schema_version"], policy)
 
 
 def snapshot_violations(records: DataFrame, observations: DataFrame, policy: LifecyclePolicy) -> DataFrame:

@@ -271,3 +271,30 @@ def test_csv_is_parsed_once(spark, tmp_path):
     """Checks and the caller read typed rows; nothing parses a record again."""
     rows = read_oracle_csv(spark, put(tmp_path, HEAD + ",fresh_score\n" + "\n".join(ROWS) + "\n"))
     assert "from_csv" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 3
+
+
+def test_snapshot_in_splits(spark, tmp_path):
+    """A document read by many tasks: braces, quotes and escapes in strings, and what is wrong between records."""
+    odd = 'a}"{[\\ é\n]},{'
+    given = [record(f"m{i}", "candidate", transfer_observations=[]) for i in range(60)]
+    for r in given:
+        r["transformation"]["source_query"] = odd
+    text = memory(*given)
+    key, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, "3000")
+    try:
+        for i, good in enumerate((text, json.dumps(json.loads(text), indent=1, ensure_ascii=False) + "\n")):
+            p = put(tmp_path, good, f"s{i}")
+            rows = read_snapshot(spark, p).records
+            assert spark.read.option("lineSep", "}").text(p).rdd.getNumPartitions() > 3
+            assert {(r.experience_id, r.source_query) for r in rows.select("experience_id", "source_query").collect()} == {(f"m{i}", odd) for i in range(60)}
+        for i, (a, b) in enumerate((("}, {", "}{"), ("}, {", "}, 1, {"), ("}, {", "},, {"), ('"records": [', '"records": [,'))):
+            bad = text[::-1].replace(a[::-1], b[::-1], 1)[::-1] if a == "}, {" else text.replace(a, b, 1)
+            assert bad != text
+            with pytest.raises(FormatError):
+                read_snapshot(spark, put(tmp_path, bad, f"b{i}"))
+        for i, bad in enumerate((text[:-1], text + "}", text + "{}", "", "[]")):
+            with pytest.raises(FormatError):
+                read_snapshot(spark, put(tmp_path, bad, f"c{i}"))
+    finally:
+        spark.conf.set(key, old)
