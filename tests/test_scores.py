@@ -103,3 +103,26 @@ def test_fold_of_plain_letters(spark):
     assert {"A", "é", "Ж", "ü"} <= set(plain) and not {"ß", "µ", "İ", "ſ", "Σ"} & set(plain)
     rows = [(s, s.casefold()) for c in plain for s in (c, f"a{c} b", f"A{c}{c}B")]
     assert spark.createDataFrame(rows, "s string, want string").where(~tx.fold(F.col("s")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_a_pair_are_cut_once_and_folded_without_searching(spark):
+    df = spark.range(1).select(F.col("id").cast("string").alias("a"), F.concat(F.col("id").cast("string"), F.lit(" x")).alias("b"))
+    plan = planned(df.select(tx.token_jaccard(F.col("a"), F.col("b"))))
+    assert plan.count("regexp_extract_all(coalesce") == 2 and "RLIKE" not in plan
+
+
+def test_token_jaccard_cuts_an_item_below_the_join(spark, sf):
+    from tallyforge.queries import QUERIES
+
+    plan = planned(QUERIES["token_jaccard"](spark, sf))
+    join = plan.index("Join Inner, (item_id")
+    assert plan[:join].count("regexp_extract_all(coalesce") == 1 and plan[join:].count("regexp_extract_all(coalesce") == 1
+
+
+@pytest.mark.parametrize("text", ["Stra\xdfe \u1e9eX", "\ufb01sch \xdf", "\u0130I\u0131", "\u03a3\u03c3\u03c2 \xc4\xf6", "plain ASCII", "", "\u0149 \u1f80\xdf\U0001d400"])
+def test_fold_of_characters_that_fold_to_several(spark, text):
+    assert one(spark, tx.fold(F.concat(F.lit(text), F.lit("")))) == text.casefold()
