@@ -126,3 +126,9 @@ def test_token_jaccard_cuts_an_item_below_the_join(spark, sf):
 @pytest.mark.parametrize("text", ["Stra\xdfe \u1e9eX", "\ufb01sch \xdf", "\u0130I\u0131", "\u03a3\u03c3\u03c2 \xc4\xf6", "plain ASCII", "", "\u0149 \u1f80\xdf\U0001d400"])
 def test_fold_of_characters_that_fold_to_several(spark, text):
     assert one(spark, tx.fold(F.concat(F.lit(text), F.lit("")))) == text.casefold()
+
+
+def test_equal_texts_are_not_folded(spark, monkeypatch):
+    monkeypatch.setattr(tx, "fold", lambda c: F.raise_error(F.lit("folded")).cast("string"))
+    df = spark.createDataFrame([("Some text", "Some text", True), ("a", "a b c d e", False), (None, "a", None)], "a string, b string, want boolean")
+    assert df.where("a is not null").where(~tx.same_folded(F.col("a"), F.col("b")).eqNullSafe(F.col("want"))).count() == 0
