@@ -8,7 +8,8 @@ part: there, the token streams of all pages of a host are concatenated, a suffix
 doubling) with its longest common prefixes finds runs of `MIN_RUN` tokens or more, within and across blocks, that
 distinct pages share; blocks that runs cover go, in other blocks the covered runs of that length, and unique runs
 stay. Pages of equal text count as one page, so mirrors keep theirs, and a short block goes only as
-part of a longer run.
+part of a longer run. What a page marks as its main part goes through suffix arrays of its host, too, as notices and adverts stand in articles as well; but
+articles quote each other, so there a run goes only if it stands on more than `COMMON_SHARE` of the host's pages, `COMMON_PAGES` at least.
 
 A host's pages are dealt over shards of about `SHARD_TOKENS` tokens by page hash and each shard has its own
 suffix array; windows of MIN_RUN tokens that its array doesn't find repeated are counted by hash over the
@@ -29,13 +30,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, with_text
 from .textstats import chunks
 
 MIN_RUN = 8
+#: A run within marked main parts is boilerplate on more than this share of its host's different pages, and on so many of them at least.
+COMMON_SHARE, COMMON_PAGES = 0.5, 4
 SHARD_TOKENS = 400_000
 
 BLOCK_TAGS = frozenset(
@@ -217,12 +220,9 @@ def suffix_array(tokens: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def repeated_windows(tokens: np.ndarray, page: np.ndarray, width: int = MIN_RUN) -> np.ndarray:
-    """Where a window of `width` tokens starts that occurs on another page too. Separators are tokens of their own."""
+def _window_groups(tokens: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, group of each of its places): suffixes of one group begin with the same `width` tokens."""
     n = len(tokens)
-    out = np.zeros(n, bool)
-    if n < width:
-        return out
     sa = suffix_array(tokens)
     same = np.ones(n - 1, bool)  # common prefix of neighbours of at least width
     for d in range(width):
@@ -230,7 +230,16 @@ def repeated_windows(tokens: np.ndarray, page: np.ndarray, width: int = MIN_RUN)
         inside = (a < n) & (b < n)
         same &= inside
         same[inside] &= tokens[a[inside]] == tokens[b[inside]]
-    group = np.concatenate(([0], (~same).cumsum()))
+    return sa, np.concatenate(([0], (~same).cumsum()))
+
+
+def repeated_windows(tokens: np.ndarray, page: np.ndarray, width: int = MIN_RUN) -> np.ndarray:
+    """Where a window of `width` tokens starts that occurs on another page too. Separators are tokens of their own."""
+    n = len(tokens)
+    out = np.zeros(n, bool)
+    if n < width:
+        return out
+    sa, group = _window_groups(tokens, width)
     first = np.full(group[-1] + 1, n, np.int64)
     last = np.full(group[-1] + 1, -1, np.int64)
     np.minimum.at(first, group, page[sa])
@@ -239,6 +248,19 @@ def repeated_windows(tokens: np.ndarray, page: np.ndarray, width: int = MIN_RUN)
     return out
 
 
+def window_pages(tokens: np.ndarray, page: np.ndarray, width: int = MIN_RUN) -> np.ndarray:
+    """On how many pages the window of `width` tokens that starts at each place stands; 0 where the sequence ends before."""
+    n = len(tokens)
+    out = np.zeros(n, np.int64)
+    if n < width:
+        return out
+    sa, group = _window_groups(tokens, width)
+    pairs = np.unique(np.stack((group, page[sa]), axis=1), axis=0)
+    out[sa] = np.bincount(pairs[:, 0])[group]
+    out[n - width + 1 :] = 0
+    return out
+
+
 def _words(block: str) -> list[int]:
     h = xxhash.xxh64_intdigest
     return [h(w.encode()) >> 1 for w in block.split()]
@@ -287,21 +309,81 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in chunks(batches, 256):
             got = [blocks(h) for h in b.column("html").to_pylist()]
             text = ["\n".join(t) for t, _ in got]
-            cols = [b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([not m and bool(t) for t, m in got])]
-            yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "open"])
+            words = pa.array([sum(len(x.split()) for x in t) for t, _ in got], pa.int64())
+            cols = [b.column("page_id"), b.column("url"), pa.array(text, pa.string()), words, pa.array([not m and bool(t) for t, m in got])]
+            yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "words", "open"])
 
-    cutted = materialize(with_text(src).mapInArrow(cut, "page_id long, url string, text string, open boolean"), "html-blocks")
-    sure = cutted.where(~F.col("open")).select("page_id", "url", "text")
+    cutted = materialize(with_text(src).mapInArrow(cut, "page_id long, url string, text string, words long, open boolean"), "html-blocks")
+    sure = _without_common_runs(cutted.where(~F.col("open")))
     unsure = cutted.where("open")
     if not unsure.isEmpty():
         sure = sure.unionByName(_without_boilerplate(unsure))
     return sure.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def _host() -> Column:
+    return F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
+
+
+def _without_common_runs(marked: DataFrame) -> DataFrame:
+    """Pages with a marked main part, without the runs that stand on most different pages of their host.
+
+    A run on more than a share of a host's pages is on more than that share of some shard's, so each shard's suffix array
+    gives few candidates; only these are counted over the whole host.
+    """
+    named = marked.withColumn("host", _host()).withColumn("row", F.xxhash64("host", "text"))
+    # hosts of several shards only: no more rows than all tokens have shards
+    big = named.groupBy("host").agg(F.ceil(F.sum("words") / SHARD_TOKENS).cast("int").alias("shards")).where("shards > 1")
+    dealt = named.where(F.col("words") >= MIN_RUN).join(F.broadcast(big), "host", "left").withColumn("shard", F.pmod("row", F.coalesce("shards", F.lit(1))).cast("int"))
+    # copies of a page become one where they arrive, before a shard is held
+    pages = dealt.select("host", "shard", "row", "text").repartition("host", "shard").groupBy("host", "shard", "row").agg(F.min("text").alias("text"))
+
+    def candidates(key, t):
+        texts = [_words(x) for x in t.column("text").to_pylist()]
+        tok, page = _stream(texts)
+        often = window_pages(tok, page) > COMMON_SHARE * len(texts)
+        found, at = set(), 0
+        for w in texts:
+            a = np.array(w, np.uint64)
+            found |= {xxhash.xxh64_intdigest(a[i : i + MIN_RUN].tobytes()) - (1 << 63) for i in np.flatnonzero(often[at : at + len(w) - MIN_RUN + 1]).tolist()}
+            at += len(w) + 1
+        return pa.table({"host": pa.array([key[0].as_py()] * len(found), pa.string()), "h": pa.array(list(found), pa.int64())})
+
+    near = materialize(pages.groupBy("host", "shard").applyInArrow(candidates, "host string, h long").distinct(), "html-candidates")
+    plain = marked.select("page_id", "url", "text")
+    if near.isEmpty():
+        return plain
+    asked = named.join(near.select("host").distinct(), "host", "left_semi")
+    placed = asked.select("host", "row", "text").mapInArrow(_windows, "host string, row long, start int, h long").join(near, ["host", "h"])
+    total = asked.groupBy("host").agg(F.count_distinct("row").alias("pages")).where(F.col("pages") >= COMMON_PAGES)
+    counted = placed.groupBy("host", "h").agg(F.count_distinct("row").alias("n")).join(total, "host")
+    common = counted.where((F.col("n") > COMMON_SHARE * F.col("pages")) & (F.col("n") >= COMMON_PAGES)).select("host", "h")
+    covered = materialize(placed.join(common, ["host", "h"]).groupBy("row").agg(F.collect_set("start").alias("cover")), "html-covered")
+    if covered.isEmpty():
+        return plain
+    return named.join(covered, "row", "left").select("page_id", "url", "text", "cover").mapInArrow(_prune, "page_id long, url string, text string")
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, row, start, h) of every window of (host, row, text)."""
+    for b in chunks(batches, 256):
+        host, row, start, h = [], [], [], []
+        for ho, r, text in zip(b.column("host").to_pylist(), b.column("row").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for s, x in enumerate(_window_hashes(_words(text))):
+                host.append(ho), row.append(r), start.append(s), h.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(row, pa.int64()), pa.array(start, pa.int32()), pa.array(h, pa.int64())], names=["host", "row", "start", "h"])
+
+
+def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, url, text) without what the windows that start at cover hold."""
+    for b in chunks(batches, 256):
+        out = [without_runs(text, cover) if cover else text for text, cover in zip(b.column("text").to_pylist(), b.column("cover").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+
 def _without_boilerplate(cutted: DataFrame) -> DataFrame:
     """Pages without a marked main part: blocks that runs shared by pages of the host cover are removed."""
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    named = cutted.withColumn("host", host).withColumn("row", F.xxhash64("host", "text"))
+    named = cutted.withColumn("host", _host()).withColumn("row", F.xxhash64("host", "text"))
     tokens = F.size(F.split("text", r"\s+"))
     shards = named.groupBy("host").agg(F.ceil(F.sum(tokens) / SHARD_TOKENS).cast("int").alias("shards"))
     dealt = materialize(named.join(shards, "host").withColumn("shard", F.pmod("row", F.greatest("shards", F.lit(1))).cast("int")), "html-dealt")
@@ -327,20 +409,7 @@ def _without_boilerplate(cutted: DataFrame) -> DataFrame:
     counted = dealt.select("host", "shard", "row", "text").groupBy("host", "shard").applyInArrow(runs, "host string, h long, n long")
     common = materialize(counted.groupBy("host", "h").agg(F.sum("n").alias("n")).where("n >= 2").select("host", "h"), "html-common")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, 256):
-            host, row, start, h = [], [], [], []
-            for ho, r, text in zip(b.column("host").to_pylist(), b.column("row").to_pylist(), b.column("text").to_pylist(), strict=True):
-                for s, x in enumerate(_window_hashes(_words(text))):
-                    host.append(ho), row.append(r), start.append(s), h.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(row, pa.int64()), pa.array(start, pa.int32()), pa.array(h, pa.int64())], names=["host", "row", "start", "h"])
-
-    placed = dealt.select("host", "row", "text").mapInArrow(windows, "host string, row long, start int, h long")
+    placed = dealt.select("host", "row", "text").mapInArrow(_windows, "host string, row long, start int, h long")
     covered = placed.join(common, ["host", "h"]).groupBy("row").agg(F.collect_set("start").alias("cover"))
 
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, 256):
-            out = [without_runs(text, cover or []) for text, cover in zip(b.column("text").to_pylist(), b.column("cover").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
-
-    return dealt.join(covered, "row", "left").select("page_id", "url", "text", "cover").mapInArrow(prune, "page_id long, url string, text string")
+    return dealt.join(covered, "row", "left").select("page_id", "url", "text", "cover").mapInArrow(_prune, "page_id long, url string, text string")

@@ -150,3 +150,27 @@ def test_words_that_only_look_marked(mark):
 )
 def test_main_article_and_comment_forms(page, want):
     assert hx.blocks(page)[0] == want
+
+
+@pytest.mark.parametrize("shard", [400_000, 40])
+def test_marked_pages_lose_what_most_pages_of_the_host_repeat(spark, monkeypatch, shard):
+    """A plea in every article goes; what two articles of six share, and what all of a host of three share, stays."""
+    monkeypatch.setattr(hx, "SHARD_TOKENS", shard)
+    plea = "please support our work with a small gift today or become a member"
+    quote = "this sentence of eight words stands on two of the pages"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    page = lambda i, more: f"<article><p>{own(i)}</p><p>{plea}</p>{more}</article>"
+    rows = [(i, f"http://h.example/{i}", page(i, f"<p>{quote}</p>" if i < 2 else "")) for i in range(6)]
+    rows += [(10 + i, f"http://few.example/{i}", page(10 + i, "")) for i in range(3)] + [(20, rows[5][1], rows[5][2])]
+    got = {r.page_id: r.text for r in hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: own(i) + (f"\n{quote}" if i < 2 else "") for i in range(6)} | {10 + i: f"{own(10 + i)}\n{plea}" for i in range(3)} | {20: own(5)}
+
+
+def test_window_pages():
+    rnd = np.random.default_rng(3)
+    page = np.repeat(np.arange(6), 40)
+    t = rnd.integers(0, 3, 240)
+    where = {}
+    for i in range(236):
+        where.setdefault(tuple(t[i : i + 5]), set()).add(page[i])
+    assert hx.window_pages(t, page, 5).tolist() == [len(where[tuple(t[i : i + 5])]) if i < 236 else 0 for i in range(240)]
