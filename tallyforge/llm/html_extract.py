@@ -37,6 +37,7 @@ from .common import materialize, with_text
 from .textstats import chunks
 
 MIN_RUN = 8
+_HALF = (1 << 32) - 1
 #: A run within marked main parts is boilerplate on more than this share of its host's different pages, and on so many of them at least.
 COMMON_SHARE, COMMON_PAGES = 0.5, 4
 SHARD_TOKENS = 400_000
@@ -203,8 +204,8 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
     return [t for t, inside, k in found if inside and (not k or k in kept)], True
 
 
-def suffix_array(tokens: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of an integer sequence, by prefix doubling."""
+def suffix_array(tokens: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Order of the suffixes of an integer sequence, by prefix doubling; up to their first depth tokens if that is given."""
     n = len(tokens)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     step = 1
@@ -215,7 +216,7 @@ def suffix_array(tokens: np.ndarray) -> np.ndarray:
         new = np.concatenate(([0], ((rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1])).cumsum()))
         rank = np.empty(n, np.int64)
         rank[order] = new
-        if n == 0 or new[-1] == n - 1 or step >= n:
+        if n == 0 or new[-1] == n - 1 or step >= n or (depth and 2 * step >= depth):
             return order
         step *= 2
 
@@ -223,7 +224,7 @@ def suffix_array(tokens: np.ndarray) -> np.ndarray:
 def _window_groups(tokens: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, group of each of its places): suffixes of one group begin with the same `width` tokens."""
     n = len(tokens)
-    sa = suffix_array(tokens)
+    sa = suffix_array(tokens, width)
     same = np.ones(n - 1, bool)  # common prefix of neighbours of at least width
     for d in range(width):
         a, b = sa[:-1] + d, sa[1:] + d
@@ -336,10 +337,12 @@ def _without_common_runs(marked: DataFrame) -> DataFrame:
     big = named.groupBy("host").agg(F.ceil(F.sum("words") / SHARD_TOKENS).cast("int").alias("shards")).where("shards > 1")
     dealt = named.where(F.col("words") >= MIN_RUN).join(F.broadcast(big), "host", "left").withColumn("shard", F.pmod("row", F.coalesce("shards", F.lit(1))).cast("int"))
     # copies of a page become one where they arrive, before a shard is held
-    pages = dealt.select("host", "shard", "row", "text").repartition("host", "shard").groupBy("host", "shard", "row").agg(F.min("text").alias("text"))
+    # and words move as halves of their hashes
+    cut = dealt.select("host", "shard", "row", "text").mapInArrow(_halves, "host string, shard int, row long, w binary")
+    pages = cut.repartition("host", "shard").groupBy("host", "shard", "row").agg(F.min("w").alias("w"))
 
     def candidates(key, t):
-        texts = [_words(x) for x in t.column("text").to_pylist()]
+        texts = [np.frombuffer(x, np.uint32).tolist() for x in t.column("w").to_pylist()]
         tok, page = _stream(texts)
         often = window_pages(tok, page) > COMMON_SHARE * len(texts)
         found, at = set(), 0
@@ -347,14 +350,14 @@ def _without_common_runs(marked: DataFrame) -> DataFrame:
             a = np.array(w, np.uint64)
             found |= {xxhash.xxh64_intdigest(a[i : i + MIN_RUN].tobytes()) - (1 << 63) for i in np.flatnonzero(often[at : at + len(w) - MIN_RUN + 1]).tolist()}
             at += len(w) + 1
-        return pa.table({"host": pa.array([key[0].as_py()] * len(found), pa.string()), "h": pa.array(list(found), pa.int64())})
+        return pa.table({"host": pa.array([key[0].as_py()] * len(found), pa.string()), "k": pa.array(list(found), pa.int64())})
 
-    near = materialize(pages.groupBy("host", "shard").applyInArrow(candidates, "host string, h long").distinct(), "html-candidates")
+    near = materialize(pages.groupBy("host", "shard").applyInArrow(candidates, "host string, k long").distinct(), "html-candidates")
     plain = marked.select("page_id", "url", "text")
     if near.isEmpty():
         return plain
     asked = named.join(near.select("host").distinct(), "host", "left_semi")
-    placed = asked.select("host", "row", "text").mapInArrow(_windows, "host string, row long, start int, h long").join(near, ["host", "h"])
+    placed = asked.select("host", "row", "text").mapInArrow(_windows, "host string, row long, start int, h long, k long").join(near, ["host", "k"])
     total = asked.groupBy("host").agg(F.count_distinct("row").alias("pages")).where(F.col("pages") >= COMMON_PAGES)
     counted = placed.groupBy("host", "h").agg(F.count_distinct("row").alias("n")).join(total, "host")
     common = counted.where((F.col("n") > COMMON_SHARE * F.col("pages")) & (F.col("n") >= COMMON_PAGES)).select("host", "h")
@@ -364,14 +367,23 @@ def _without_common_runs(marked: DataFrame) -> DataFrame:
     return named.join(covered, "row", "left").select("page_id", "url", "text", "cover").mapInArrow(_prune, "page_id long, url string, text string")
 
 
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, shard, row, w) of (host, shard, row, text): the lower halves of the words' hashes."""
+    for b in chunks(batches, 256):
+        w = [(np.array(_words(x), np.uint64) & np.uint64(_HALF)).astype(np.uint32).tobytes() for x in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("host"), b.column("shard"), b.column("row"), pa.array(w, pa.binary())], names=["host", "shard", "row", "w"])
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, row, start, h) of every window of (host, row, text)."""
+    """(host, row, start, h, k) of every window of (host, row, text); k is of halves of the words' hashes."""
     for b in chunks(batches, 256):
-        host, row, start, h = [], [], [], []
+        host, row, start, h, k = [], [], [], [], []
         for ho, r, text in zip(b.column("host").to_pylist(), b.column("row").to_pylist(), b.column("text").to_pylist(), strict=True):
-            for s, x in enumerate(_window_hashes(_words(text))):
-                host.append(ho), row.append(r), start.append(s), h.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(row, pa.int64()), pa.array(start, pa.int32()), pa.array(h, pa.int64())], names=["host", "row", "start", "h"])
+            words = _words(text)
+            for s, (x, y) in enumerate(zip(_window_hashes(words), _window_hashes([w & _HALF for w in words]), strict=True)):
+                host.append(ho), row.append(r), start.append(s), h.append(x), k.append(y)
+        cols = [pa.array(host, pa.string()), pa.array(row, pa.int64()), pa.array(start, pa.int32()), pa.array(h, pa.int64()), pa.array(k, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["host", "row", "start", "h", "k"])
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +421,7 @@ def _without_boilerplate(cutted: DataFrame) -> DataFrame:
     counted = dealt.select("host", "shard", "row", "text").groupBy("host", "shard").applyInArrow(runs, "host string, h long, n long")
     common = materialize(counted.groupBy("host", "h").agg(F.sum("n").alias("n")).where("n >= 2").select("host", "h"), "html-common")
 
-    placed = dealt.select("host", "row", "text").mapInArrow(_windows, "host string, row long, start int, h long")
+    placed = dealt.select("host", "row", "text").mapInArrow(_windows, "host string, row long, start int, h long, k long").drop("k")
     covered = placed.join(common, ["host", "h"]).groupBy("row").agg(F.collect_set("start").alias("cover"))
 
     return dealt.join(covered, "row", "left").select("page_id", "url", "text", "cover").mapInArrow(_prune, "page_id long, url string, text string")
